@@ -55,19 +55,19 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def id_bounds(df: DataFrame, id_col: str, per_range: int, most: int = 256) -> list[int]:
+def id_bounds(df: DataFrame, id_col: str, rows_a_range: int, most: int = 256) -> list[int]:
     """Inner boundaries that cut the ids into ranges of about equal row counts.
 
     At most ``most - 1`` numbers reach the driver, whatever the input's size. They are
     plain values afterwards, so the range of a row depends on its id alone and a lost
     task recomputes to the same place.
     """
-    n = df.agg(F.count(id_col)).first()[0]
-    ranges = max(1, min(most, -(-n // per_range)))
+    n = df.agg(F.count(F.col(f"`{id_col}`"))).first()[0]
+    ranges = max(1, min(most, -(-n // rows_a_range)))
     if ranges == 1:
         return []
     cuts = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(id_col, cuts, 10 * most).alias("q")).first()[0]
+    found = df.agg(F.percentile_approx(F.col(f"`{id_col}`"), cuts, 20 * most)).first()[0]
     return sorted(set(found or []))
 
 

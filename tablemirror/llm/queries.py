@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemirror.llm import exact_dedup, mixing, sharding
-from tablemirror.llm.common import documents
+from tablemirror.llm import bpe, exact_dedup, fingerprints, mixing, sharding, token_counts, token_store
+from tablemirror.llm.common import documents, shared_dir
 
 N_SHARDS = 24
+MAX_REPEATS = 2.0
+TOKEN_LIMIT = 2048
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file; the package that holds them is asked for it when a query runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +49,53 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(rows, "doc_id", "source", F.col("words"), plan).drop("order_hash")
 
 
-MAX_REPEATS = 2.0
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, from the counts of its prefixes."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    rows = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    counted = token_counts.prefix_counts(rows, vocabulary("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", token_counts.total_tokens().alias("n_tokens")).withColumn(
+        "over_limit", F.col("n_tokens") > TOKEN_LIMIT
+    )
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the shard files."""
+    path = f"{shared_dir(spark)}/llm/token-shards-{uuid.uuid4().hex}"
+    token_store.write_shards(documents(spark, sf_dir, "doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
+    docs = token_store.read_shards(spark.read.parquet(path))
+    return docs.select(
+        "doc_id", "start", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.crc32("token_ids").alias("ids_crc32")
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = fingerprints.fingerprint_with_edit(documents(spark, sf_dir, "doc_id", "text"))
+    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the transducer, and the text they decode to."""
+    return bpe_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text")
+    done = bpe.encode_texts(rows, vocabulary("byte_bpe_50k.tiktoken"), split_pattern(), decode=True)
+    return done.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -50,7 +106,7 @@ ORACLE: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op4_token_counts, op6_token_store, op7_exact_dedup, op9_fingerprints, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
