@@ -1,14 +1,68 @@
-"""A training-corpus pipeline over ``documents``: five stages, each one operator."""
+"""A training-corpus pipeline over ``documents``: five stages, each one operator.
+
+Each stage takes the documents that its predecessor kept, written as Parquet and read
+again, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablemirror.llm import exact_dedup, minhash, mixing
+from tablemirror.llm.common import discard, shared_dir
+from tablemirror.llm.queries import MAX_REPEATS, TOXIC_SCORE, bpe_digests, toxicity_model
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject."""
+    scored = toxicity_model(spark, docs, sf_dir).score(docs, out="__toxicity")
+    return scored.where(F.col("__toxicity") < TOXIC_SCORE).drop("__toxicity")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them: every one at least once, none more than twice over."""
+    return mixing.mix_rows(docs, "doc_id", "source", mixing.word_tokens(F.col("text")), max_repeats=MAX_REPEATS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every reading, checked by what they decode to."""
+    return bpe_digests(docs)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mix_sources", mix),
+    ("encode", encode),
+]
 
 #: SQL can express neither the learned scores, the densified sketches nor the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; stages between are written to the shared folder."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/llm/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,15 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemirror.llm import bpe, exact_dedup, fingerprints, mixing, sharding, token_counts, token_store
+from tablemirror.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, mixing, sharding, token_counts, token_store, toxicity
 from tablemirror.llm.common import documents, shared_dir
 
 N_SHARDS = 24
 MAX_REPEATS = 2.0
 TOKEN_LIMIT = 2048
+TOXIC_SCORE = 0.7
 
 
 def vocabulary(name: str) -> str:
@@ -50,6 +51,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similarity 0.85."""
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from the counts of its prefixes."""
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -60,6 +66,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Whether a document's label is never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out())
+    return toxicity.fit(docs, labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scored = toxicity_model(spark, docs, sf_dir).score(docs)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC_SCORE).cast("int").alias("predicted"),
+    )
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document as read back from the shard files."""
     path = f"{shared_dir(spark)}/llm/token-shards-{uuid.uuid4().hex}"
@@ -74,6 +100,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = html_extract.extract_text(pages)
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     found = fingerprints.fingerprint_with_edit(documents(spark, sf_dir, "doc_id", "text"))
@@ -106,7 +139,7 @@ ORACLE: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op4_token_counts, op6_token_store, op7_exact_dedup, op9_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

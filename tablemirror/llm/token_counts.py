@@ -132,7 +132,10 @@ class PrefixCounter:
             return len(text)
         start = int(ends[fits - 1]) if fits else 0
         used = int(counts[fits - 1]) if fits else 0
-        return start + self._within(text[start : int(ends[fits])], budget - used)
+        best = start + self._within(text[start : int(ends[fits])], budget - used)
+        while best < len(text) and text[best].isspace():  # blanks cost nothing
+            best += 1
+        return best
 
     def _within(self, chunk: str, budget: int) -> int:
         """The same inside one chunk, from the stored counts of its words' prefixes."""
