@@ -26,6 +26,9 @@ from tablemirror.llm.common import replaced
 
 #: Bytes of one piece after which certain tokens are emitted and their bytes forgotten.
 FLUSH = 4096
+#: A way is one number: the token before it in the upper bits, the beginning read in these lower ones.
+_BITS = 24
+_MASK = (1 << _BITS) - 1
 #: States kept before the transducer starts anew; bounds memory, not the results.
 MOST_STATES = 100_000
 
@@ -43,26 +46,42 @@ class LazyTransducer:
         self.ranks, self.most_states = ranks, most_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
-        #: every beginning of a token, with the token's rank where it is one
-        self.known = {token[:i]: -1 for token in ranks for i in range(1, len(token))} | ranks
+        self._grow_trie()
         self.halves = Memo(self._halves)
-        self.follows = Memo(self._follows)
         self.alone = Memo(lambda token: self.merged(self.tokens[token])[0] == [token])
+        self.follows = Memo(lambda pair: self._follows((pair >> _BITS) - 1, pair & _MASK))
         self._restart()
 
+    def _grow_trie(self) -> None:
+        """Numbered beginnings of tokens: the beginnings one byte longer, length, and the token or -1."""
+        leaf: dict[int, int] = {}
+        self.longer, self.depth, self.token_at = [leaf], [0], [-1]
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in token:
+                if self.longer[node] is leaf:
+                    self.longer[node] = {}
+                step = self.longer[node].get(byte)
+                if step is None:
+                    step = self.longer[node][byte] = len(self.longer)
+                    self.longer.append(leaf)
+                    self.depth.append(self.depth[node] + 1)
+                    self.token_at.append(-1)
+                node = step
+            self.token_at[node] = rank
+
     def _restart(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.ways: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self._state(((-1, b""),))
+        self.ids: dict[tuple[int, ...], int] = {}
+        self.ways: list[tuple[int, ...]] = []
+        self.moves: dict[int, tuple[int, int]] = {}
+        self._state((0,))
 
-    def _state(self, ways: tuple) -> int:
-        """Number of a state: for each start of a token, the token before it (-1: none) and the bytes since."""
+    def _state(self, ways: tuple[int, ...]) -> int:
+        """Number of a state: for each start of a token, the token before it plus 1 (0: none) and the beginning read since."""
         found = self.ids.get(ways)
         if found is None:
             found = self.ids[ways] = len(self.ways)
             self.ways.append(ways)
-            self.moves.append({})
         return found
 
     def merged(self, piece: bytes) -> tuple[list[int], tuple[bytes, bytes] | None]:
@@ -83,16 +102,15 @@ class LazyTransducer:
         pair = self.merged(self.tokens[token])[1]
         return pair and (self.ranks[pair[0]], self.ranks[pair[1]])
 
-    def _follows(self, pair: tuple[int, int]) -> bool:
-        """Whether the merges leave a boundary between two tokens' bytes.
+    def _follows(self, left: int, right: int) -> bool:
+        """Whether the merges leave a boundary between two tokens' bytes (``left`` -1: before the second nothing).
 
         Goes back in time along the boundary: undoes the later merge beside it, and asks
         whether the two parts then in contact would have merged before that moment. Of two
         merges of one rank the left one comes first.
         """
-        left, right = pair
-        if not (self.alone[left] and self.alone[right]):
-            return False
+        if left < 0 or not self.alone[right]:
+            return self.alone[right]
         before = 1 << 60
         while True:
             joined = self.ranks.get(self.tokens[left] + self.tokens[right])
@@ -108,19 +126,22 @@ class LazyTransducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         """The state after a byte, and the last token of what has been read."""
-        step, ways, ended, known = bytes((byte,)), [], -1, self.known.get
-        for left, begun in self.ways[state]:
-            longer = begun + step
-            token = known(longer)
-            if token is None:
+        ways, ended, longer, token_at = [], -1, self.longer, self.token_at
+        for way in self.ways[state]:
+            node = way & _MASK
+            step = longer[node].get(byte)
+            if step is None:
                 continue
-            ways.append((left, longer))
-            if token >= 0 and ended < 0 and (self.alone[token] if left < 0 else self.follows[left, token]):
-                ended = token
+            left = way - node
+            ways.append(left + step)
+            if ended < 0:
+                token = token_at[step]
+                if token >= 0 and self.follows[left + token]:
+                    ended = token
         if ended < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        ways.append((ended, b""))
-        move = self.moves[state][byte] = self._state(tuple(ways)), ended
+        ways.append(ended + 1 << _BITS)
+        move = self.moves[state << 8 | byte] = self._state(tuple(ways)), ended
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -133,11 +154,10 @@ class LazyTransducer:
             self._restart()
         out: list[int] = []
         last: list[int] = []
-        state, moves = 0, self.moves
+        state, known, note = 0, self.moves.get, last.append
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            last.append(move[1])
+            state, token = known(state << 8 | byte) or self._move(state, byte)
+            note(token)
             if len(last) >= FLUSH:
                 out += self._certain(last, state)
         return out + self._back(last, len(last))
@@ -153,7 +173,7 @@ class LazyTransducer:
 
     def _certain(self, last: list[int], state: int) -> list[int]:
         """Emit the tokens that all ways of a state share, and forget the bytes they cover."""
-        size, ends = self.sizes, {len(last) - len(begun) for _, begun in self.ways[state]}
+        size, ends = self.sizes, {len(last) - self.depth[way & _MASK] for way in self.ways[state]}
         while len(ends) > 1:  # step back from the furthest end until the ways meet
             furthest = max(ends)
             ends.remove(furthest)
@@ -171,6 +191,7 @@ class Encoder:
         self.transducer = LazyTransducer(read_ranks(ranks_path))
         # \s as the tokenizer's regex engine has it: the White_Space property, without U+001C to U+001F
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.letters_stay = all(self.pattern.findall(w) == [w] for w in (" word", "word", " Été", "日本"))
         self.piece = Memo(self._piece)
         self.text = ChunkMemo(self._chunk)
 
@@ -179,7 +200,14 @@ class Encoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pattern.findall(chunk)))
+        if self.letters_stay and chunk[chunk[:1] == " " :].isalpha():  # one run of letters is one piece
+            return self._piece(chunk)
+        out = []
+        for piece in self.pattern.findall(chunk):
+            word = piece[1:]
+            known = self.letters_stay and piece[0] == " " and word.isalpha()
+            out.append(self.text.spaced[word] if known else self.piece[piece])
+        return b"".join(out)
 
 
 class Utf8Stream:

@@ -14,23 +14,31 @@ import pyarrow as pa
 
 _SPACE_RUN = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: Entries of one memo before it is emptied; bounds a worker's memory, not the results.
-MEMO_ENTRIES = 200_000
+#: Entries of one generation of a memo; bounds a worker's memory, not the results.
+MEMO_ENTRIES = 400_000
 #: Rows of one output batch, so that a batch of long texts stays small.
 ROWS_OUT = 256
 
 
 class Memo(dict):
-    """A dict that computes missing values and starts anew when it is full."""
+    """A dict that computes missing values and holds two generations of them.
+
+    When the young generation is full it becomes the old one, and the old one is
+    forgotten but for what is asked for again meanwhile.
+    """
 
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.old = compute, entries, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
