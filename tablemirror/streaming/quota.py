@@ -61,7 +61,7 @@ def quota_replay(log: DataFrame, client: str, ts_us: str, cost: str, window_us:
     return sorted_rows.mapInPandas(run, _OUT)
 
 
-def quota_stream(stream: DataFrame, client: str, ts_us: str, cost: str, window_us: int, limit: float, idle: str = "1 hour") -> DataFrame:
+def quota_stream(stream: DataFrame, client: str, ts_us: str, cost: str, window_us: int, limit: float, idle_ms: int = 3_600_000) -> DataFrame:
     """The same over a stream; a client's state is dropped after an idle time."""
     rows = stream.select(F.col(client).cast("string").alias("client"), F.col(ts_us).alias("ts_us"), F.col(cost).cast("double").alias("cost"))
 
@@ -76,6 +76,6 @@ def quota_stream(stream: DataFrame, client: str, ts_us: str, cost: str, window_u
             held = out[-1][0] if out else held
             yield pd.DataFrame([(key[0], ts, c, u, lim) for _, ts, c, u, lim in out], columns=["client", "ts_us", "cost", "used", "limited"])
         state.update(held)
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
 
     return rows.groupBy("client").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
