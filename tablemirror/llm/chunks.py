@@ -15,7 +15,7 @@ import pyarrow as pa
 _SPACE_RUN = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: Entries of one generation of a memo; bounds a worker's memory, not the results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 #: Rows of one output batch, so that a batch of long texts stays small.
 ROWS_OUT = 256
 

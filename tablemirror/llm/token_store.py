@@ -16,6 +16,7 @@ by Spark to any store it can reach.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -150,6 +151,9 @@ def open_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return np.frombuffer(frames[0], "<i8"), np.frombuffer(frames[1], "<u8").astype(np.int64), WaveletMatrix(n, planes[:bits], ranks)
 
 
+#: A word and ASCII punctuation after it, between which byte-level pre-tokenizers always cut
+#: (not an apostrophe: contractions begin with one).
+_WORD_AND_MARKS = re.compile(r" ([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _CHUNKS: dict[str, ChunkMemo] = {}
 
 
@@ -157,14 +161,22 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
     """The tokenizers library behind a memo of chunks; ids as little-endian unsigned 32-bit.
 
     A text that holds an added token is encoded whole, because the library cuts it there.
+    A word with punctuation after it is two memo entries, so that words are shared.
     """
     if tokenizer_path not in _CHUNKS:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer_path)
         added = [t.content for t in library.get_added_tokens_decoder().values()]
-        encode = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        _CHUNKS[tokenizer_path] = ChunkMemo(encode, lambda text: any(a in text for a in added))
+
+        def encode(text: str) -> bytes:
+            match = _WORD_AND_MARKS.fullmatch(text)
+            if match and match.group(1).isalpha():
+                return memo.spaced[match.group(1)] + memo.chunk[match.group(2)]
+            ids = library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        memo = _CHUNKS[tokenizer_path] = ChunkMemo(encode, lambda text: any(a in text for a in added))
     return _CHUNKS[tokenizer_path]
 
 
