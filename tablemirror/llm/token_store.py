@@ -153,7 +153,9 @@ def open_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 
 #: A word and ASCII punctuation after it, between which byte-level pre-tokenizers always cut
 #: (not an apostrophe: contractions begin with one).
-_WORD_AND_MARKS = re.compile(r" ([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_WORD_AND_MARKS = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Words parted by single line ends, each of which is a piece of its own.
+_LINES = re.compile(r" ?\S+(?:\n\S+)+")
 _CHUNKS: dict[str, ChunkMemo] = {}
 
 
@@ -171,8 +173,13 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
 
         def encode(text: str) -> bytes:
             match = _WORD_AND_MARKS.fullmatch(text)
-            if match and match.group(1).isalpha():
-                return memo.spaced[match.group(1)] + memo.chunk[match.group(2)]
+            if match and match.group(2).isalpha():
+                space, word, marks = match.groups()
+                return (memo.spaced if space else memo.chunk)[word] + memo.chunk[marks]
+            if "\n" in text and _LINES.fullmatch(text):
+                first, *lines = text.split("\n")
+                head = memo.spaced[first[1:]] if first[0] == " " else memo.chunk[first]
+                return memo.chunk["\n"].join([head, *map(memo.chunk.__getitem__, lines)])
             ids = library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
 
