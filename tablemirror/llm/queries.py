@@ -130,6 +130,55 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 ORACLE: dict[str, str] = {
+    # the checksum is worked out byte by byte, because DuckDB has no function for it
+    "op1_shards": """
+        WITH RECURSIVE j(doc_id, k, j, shard, grown) AS (
+            SELECT doc_id, doc_id::HUGEINT, 0::BIGINT, 0, 0 FROM documents
+            UNION ALL
+            SELECT doc_id, k2, floor((j + 1) * (2147483648.0::DOUBLE / ((k2 >> 33) + 1)))::BIGINT, CASE WHEN j < 24 THEN j ELSE shard END, j
+            FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE j <= 24)),
+        s AS (SELECT doc_id, max(shard)::INTEGER AS shard, max(grown)::INTEGER AS grown_shard FROM j GROUP BY 1),
+        bits AS (SELECT i, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE n = 8),
+        crc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, t FROM documents, tab)
+        SELECT doc_id, (length(h) // 2 + 8)::BIGINT AS size,
+            xor(list_reduce(list_transform(range(length(h) // 2), lambda p: ('0x' || h[2 * p + 1:2 * p + 2])::BIGINT),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32,
+            'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard
+        FROM crc JOIN s USING (doc_id)""",
+    "op2_mix": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+        t AS (SELECT source, sum(n)::BIGINT AS tokens, count(*) AS rows FROM w GROUP BY 1),
+        s AS (SELECT *, tokens / sum(tokens) OVER () AS share, sum(tokens) OVER () AS whole FROM t),
+        r AS (SELECT max(share) / min(share) AS r FROM s),
+        b(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+            SELECT i + 1, CASE WHEN pow(r, 1 - (lo + hi) / 2) <= 2.0 * (1 + 1e-9) THEN lo ELSE (lo + hi) / 2 END,
+                CASE WHEN pow(r, 1 - (lo + hi) / 2) <= 2.0 * (1 + 1e-9) THEN (lo + hi) / 2 ELSE hi END FROM b, r WHERE i < 32),
+        a AS (SELECT CASE WHEN r <= 2.0 * (1 + 1e-9) THEN 0.0 ELSE round(hi, 9) END AS a FROM b, r WHERE i = 32),
+        z AS (SELECT sum(pow(share, a)) AS z, max(share / pow(share, a)) * sum(pow(share, a)) * any_value(whole) AS budget FROM s, a),
+        p AS (SELECT source, tokens, ceil(sqrt(rows)) AS blocks, round(pow(share, a) / z, 9) AS weight,
+            round(round(pow(share, a) / z, 9) * budget)::BIGINT AS budget FROM s, a, z),
+        q AS (SELECT *, floor(round(budget / tokens, 6))::INTEGER AS passes,
+            CASE WHEN round(budget / tokens, 6) > floor(round(budget / tokens, 6)) THEN greatest(budget - floor(round(budget / tokens, 6))::BIGINT * tokens, 0) ELSE 0 END AS rest FROM p),
+        e AS (SELECT w.*, tokens, weight, passes, rest, blocks, unnest(range(0, passes + CASE WHEN rest > 0 THEN 1 ELSE 0 END))::INTEGER AS pass
+            FROM w JOIN q ON w.source IS NOT DISTINCT FROM q.source),
+        h AS (SELECT *, ('0x' || substr(md5('0:' || pass || ':' || doc_id), 1, 15))::BIGINT AS h FROM e),
+        c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source, pass ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h)
+        SELECT doc_id, source, n AS n_tokens, weight, pass, floor(h / (1152921504606846976 / blocks))::BIGINT AS block,
+            (pass * tokens + before)::BIGINT AS tokens_before,
+            round((pass * tokens + before + n / 2) / greatest(passes * tokens + rest, 1), 9) AS mix_position
+        FROM c WHERE pass < passes OR before < rest""",
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+        l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        c(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM c JOIN s USING (doc_id) GROUP BY doc_id, s""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
