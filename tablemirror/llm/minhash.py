@@ -8,8 +8,11 @@ is a candidate of its hub only, a star, and candidates are confirmed on full set
 
 A star can miss a pair whose members are both unlike the hub. So confirmed links are
 joined to components, buckets that still hold more than one component get further hubs,
-four times as many each round, and hubs that met all others leave the bucket. It ends when
-every pair of a bucket was compared with each other or is in one component.
+four times as many each round, and hubs that met all others leave the bucket. Before, each
+document is asked whether it can have a link left at all: shingles that no other remaining
+document has bound its similarity to every one of them, and without a chance it leaves the
+bucket. It ends when every pair of a bucket was compared with each other, was excluded by
+that bound or is in one component.
 
 Equal sets are one node from the start, so copies add no pairs.
 """
@@ -211,6 +214,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("__a") + F.size("__b") - shared)).select("a", "b")
 
 
+def _mixed_buckets(live: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    mixed = live.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("bucket")
+    return live.join(mixed, "bucket", "left_semi")
+
+
+def _with_a_chance(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Bucket rows whose document may still have a link in the bucket.
+
+    With u of its n shingles in no other remaining document, a document shares at most
+    n - u with any of them, so its similarity to one of m shingles is at most
+    (n - u) / (m + u). m is at least the bucket's smallest set, and at least the percentage
+    of n. Both aggregates are combined before their shuffles.
+    """
+    names = live.select("node").distinct()
+    held = sets.join(names, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    alone = held.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    smallest = live.groupBy("bucket").agg(F.min("n").alias("m"))
+    rows = live.join(unshared, "node", "left").join(smallest, "bucket").withColumn("u", F.coalesce("u", F.lit(0)))
+    partner = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100))
+    return rows.where(100 * (F.col("n") - F.col("u")) >= percent * (partner + F.col("u"))).drop("u", "m")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (least id reachable by links), ``kept``.
 
@@ -247,10 +274,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
         pairs = live.join(hubs, "bucket").where(near & alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         links, links_path = written(_confirmed(pairs, sets, percent), "links")
-        old_labels_path = labels_path
+        old_labels_path, found_links = "", not links.isEmpty()
         if labels is None:
             labels, labels_path = components(links)
-        else:
+        elif found_links:
+            old_labels_path = labels_path
             known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
             a = links.join(known, links["a"] == known["x"], "left").select(F.coalesce("y", "a").alias("a"), "b")
             both = a.join(known, a["b"] == known["x"], "left").select("a", F.coalesce("y", "b").alias("b")).where("a <> b")
@@ -261,11 +289,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels, labels_path = written(moved.unionByName(roots), "labels")
             discard(spark, joined_path)
         rest = live.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
-        relabelled = rest.join(known, rest["node"] == known["x"], "left").select("bucket", "node", "n", "score", F.coalesce("y", "node").alias("comp"))
-        open_buckets = relabelled.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("bucket")
-        remaining, remaining_path = written(relabelled.join(open_buckets, "bucket", "left_semi"), "buckets")
-        discard(spark, live_path, links_path, *([old_labels_path] if old_labels_path else []))
+        if found_links:
+            known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
+            rest = rest.join(known, rest["node"] == known["x"], "left").select("bucket", "node", "n", "score", F.coalesce("y", "node").alias("comp"))
+        mixed, mixed_path = written(_mixed_buckets(rest), "buckets")
+        remaining, remaining_path = written(_mixed_buckets(_with_a_chance(mixed, sets, percent)), "buckets")
+        discard(spark, live_path, links_path, mixed_path, *([old_labels_path] if old_labels_path else []))
         live, live_path = remaining, remaining_path
         hubs_each *= 4
         if live.isEmpty():
