@@ -8,8 +8,9 @@ so is the node's importance; such branches are removed from each page of the hos
 The entropies alone do not give the right text: a host with one page has no statistics,
 adverts may differ on every page, and an article that many pages repeat looks like
 boilerplate. So elements whose tag, role or class names a menu, advert, form and the like
-are removed anyway, an ``article`` or ``main`` element is the content where there is one,
-and a page most of whose text repeats is taken for a copy, whose branches stay.
+are removed anyway, an ``article`` or ``main`` element is the content where there is one
+(low branches inside it go, but never the element itself), and pages of a host with the
+same content are copies, which count as one page: what only copies repeat is not low.
 """
 
 from __future__ import annotations
@@ -68,6 +69,8 @@ _NOISE_NAMES = frozenset(
 _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog menu menubar toolbar".split())
 _ROOTS = frozenset(("article", "main"))
 _CONTAINERS = frozenset("address article aside center details div dl footer form header main menu nav ol section table ul".split())
+#: Blocks that are nodes of the tree where they have a class.
+_NAMED = _BLOCK - _CONTAINERS - {"body", "html"}
 
 
 def _is_noise(tag: str, attributes: str, in_root: bool) -> bool:
@@ -98,14 +101,14 @@ class Page:
     """A page's blocks of text, each with its path and whether noise or content encloses it."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, str | None]] = []
         self.children: dict[str, list[str]] = {}
-        # per open element: tag, path, inside noise, inside a content root
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # per open element: tag, path, inside noise, path of the content root around it
+        self.open: list[tuple[str, str, bool, str | None]] = [("", "", False, None)]
         self.parts: list[str] = []
         self._read(html)
         self._flush()
-        self.rooted = any(root and not noise for _, _, noise, root in self.blocks)
+        self.rooted = any(root is not None and not noise for _, _, noise, root in self.blocks)
 
     def _flush(self) -> None:
         if self.parts:
@@ -160,13 +163,14 @@ class Page:
         if tag in _VOID:
             return
         _, path, noise, root = self.open[-1]
-        if not noise and _is_noise(tag, attributes, root):
+        if not noise and _is_noise(tag, attributes, root is not None):
             self._flush()
             noise = True
-        if tag in _CONTAINERS:
+        step = _step(tag, attributes)
+        if tag in _CONTAINERS or (tag in _NAMED and step != tag):
             self.children.setdefault(path, []).append(tag)
-            path = f"{path}/{_step(tag, attributes)}"
-        self.open.append((tag, path, noise, root or (tag in _ROOTS and not noise)))
+            path = f"{path}/{step}"
+        self.open.append((tag, path, noise, path if root is None and tag in _ROOTS and not noise else root))
 
     def _end(self, tag: str) -> None:
         for back in range(len(self.open) - 1, 0, -1):
@@ -180,6 +184,10 @@ class Page:
         if tag == "p" or tag == "br":
             self._flush() if tag == "p" else self.parts.append(" ")
 
+    def content(self) -> int:
+        """Hash of all that the page says outside of noise."""
+        return _signed(self.text(frozenset()))
+
     def nodes(self) -> Iterator[tuple[str, int, int]]:
         """Path, content hash and form hash of each container node of the page."""
         contents: dict[str, list[str]] = {}
@@ -192,19 +200,22 @@ class Page:
             yield path, _signed("\n".join(texts)), _signed(form)
 
     def text(self, removed: frozenset[str]) -> str:
-        """Blocks of the page's content without noise and without the ``removed`` branches."""
-        kept = [(t, p) for t, p, noise, root in self.blocks if not noise and (root or not self.rooted)]
-        if removed and not self.rooted:
-            total, sizes = sum(len(t) for t, _ in kept), {}
-            for text, path in kept:
-                while path:
+        """Blocks of the page's content without noise and without the ``removed`` branches.
+
+        A content root and what encloses it stay, so only branches below it are removed.
+        """
+        kept = [(t, p, root or "") for t, p, noise, root in self.blocks if not noise and (root is not None or not self.rooted)]
+        if removed:
+            total, sizes = sum(len(t) for t, _, _ in kept), {}
+            for text, path, root in kept:
+                while len(path) > len(root):
                     sizes[path] = sizes.get(path, 0) + len(text)
                     path = path.rpartition("/")[0]
             low = {p for p in sizes if p in removed}
             # where most of a page repeats, the page is a copy, and repetition tells nothing about its parts
             small = set() if any(2 * sizes[p] > total for p in low) else low
-            kept = [(t, p) for t, p in kept if not any(p == s or p.startswith(s + "/") for s in small)]
-        return "\n\n".join(t for t, _ in kept)
+            kept = [(t, p, root) for t, p, root in kept if not any(len(s) > len(root) and (p == s or p.startswith(s + "/")) for s in small)]
+        return "\n\n".join(t for t, _, _ in kept)
 
 
 def _signed(text: str) -> int:
@@ -221,20 +232,26 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     With p the share of the pages that have one content (or form) at a node, the entropy
     is the sum of -p log p to the base of the number of pages: 0 where all pages agree, 1
-    where all differ. A node that one page has is fully important. Pages send their nodes
+    where all differ. A node that one page has is fully important. Pages with the same
+    content outside of noise are copies and count once. Pages send their nodes
     as hashes, and counts are combined before the shuffle, so a host that holds a third of
     all pages is no single task's work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "__html"):
-            rows = [(host, *node) for host, html in zip(batch.column("host").to_pylist(), texts, strict=True) for node in Page(html).nodes()]
+            rows = []
+            for host, html in zip(batch.column("host").to_pylist(), texts, strict=True):
+                page = Page(html)
+                core = page.content()
+                rows += [(host, core, *node) for node in page.nodes()]
             if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "path", "content", "form"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "core", "path", "content", "form"])
 
     pages = df.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").alias("__html"))
-    nodes = pages.mapInArrow(run, "host string, path string, content bigint, form bigint")
+    nodes = pages.mapInArrow(run, "host string, core bigint, path string, content bigint, form bigint")
+    nodes = nodes.groupBy("host", "path", "core").agg(F.min("content").alias("content"), F.min("form").alias("form"))
     seen = (
         nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("h")), F.struct(F.lit(1).alias("kind"), F.col("form").alias("h")))).alias("x"))
         .groupBy("host", "path", F.col("x.kind").alias("kind"), F.col("x.h").alias("h"))
