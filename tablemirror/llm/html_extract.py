@@ -66,6 +66,16 @@ _NOISE_NAMES = frozenset(
     "notice nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies reply "
     "share sharing social related recommended newsletter subscribe signup popup modal pagination pager login toolbar skip".split()
 )
+#: Of these, the ones whose elements often hold articles of their own (reader comments, teasers, paid posts).
+_LISTED = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus replies reply "
+    "related recommended".split()
+)
+#: A name with one of the first, or that begins with one of the second, tells of the layout or the subject of what it is on.
+_LAYOUT, _SUBJECT = frozenset("has no with without not free layout".split()), frozenset("category cat tag topic term tax".split())
+#: What an element is by its tag, role or style, and by its names: noise for certain, a whole name or a name's first part,
+#: any other part, and the same two for _LISTED names.
+_SURE, _NAME, _PART, _LIST, _LIST_PART = 1, 2, 3, 4, 5
 _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog menu menubar toolbar".split())
 _ROOTS = frozenset(("article", "main"))
 _CONTAINERS = frozenset("address article aside center details div dl footer form header main menu nav ol section table ul".split())
@@ -73,22 +83,37 @@ _CONTAINERS = frozenset("address article aside center details div dl footer form
 _NAMED = _BLOCK - _CONTAINERS - {"body", "html"}
 
 
-def _is_noise(tag: str, attributes: str, in_root: bool) -> bool:
+def _name_mark(value: str) -> int:
+    """The mark that the names in a class or id give; 0 for none."""
+    marks = set()
+    for token in value.split():
+        parts = _NAME_PART.findall(token)
+        if _NOISE_NAMES.isdisjoint(parts) or (len(parts) > 1 and (parts[0] in _SUBJECT or not _LAYOUT.isdisjoint(parts))):
+            continue
+        if not _LISTED.isdisjoint(parts):
+            marks.add(_LIST if len(parts) == 1 else _LIST_PART)
+        else:
+            marks.add(_NAME if parts[0] in _NOISE_NAMES else _PART)
+    return next((m for m in (_LIST, _LIST_PART, _NAME, _PART) if m in marks), 0)
+
+
+def _mark(tag: str, attributes: str, in_root: bool) -> int:
     if tag in ("html", "body"):
-        return False
+        return 0
     if tag in _NOISE_TAGS or (tag == "header" and not in_root):
-        return True
+        return _SURE
     if not attributes or attributes.isspace():
-        return False
+        return 0
+    marks = set()
     for match in _ATTRIBUTE.finditer(attributes):
         name, value = match.group(1).lower(), (match.group(2) or "").strip("\"'").lower()
-        if name in ("class", "id") and not _NOISE_NAMES.isdisjoint(_NAME_PART.findall(value)):
-            return True
+        if name in ("class", "id"):
+            marks.add(_name_mark(value))
         if (name == "role" and value in _NOISE_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return _SURE
+    return next((m for m in (_LIST, _LIST_PART, _NAME, _PART) if m in marks), 0)
 
 
 def _step(tag: str, attributes: str) -> str:
@@ -101,13 +126,17 @@ class Page:
     """A page's blocks of text, each with its path and whether noise or content encloses it."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, str | None]] = []
         self.children: dict[str, list[str]] = {}
-        # per open element: tag, path, inside noise, path of the content root around it
-        self.open: list[tuple[str, str, bool, str | None]] = [("", "", False, None)]
+        # elements with a mark and content roots: place of the next one around it, mark, tag, path
+        self.places: list[tuple[int, int, str, str]] = [(0, 0, "", "")]
+        self.found: list[tuple[str, str, int]] = []
+        # per open element: tag, path, its place or the next one around it, inside an article or main
+        self.open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
         self.parts: list[str] = []
         self._read(html)
         self._flush()
+        judged = self._judge()
+        self.blocks: list[tuple[str, str, bool, str | None]] = [(text, path, *judged[place]) for text, path, place in self.found]
         self.rooted = any(root is not None and not noise for _, _, noise, root in self.blocks)
 
     def _flush(self) -> None:
@@ -117,7 +146,48 @@ class Page:
             if text:
                 # inline elements do not part a block, so the innermost block element names its place
                 at = next((o for o in reversed(self.open) if o[0] in _BLOCK or not o[0]), self.open[0])
-                self.blocks.append((text, at[1], self.open[-1][2], self.open[-1][3]))
+                self.found.append((text, at[1], self.open[-1][2]))
+
+    def _judge(self) -> list[tuple[bool, str | None]]:
+        """Of each place: whether it is noise, and the path of the content root around it.
+
+        A name alone never removes a ``main``, an article (but of a whole _LISTED name) or
+        what encloses a ``main`` or the longest article; and a part of a name never removes
+        most of a page. There the style tree decides.
+        """
+        places = self.places
+        if len(places) == 1:
+            return [(False, None)]
+        sizes, sure, mains, firm = [0] * len(places), [False] * len(places), set(), [False] * len(places)
+        for text, _, place in self.found:
+            sizes[place] += len(text)
+        for i in range(len(places) - 1, 0, -1):
+            sizes[places[i][0]] += sizes[i]
+        for i, (up, mark, tag, _) in enumerate(places):
+            sure[i] = sure[up] or mark == _SURE
+            if tag == "main" and not sure[i] and sizes[i]:
+                mains |= self._around(i)
+        for i, (up, mark, tag, _) in enumerate(places):
+            firm[i] = firm[up] or sure[i] or (i not in mains and (mark == _LIST or (mark == _LIST_PART and tag not in _ROOTS)))
+        within = [False] * len(places)
+        for i, (up, _, tag, _) in enumerate(places):
+            within[i] = within[up] or tag == "main"
+        articles = [i for i, x in enumerate(places) if x[2] == "article" and not firm[i] and (within[i] or not mains)]
+        safe = mains | (self._around(max(articles, key=sizes.__getitem__)) if articles else set())
+        whole = sum(len(text) for text, _, place in self.found if not firm[place])
+        out: list[tuple[bool, str | None]] = [(False, None)]
+        for i, (up, mark, tag, path) in enumerate(places[1:], 1):
+            named = mark in (_NAME, _PART) and tag not in _ROOTS and i not in safe
+            noise = out[up][0] or firm[i] or (named and not (mark == _PART and 2 * sizes[i] > whole))
+            out.append((noise, path if out[up][1] is None and tag in _ROOTS and not noise else out[up][1]))
+        return out
+
+    def _around(self, place: int) -> set[int]:
+        found = set()
+        while place:
+            found.add(place)
+            place = self.places[place][0]
+        return found
 
     def _read(self, html: str) -> None:
         at = 0
@@ -142,9 +212,7 @@ class Page:
             self._start(tag, attributes)
 
     def _text(self, text: str) -> None:
-        if text and not self.open[-1][2]:
-            self.parts.append(text)
-        elif text and not text.isspace():
+        if text:
             self.parts.append(text)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -162,15 +230,18 @@ class Page:
                     break
         if tag in _VOID:
             return
-        _, path, noise, root = self.open[-1]
-        if not noise and _is_noise(tag, attributes, root is not None):
+        _, path, place, in_root = self.open[-1]
+        mark = 0 if self.places[place][1] == _SURE else _mark(tag, attributes, in_root)
+        if mark:
             self._flush()
-            noise = True
         step = _step(tag, attributes)
         if tag in _CONTAINERS or (tag in _NAMED and step != tag):
             self.children.setdefault(path, []).append(tag)
             path = f"{path}/{step}"
-        self.open.append((tag, path, noise, path if root is None and tag in _ROOTS and not noise else root))
+        if mark or tag in _ROOTS:
+            self.places.append((place, mark, tag, path))
+            place = len(self.places) - 1
+        self.open.append((tag, path, place, in_root or tag in _ROOTS))
 
     def _end(self, tag: str) -> None:
         for back in range(len(self.open) - 1, 0, -1):

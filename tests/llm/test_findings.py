@@ -19,3 +19,21 @@ def test_low_branches_inside_the_content_root_go(spark):
     for tag in ("div", "p"):
         texts = extracted(spark, [body.format(i, tag) for i in range(6)])
         assert texts == [f"Story {i} has its own words and is the longest part of its page {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<article class="post has-sidebar">{}</article>',
+        '<main id="content" class="no-sidebar">{}</main>',
+        '<div class="layout-with-sidebar"><article>{}</article></div>',
+        '<div class="sidebar"><article>{}</article></div><div class="sidebar"><article>Teaser</article></div>',
+        '<article class="category-social">{}</article>',
+        '<div class="page-sidebar-left">{}</div>',
+        '<article>{}<div class="post-share">Share</div></article><div class="related-posts"><article>A teaser of a longer and longer page of this host</article></div>',
+        '<article>{}<section class="comments"><article>me too</article></section><p class="ad">Buy</p></article>',
+    ],
+)
+def test_a_name_does_not_remove_the_main_text(html):
+    text = "The main text of this page"
+    assert html_extract.Page(f"<body>{html.format(f'<p>{text}</p>')}</body>").text(frozenset()) == text
