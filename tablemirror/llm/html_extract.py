@@ -277,15 +277,7 @@ class Page:
         """
         kept = [(t, p, root or "") for t, p, noise, root in self.blocks if not noise and (root is not None or not self.rooted)]
         if removed:
-            total, sizes = sum(len(t) for t, _, _ in kept), {}
-            for text, path, root in kept:
-                while len(path) > len(root):
-                    sizes[path] = sizes.get(path, 0) + len(text)
-                    path = path.rpartition("/")[0]
-            low = {p for p in sizes if p in removed}
-            # where most of a page repeats, the page is a copy, and repetition tells nothing about its parts
-            small = set() if any(2 * sizes[p] > total for p in low) else low
-            kept = [(t, p, root) for t, p, root in kept if not any(len(s) > len(root) and (p == s or p.startswith(s + "/")) for s in small)]
+            kept = [(t, p, root) for t, p, root in kept if not any(len(s) > len(root) and (p == s or p.startswith(s + "/")) for s in removed)]
         return "\n\n".join(t for t, _, _ in kept)
 
 

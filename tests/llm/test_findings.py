@@ -37,3 +37,14 @@ def test_low_branches_inside_the_content_root_go(spark):
 def test_a_name_does_not_remove_the_main_text(html):
     text = "The main text of this page"
     assert html_extract.Page(f"<body>{html.format(f'<p>{text}</p>')}</body>").text(frozenset()) == text
+
+
+def test_short_articles_lose_long_notices_and_copies_stay_whole(spark):
+    notice = "<div class=legal><p>A notice on every page that is far longer than what the page itself says</p></div><div class=links><p>Links</p></div>"
+    page = "<div class=text><p>{}</p></div>" + notice
+    assert extracted(spark, [page.format(f"Text {i}") for i in range(6)]) == [f"Text {i}" for i in range(6)]
+    # copies keep their text and lose the notice that other pages have too
+    said = [f"Text {i}" for i in range(5)] + ["Copied text"] * 20
+    assert extracted(spark, [page.format(t) for t in said]) == said
+    copies = ["<div class=text><p>Only copies here</p></div>"] * 5
+    assert extracted(spark, copies) == ["Only copies here"] * 5
