@@ -16,6 +16,9 @@ from tablemirror.llm import exact_dedup, minhash, mixing
 from tablemirror.llm.common import discard, shared_dir
 from tablemirror.llm.queries import MAX_REPEATS, TOXIC_SCORE, bpe_digests, toxicity_model
 
+#: Near copies in a corpus are documents whose five-word shingles have a similarity of 0.8 or more.
+NEAR_PERCENT = 80
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
@@ -30,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

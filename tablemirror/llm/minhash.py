@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from tablemirror.llm.common import discard, replaced, written
 
 WORDS = 5
-#: 32 bands of 5 bins: a pair of similarity 0.85 shares no bucket with a chance of 7e-9.
+#: 32 bands of 5 bins: a pair of similarity 0.85 shares no bucket with a chance of 7e-9, one of 0.80 with a chance of 3e-6.
 BANDS, BAND_BINS = 32, 5
 BINS = BANDS * BAND_BINS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: The least percentage the bands serve: a pair at the limit is lost with a chance of at most 1e-5.
+LEAST_PERCENT = next(p for p in range(1, 101) if (1 - (p / 100) ** BAND_BINS) ** BANDS <= 1e-5)
 _BATCH_BYTES = 1 << 20
 
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -245,8 +247,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words are linked with nothing. Rows that repeat an id are each a document; a null id
     counts as larger than any other, so a component of null ids only has a null
     component_id. Runs Spark jobs at once; its intermediate tables are written to the
-    shared folder, and the two that the result reads stay there.
+    shared folder, and the two that the result reads stay there. A ``percent`` that the
+    bands cannot serve is refused.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; {BANDS} bands of {BAND_BINS} bins serve {LEAST_PERCENT} to 100")
     spark = df.sparkSession
     sketch, _ = written(sketches(df, id_col, text_col), "sketches")
     nodes = sketch.where(F.col("node").isNotNull()).dropDuplicates(["node"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tablemirror.llm import html_extract
+from tablemirror.llm import html_extract, minhash
 
 
 def extracted(spark, bodies: list[str]) -> list[str]:
@@ -48,3 +49,12 @@ def test_short_articles_lose_long_notices_and_copies_stay_whole(spark):
     assert extracted(spark, [page.format(t) for t in said]) == said
     copies = ["<div class=text><p>Only copies here</p></div>"] * 5
     assert extracted(spark, copies) == ["Only copies here"] * 5
+
+
+def test_near_stage_removes_copies_of_similarity_0_8(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(words[:90] + [f"x{i}" for i in range(10)]), " ".join(words[:80] + [f"y{i}" for i in range(20)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")  # similarity to the first: 86/106 and 76/116
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2]
+    with pytest.raises(ValueError, match="60"):
+        minhash.near_duplicates(docs, percent=60)
