@@ -144,26 +144,31 @@ def incremental_refresh(store: Store, spec: TableSpec, source: DataFrame, lookba
 
     A full load instead if there is no watermark column, replica or watermark, or if the
     schema changed. Boundary rows come again; a table with a key sorts that out when it is
-    read, one without has its boundary slice replaced.
+    read, one without has its boundary slice replaced, and with it the rows without a
+    watermark, of which nothing tells what is new.
     """
     state = store.watermark(spec.name)
     known = state is not None and state["version"] is not None and state["last_processed_timestamp"] is not None
     if not spec.watermark or not known or schema_fingerprint(source.schema, spec.keys) != state["schema_fingerprint"]:
         return "full", full_refresh(store, spec, source)
     mark = state["last_processed_timestamp"]
-    fresh = incremental_scan(source, spec.watermark, mark, lookback)
     version, batch_id = state["version"], f"inc-{uuid.uuid4().hex}"
-    rows, fingerprint = _cleaned(store, spec, fresh, batch_id)
     if spec.keys:
+        rows, fingerprint = _cleaned(store, spec, incremental_scan(source, spec.watermark, mark, lookback), batch_id)
         store.append_versions(rows, spec.name, version, batch_id)
         path = f"{store.root}/{spec.name}/v={version}/_sync_batch_id={batch_id}"
         written = store.spark.read.parquet(path)
     else:
         since = mark - lookback if lookback else mark
-        kept = store.raw(spec.name).where(F.col(spec.watermark).cast("timestamp") < F.lit(since))
+        stored = F.col(spec.watermark).cast("timestamp")
+        again = stored.isNull() | (stored >= F.lit(since))
+        # cleaned first: times that do not exist become NULL, and kept and read rows have to complement each other
+        rows, fingerprint = _cleaned(store, spec, source, batch_id)
+        rows = rows.where(again)
+        kept = store.raw(spec.name).where(stored < F.lit(since))
         store.append_versions(kept.drop("_sync_batch_id").unionByName(rows.drop("_sync_batch_id")), spec.name, version + 1, batch_id)
         version += 1
-        written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}").where(F.col(spec.watermark).cast("timestamp") >= F.lit(since))
+        written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}").where(again)
     facts = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(spec.watermark).cast("timestamp")).alias("ts")).first()
     last = last_key(written, spec.keys).first()["last_key"] if spec.keys and facts["n"] else state["last_processed_id"]
     store.save_watermark(spec, version, last, facts["ts"] or mark, fingerprint)

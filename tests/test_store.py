@@ -67,6 +67,16 @@ def test_table_without_key_replaces_its_boundary(store, spark):
     assert sorted(r["what"] for r in store.current(spec).collect()) == ["e1", "e2", "e2", "e2", "e3"]
 
 
+def test_table_without_key_keeps_rows_without_a_watermark(store, spark):
+    spec = TableSpec("undated", (), "created_at")
+    rows = lambda *hours: spark.createDataFrame([(f"e{h}", None if h is None else T0 + timedelta(hours=h)) for h in hours], "what string, created_at timestamp_ntz")
+    S.sync_table(store, spec, rows(1, 2, None))
+    assert S.sync_table(store, spec, rows(1, 2, None, None, 3))[:3] == ("incremental", "success", 4)
+    assert sorted(r["what"] for r in store.current(spec).collect()) == ["e1", "e2", "e3", "eNone", "eNone"]
+    assert S.sync_table(store, spec, rows(1, 2, None, None, 3))[:2] == ("incremental", "success")
+    assert store.current(spec).count() == 5
+
+
 def test_one_failing_table_does_not_stop_others(store, spark, seed):
     bad = seed.withColumn("name", F.raise_error(F.lit("no source")).cast("string"))
     done = {r["table_name"]: r for r in S.sync_all(store, [(TableSpec("bad", ("id",), "updated_at"), bad), (PEOPLE, seed)]).collect()}
