@@ -111,13 +111,15 @@ def plan_mix(
     facts = shares.agg(F.sum(F.pow("share", F.lit(exponent))), F.max(F.col("share") / F.pow("share", F.lit(exponent)))).first()
     scale = facts[0]
     budget = float(budget_tokens) if budget_tokens is not None else facts[1] * scale * all_tokens
-    weight = F.when(F.col("tokens") > 0, F.round(raised / F.lit(scale), 9)).otherwise(F.lit(0.0))
+    weight = F.when(F.col("tokens") > 0, raised / F.lit(scale)).otherwise(F.lit(0.0))
+    # only the weight that is shown is rounded, since a small source's would become 0
+    least = 0 if budget_tokens is not None else 1
     sources = (
-        totals.withColumn("weight", weight)
-        .withColumn("budget", F.greatest(F.round(F.col("weight") * F.lit(budget)).cast("long"), F.lit(0).cast("long")))
-        # a budget within a millionth of a whole pass is one: weights are rounded
+        totals.withColumn("weight", F.round(weight, 9))
+        .withColumn("budget", F.greatest(F.round(weight * F.lit(budget)).cast("long"), F.lit(0).cast("long")))
+        # a budget within a millionth of a whole pass is one
         .withColumn("__ratio", F.when(F.col("tokens") > 0, F.round(F.col("budget") / F.col("tokens"), 6)).otherwise(F.lit(1.0)))
-        .withColumn("passes", F.floor("__ratio").cast("int"))
+        .withColumn("passes", F.greatest(F.floor("__ratio").cast("int"), F.lit(least)))
         .withColumn(
             "rest",
             F.when(F.col("__ratio") > F.col("passes"), F.greatest(F.col("budget") - F.col("passes") * F.col("tokens"), F.lit(0))).otherwise(F.lit(0)).cast("long"),

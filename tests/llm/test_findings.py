@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tablemirror.llm import html_extract, minhash
+from tablemirror.llm import html_extract, minhash, mixing
 
 
 def extracted(spark, bodies: list[str]) -> list[str]:
@@ -58,3 +58,11 @@ def test_near_stage_removes_copies_of_similarity_0_8(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2]
     with pytest.raises(ValueError, match="60"):
         minhash.near_duplicates(docs, percent=60)
+
+
+def test_small_sources_are_mixed_too(spark):
+    rows = [(1, "large", 30_000_000_000), (2, "tiny", 1), (3, "small", 7), (4, "other", 20_000_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n bigint")
+    plan = {r["source"]: r for r in mixing.plan_mix(docs, "source", F.col("n")).sources.collect()}
+    assert all(1 <= r["passes"] <= 2 and r["passes"] * r["tokens"] + r["rest"] <= 2 * r["tokens"] for r in plan.values())
+    assert {r["doc_id"] for r in mixing.mix_rows(docs, "doc_id", "source", F.col("n")).collect()} == {1, 2, 3, 4}
