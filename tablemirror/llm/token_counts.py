@@ -26,6 +26,7 @@ from tablemirror.llm.chunks import Memo, text_batches, with_columns
 from tablemirror.llm.common import replaced
 
 _BLANKS = re.compile(r"[\x09-\x0D\x20]+")
+_SOLID = re.compile(r"[^\x09-\x0D\x20]+")
 #: Chunks whose normal form is their lower case: printable ASCII and Latin letters up to U+024F.
 _PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
 
@@ -139,6 +140,15 @@ class PrefixCounter:
 
     def _within(self, chunk: str, budget: int) -> int:
         """The same inside one chunk, from the stored counts of its words' prefixes."""
+        begin = 0
+        for match in _SOLID.finditer(chunk):  # counts add up at white space, so it narrows the chunk to one run
+            count = self.chunk[match.group()]
+            if count > budget:
+                return max(begin, match.start() + self._within_run(match.group(), budget))
+            budget, begin = budget - count, match.end()
+        return len(chunk)
+
+    def _within_run(self, chunk: str, budget: int) -> int:
         if not _PLAIN.fullmatch(chunk.strip()) or any(s in chunk for s in self.special):
             fits = (n for n in range(len(chunk), 0, -1) if self._chunk(chunk[:n]) <= budget)
             return next(fits, 0)
@@ -186,6 +196,25 @@ def prefix_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
+def with_longest_prefix(df: DataFrame, tokenizer_path: str, budget_col: str, text_col: str = "text", out: str = "prefix_chars") -> DataFrame:
+    """Add the characters of the longest prefix of at most ``budget_col`` tokens: where to truncate, to the character.
+
+    Unlike ``chars_within`` it also cuts texts without spaces. A null budget gives null, a
+    null text 0.
+    """
+    df = replaced(df, out)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = counter(tokenizer_path)
+        for batch, texts in text_batches(batches, text_col):
+            budgets = batch.column(budget_col).to_pylist()
+            found = [None if b is None else own.longest_prefix(t, b) for t, b in zip(texts, budgets, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def total_tokens(tokens: str = "prefix_tokens") -> Column:
     return F.element_at(tokens, -1).cast("long")
 

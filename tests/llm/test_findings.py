@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tablemirror.llm import html_extract, minhash, mixing
+from tablemirror.llm import html_extract, minhash, mixing, queries, token_counts
 
 
 def extracted(spark, bodies: list[str]) -> list[str]:
@@ -66,3 +66,19 @@ def test_small_sources_are_mixed_too(spark):
     plan = {r["source"]: r for r in mixing.plan_mix(docs, "source", F.col("n")).sources.collect()}
     assert all(1 <= r["passes"] <= 2 and r["passes"] * r["tokens"] + r["rest"] <= 2 * r["tokens"] for r in plan.values())
     assert {r["doc_id"] for r in mixing.mix_rows(docs, "doc_id", "source", F.col("n")).collect()} == {1, 2, 3, 4}
+
+
+def test_truncation_reaches_texts_without_spaces(spark):
+    pytest.importorskip("public_tokenizers")
+    path = queries.vocabulary("word_bpe_49k.json")
+    texts = ["one\ntwo\nthree\nfour\nfive", "日本語のテキスト" * 2, "unbrokenwordsofsomelength", "one two three", None]
+    rows = [(i, t, b) for i, t in enumerate(texts) for b in (3, 1000, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, budget int")
+    own = token_counts.counter(path)
+    for r in token_counts.with_longest_prefix(docs, path, "budget").collect():
+        text, cut = r["text"] or "", r["prefix_chars"]
+        if r["budget"] is None:
+            assert cut is None
+            continue
+        fits = [n for n in range(len(text) + 1) if int(own.prefixes(text[:n])[1][-1]) <= r["budget"]]
+        assert cut == max(fits) and (cut > 0 or not text)
