@@ -105,10 +105,15 @@ def exact_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fast_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """The same from Parquet footers: the count is pushed into the scan, no column is read."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    with_v2 = {name: spark.read.format("parquet").load(path) for name, path in paths.items()}
-    return exact_counts(with_v2)
+    """The same from Parquet footers: the count is pushed into the scan, no column is read.
+
+    Only Spark's V2 reader does that. Its settings hold in a session of their own, to which
+    the result belongs.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return exact_counts({name: own.read.parquet(path) for name, path in paths.items()})
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_a_trigger: int | None = None) -> DataFrame:

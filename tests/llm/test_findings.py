@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemirror.llm import html_extract, minhash, mixing, queries, token_counts
+from tablemirror.sources import scans
 
 
 def extracted(spark, bodies: list[str]) -> list[str]:
@@ -82,3 +83,11 @@ def test_truncation_reaches_texts_without_spaces(spark):
             continue
         fits = [n for n in range(len(text) + 1) if int(own.prefixes(text[:n])[1][-1]) <= r["budget"]]
         assert cut == max(fits) and (cut > 0 or not text)
+
+
+def test_fast_counts_come_from_footers(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.parquet.aggregatePushdown", "spark.sql.sources.useV1SourceList")}
+    found = scans.fast_counts(spark, {"region": "/root/testdata/sf0.001/region.parquet"})
+    assert "PushedAggregation: [COUNT(*)]" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("region", 5)]
+    assert before == {k: spark.conf.get(k) for k in before}
