@@ -4,17 +4,21 @@ A document is the set of its 5-word shingles, hashed to 64 bits. One permutation
 all bins: the hash's upper bits name the bin and its least value there is the bin's
 sample. Empty bins borrow from a bin that a fixed sequence of draws per bin finds (optimal
 densification, Shrivastava 2017). Bands of bins make buckets; in a bucket every document
-is a candidate of its hub only, a star, and candidates are confirmed on full sets.
-
-A star can miss a pair whose members are both unlike the hub. So confirmed links are
-joined to components, buckets that still hold more than one component get further hubs,
-four times as many each round, and hubs that met all others leave the bucket. Before, each
-document is asked whether it can have a link left at all: shingles that no other remaining
-document has bound its similarity to every one of them, and without a chance it leaves the
-bucket. It ends when every pair of a bucket was compared with each other, was excluded by
-that bound or is in one component.
-
-Equal sets are one node from the start, so copies add no pairs.
+is a candidate of its hub only, a star, and candidates are confirmed on full sets. Equal
+sets are one node from the start, so copies add no pairs.
+
+Before, documents leave that cannot have a link at all, because too many of their shingles
+are in no other document that shares a bucket.
+
+A star can miss a pair whose members are both unlike the hub. What such members have in
+common shows in their differences to the hub, which are far smaller than the sets: for
+sets A and B and a hub H, the difference of A and B is the difference of (A - H, H - A) and
+(B - H, H - B). A link bounds it, so two members that are linked, but not both to the hub,
+must share some of these differences, and members are dealt to finer buckets by their
+rarest ones (``_finer``), where another star follows. What finer buckets of the second star
+still hold apart is compared directly, difference by difference, in the join that finds
+it, so that only links come out of it. No pair that shares a bucket is left out: it was
+compared, lies in one component, or cannot be a link.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemirror.llm.common import discard, replaced, written
@@ -143,45 +147,73 @@ def _small(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(__id, n_shingles, node, bands)`` per row; node names the set (128 bits of it), null without words."""
+    """``(__id, n_shingles, name, bands)`` per row; name is 128 bits of the set's hash, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch, texts in _small(batches, "__text"):
             sets = shingles(texts)
             full = [s for s in sets if len(s)]
             hashes = iter(band_hashes(full).tolist() if full else [])
-            nodes = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+            names = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             bands = [next(hashes) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("__id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(nodes, pa.binary()),
+                    pa.array(names, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                ["__id", "n_shingles", "node", "bands"],
+                ["__id", "n_shingles", "name", "bands"],
             )
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    return rows.mapInArrow(run, "__id bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return rows.mapInArrow(run, "__id bigint, n_shingles bigint, name binary, bands array<bigint>")
+
+
+#: Places of the bitmap of wanted ids: 8 MB of bits, whatever the number of ids.
+_PLACES, _PART = 1 << 26, 1 << 15
+
+
+def _place(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(_PLACES))
+
+
+def _bitmap(df: DataFrame, ids: Column) -> np.ndarray:
+    """Bits at the places of the hashed ids. Of a fixed size: more ids make it fuller, not larger."""
+    bits = F.bitmap_construct_agg(F.pmod("place", F.lit(_PART)).cast("long")).alias("bits")
+    parts = df.select(_place(ids).alias("place")).groupBy((F.col("place") / _PART).cast("long").alias("part")).agg(bits)
+    out = np.zeros(_PLACES // 8, np.uint8)
+    for row in parts.collect():  # at most 2,048 rows of 4 KB
+        found = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[row["part"] * _PART // 8 :][: len(found)] = found
+    return out
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of the wanted nodes; ``wanted`` has (__id, node), one id a node."""
+    """``(node, shingles)`` of the wanted nodes; ``wanted`` has (node, name, least), where least is an id with the set ``name``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch, texts in _small(batches, "__text"):
-            expected = batch.column("node").to_pylist()
-            pairs = [(n, s.view(np.int64)) for n, s in zip(expected, shingles(texts), strict=True) if hashlib.md5(s.tobytes()).digest() == n]
-            if pairs:
-                offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in pairs])]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(offsets, np.concatenate([s for _, s in pairs]))
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.binary()), sets], ["node", "shingles"])
+    Texts are not shuffled: the ids of the wanted ones are sent out as a bitmap, and the
+    sets that pass it, a few too many, meet their names afterwards.
+    """
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(_bitmap(wanted, F.col("least")))
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    joined = rows.join(wanted, rows["__id"].eqNullSafe(wanted["__id"])).select("__text", "node")
-    # rows may repeat an id; of those with one set, one is enough
-    return joined.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            place = batch.column("__place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+            for _, texts in _small([batch], "__text"):
+                sets = [s for s in shingles(texts) if len(s)]
+                if sets:
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    names = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["name", "shingles"])
+
+    rows = df.select(_place(F.col(f"`{id_col}`").cast("long")).alias("__place"), F.col(f"`{text_col}`").alias("__text"))
+    found = rows.mapInArrow(run, "name binary, shingles array<bigint>")
+    one = found.groupBy("name").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id
+    return one.join(wanted, "name").select("node", "shingles")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -209,112 +241,189 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         before = mark
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("__a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("__b"))
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("__a") + F.size("__b") - shared)).select("a", "b")
-
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, n)`` of the nodes that may have a link.
 
-def _mixed_buckets(live: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    mixed = live.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("bucket")
-    return live.join(mixed, "bucket", "left_semi")
+    A node of n shingles, of which u are in no other node, shares at most n - u of them
+    with any one, and a link takes ``percent`` of n. Counts are combined before the shuffle.
+    """
+    held = sets.select("node", F.explode("shingles").alias("s"))
+    alone = held.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    return sizes.join(unshared, "node", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("node", "n")
 
 
-def _with_a_chance(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Bucket rows whose document may still have a link in the bucket.
+def _star(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compare ``(hub, node)`` pairs: differences both ways, and ``g``, which says how far they are from a link.
 
-    With u of its n shingles in no other remaining document, a document shares at most
-    n - u with any of them, so its similarity to one of m shingles is at most
-    (n - u) / (m + u). m is at least the bucket's smallest set, and at least the percentage
-    of n. Both aggregates are combined before their shuffles.
+    Two sets are linked if (100 + p) * size of their difference <= (100 - p) * sum of their
+    sizes; ``g`` is the part of that which is the node's, and a link to the hub is
+    g <= (100 - p) * hub_n.
     """
-    names = live.select("node").distinct()
-    held = sets.join(names, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    alone = held.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-    unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    smallest = live.groupBy("bucket").agg(F.min("n").alias("m"))
-    rows = live.join(unshared, "node", "left").join(smallest, "bucket").withColumn("u", F.coalesce("u", F.lit(0)))
-    partner = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100))
-    return rows.where(100 * (F.col("n") - F.col("u")) >= percent * (partner + F.col("u"))).drop("u", "m")
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("__h"))
+    joined = pairs.join(sets.select("node", F.col("shingles").alias("__s")), "node").join(hubs, "hub")
+    more, less = F.array_except("__s", "__h").alias("more"), F.array_except("__h", "__s").alias("less")
+    found = joined.select("hub", "node", "score", F.size("__s").alias("n"), F.size("__h").alias("hub_n"), more, less)
+    g = (100 + percent) * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")
+    return found.withColumn("g", g).withColumn("linked", F.col("g") <= (100 - percent) * F.col("hub_n"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``, the component of ``node`` so far."""
+    known = labels.select(F.col("node").alias("__x"), F.col("label").alias("__y"))
+    return rows.join(known, rows["node"] == known["__x"], "left").withColumn("comp", F.coalesce("__y", "node")).drop("__x", "__y")
+
+
+def _finer(star: DataFrame, percent: int) -> DataFrame:
+    """Members of finer buckets: ``(hub, kind, x, node, comp, score)``.
+
+    Of a hub's members that are still in several components, each is dealt to the buckets
+    of its rarest differences to the hub, so many that it must meet every member of
+    another component that it can be linked with:
+
+    * members near the hub (it has ``percent`` of them) by all differences. A link between
+      two takes (g + g') / 2 (100 + p) common differences, so each can leave out so many
+      but one of its commonest, with the least g' there is. Members linked with the hub
+      are of one component, so they need to meet the other near members only (kind 0),
+      and these each other (kind 1).
+    * with a member that is not near, by what is not in the hub: of such a member's own
+      shingles, ``percent`` of n less those in the hub must be common. Near members have
+      few shingles that are not in the hub and are dealt by all of them (kind 2).
+
+    Differences of a single member are rarest of all and lead nowhere: they are counted,
+    not dealt out.
+    """
+    most = F.ceil(F.col("n") * percent / 100).cast("int")
+    near = F.col("n") - F.size("more") >= most
+    ranked = star.withColumn("cls", F.when(F.col("linked"), 0).when(near, 1).otherwise(2))
+    least = lambda c: F.min(F.when(F.col("cls") == c, F.col("g")))
+    hubs = ranked.groupBy("hub").agg(
+        (F.min("comp") < F.max("comp")).alias("mixed"), least(0).alias("g0"), least(1).alias("g1"), F.max("cls").alias("cls_most")
+    ).where("mixed")
+    members = ranked.join(hubs.drop("mixed"), "hub").withColumn("own", F.size("more"))
+    own = F.transform("more", lambda x: F.struct(x.alias("x"), F.lit(True).alias("is_own")))
+    lacks = F.transform("less", lambda x: F.struct(x.alias("x"), F.lit(False).alias("is_own")))
+    dealt = F.explode(F.when(F.col("cls") == 2, own).otherwise(F.concat(own, lacks))).alias("d")
+    each = members.select("hub", "node", dealt).select("hub", "node", "d.x", "d.is_own")
+    common = each.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    mine, mine_own = Window.partitionBy("hub", "node"), Window.partitionBy("hub", "node", "is_own")
+    placed = each.join(common, ["hub", "x"]).select(
+        "hub", "node", "x", "is_own",
+        F.row_number().over(mine.orderBy("c", "x")).alias("at"), F.count(F.lit(1)).over(mine).alias("k"),
+        F.row_number().over(mine_own.orderBy("c", "x")).alias("at_own"), F.count(F.lit(1)).over(mine_own).alias("k_own"),
+    )
+    facts = members.select("hub", "node", "score", "comp", "cls", "n", "g", "g0", "g1", "own", "cls_most")
+    rows = placed.join(facts, ["hub", "node"])
+
+    def within(other: str) -> Column:
+        """Whether a difference is rare enough to be dealt by, with partners whose least g is ``other``."""
+        takes = F.greatest(F.ceil((F.col("g") + F.col(other)) / (2 * (100 + percent))), F.lit(1))
+        return F.coalesce(F.col("at") <= F.col("k") - takes + 1, F.lit(False))
+
+    far = F.col("at_own") <= F.col("n") - most + 1 - (F.col("own") - F.col("k_own"))
+    kinds = F.array(
+        F.when(((F.col("cls") == 0) & within("g1")) | ((F.col("cls") == 1) & within("g0")), 0),
+        F.when((F.col("cls") == 1) & within("g1"), 1),
+        F.when((F.col("cls_most") == 2) & F.col("is_own") & ((F.col("cls") < 2) | far), 2),
+    )
+    return rows.select("hub", "x", "node", "comp", "score", "cls", F.explode(F.array_compact(kinds)).alias("kind"))
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Finer buckets that hold a pair to compare, one of those with the same members, and the hub (``top``) of each."""
+    found = rows.groupBy("hub", "kind", "x").agg(
+        F.count(F.lit(1)).alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"), F.min("cls").alias("cls0"), F.max("cls").alias("cls1"),
+        F.bit_xor(F.xxhash64("node")).alias("s0"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1"), F.max(F.struct("score", "node")).alias("top"),
+    )
+    useful = F.when(F.col("kind") == 0, (F.col("cls0") == 0) & (F.col("cls1") == 1)).when(F.col("kind") == 2, F.col("cls1") == 2).otherwise(True)
+    one = found.where(F.col("mixed") & useful).groupBy("hub", "c", "s0", "s1").agg(F.min(F.struct("kind", "x")).alias("k"), F.min("top").alias("top"))
+    return one.select("hub", "k.kind", "k.x", F.col("top.node").alias("top"))
+
+
+def _compared(rows: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one finer bucket; pairs that are none do not leave the join."""
+    held = star.select("hub", "node", "g", F.concat("more", "less").alias("d"))
+    members = rows.join(_buckets(rows).drop("top"), ["hub", "kind", "x"]).select("hub", "kind", "x", "node", "comp").join(held, ["hub", "node"])
+    one = members.select("hub", "kind", "x", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "g", "d")))
+    two = members.select("hub", "kind", "x", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "g", "d")))
+    takes = F.col("g_a") + F.col("g_b")
+    enough = lambda common: 2 * (100 + percent) * common >= takes
+    linked = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    linked &= enough(F.least(F.size("d_a"), F.size("d_b"))) & enough(F.size(F.array_intersect("d_a", "d_b")))
+    both = one.join(two, ["hub", "kind", "x"]).where(linked)
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (least id reachable by links), ``kept``.
 
     Words are runs of bytes other than ASCII white space, with A-Z lowered. Rows without
-    words are linked with nothing. Rows that repeat an id are each a document; a null id
+    words (null, empty and blank texts) are linked with nothing. Rows that repeat an id are
+    each a document, and of a component's rows with the least id each is ``kept``; a null id
     counts as larger than any other, so a component of null ids only has a null
-    component_id. Runs Spark jobs at once; its intermediate tables are written to the
-    shared folder, and the two that the result reads stay there. A ``percent`` that the
-    bands cannot serve is refused.
+    component_id. An empty table gives no rows. Runs Spark jobs at once; its intermediate
+    tables are written to the shared folder, and those that the result reads stay there. A
+    ``percent`` that the bands cannot serve is refused.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is {percent}; {BANDS} bands of {BAND_BINS} bins serve {LEAST_PERCENT} to 100")
-    spark = df.sparkSession
+    scratch: list[str] = []
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        out, path = written(rows, name)
+        scratch.append(path)
+        return out
+
     sketch, _ = written(sketches(df, id_col, text_col), "sketches")
-    nodes = sketch.where(F.col("node").isNotNull()).dropDuplicates(["node"])
-    members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live, live_path = written(members.join(shared, "bucket"), "buckets")
-    # a document that is in many and large buckets is close to many: it makes the best hub
-    score = live.groupBy("node").agg(F.sum("size").alias("score"))
-    names = live.select("node").distinct()
-    wanted = sketch.join(names, "node", "left_semi").groupBy("node").agg(F.min("__id").alias("__id"))
-    sets, sets_path = written(full_sets(df, id_col, text_col, wanted), "sets")
-    scored, scored_path = written(live.join(score, "node").select("bucket", "node", "n", "score").withColumn("comp", F.col("node")), "buckets")
-    discard(spark, live_path)
-    live, live_path = scored, scored_path
-    labels: DataFrame | None = None
-    labels_path, hubs_each = "", 1
-    while True:
-        ranked = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "node")
-        hubs = (
-            live.withColumn("rank", F.row_number().over(ranked))
-            .where(F.col("rank") <= hubs_each)
-            .select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        )
-        near = (F.col("node") != F.col("hub")) & (F.col("comp") != F.col("hub_comp"))
-        alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        pairs = live.join(hubs, "bucket").where(near & alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        links, links_path = written(_confirmed(pairs, sets, percent), "links")
-        old_labels_path, found_links = "", not links.isEmpty()
-        if labels is None:
-            labels, labels_path = components(links)
-        elif found_links:
-            old_labels_path = labels_path
-            known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
-            a = links.join(known, links["a"] == known["x"], "left").select(F.coalesce("y", "a").alias("a"), "b")
-            both = a.join(known, a["b"] == known["x"], "left").select("a", F.coalesce("y", "b").alias("b")).where("a <> b")
-            joined, joined_path = components(both)
-            up = joined.select(F.col("node").alias("x"), F.col("label").alias("y"))
-            moved = labels.join(up, labels["label"] == up["x"], "left").select("node", F.coalesce("y", "label").alias("label"))
-            roots = joined.join(labels, "node", "left_anti")
-            labels, labels_path = written(moved.unionByName(roots), "labels")
-            discard(spark, joined_path)
-        rest = live.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        if found_links:
-            known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
-            rest = rest.join(known, rest["node"] == known["x"], "left").select("bucket", "node", "n", "score", F.coalesce("y", "node").alias("comp"))
-        mixed, mixed_path = written(_mixed_buckets(rest), "buckets")
-        remaining, remaining_path = written(_mixed_buckets(_with_a_chance(mixed, sets, percent)), "buckets")
-        discard(spark, live_path, links_path, mixed_path, *([old_labels_path] if old_labels_path else []))
-        live, live_path = remaining, remaining_path
-        hubs_each *= 4
-        if live.isEmpty():
-            break
-    discard(spark, sets_path, live_path)
-    ids = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("__id").alias("least"))
-    linked = labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
-    smallest = linked.join(ids, "node").groupBy("label").agg(F.min("least").alias("component"))
-    of_node = linked.join(smallest, "label").select("node", "component")
-    found = ids.join(of_node, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return sketch.join(found, "node", "left").select(
+    named = sketch.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("__id").alias("least"), F.first("bands").alias("bands"))
+    nodes = kept(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
+
+    # documents that share a bucket and may have a link
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg((F.min("node") < F.max("node")).alias("shared")).where("shared").select("bucket")
+    live = kept(members.join(shared, "bucket"), "buckets")
+    wanted = nodes.select("node", "name", "least").join(live.select("node").distinct(), "node", "left_semi")
+    sets = kept(full_sets(df, id_col, text_col, wanted), "sets")
+    able = kept(_able(sets, percent), "able")
+    live = live.join(able.select("node"), "node")
+    live = kept(live.join(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "buckets")
+
+    # a star in every bucket; a document in many and large buckets is close to many: it makes the best hub
+    scored = live.join(live.groupBy("node").agg(F.sum("size").alias("score")), "node").select("bucket", "node", "score")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
+    pairs = scored.join(hubs, "bucket").where("node <> hub").select("hub", "node", "score").distinct()
+    star = kept(_star(pairs, sets, percent), "star")
+    links = star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels, path = components(links)
+    scratch.append(path)
+
+    # a star in every finer bucket
+    rows = kept(_finer(_labelled(star, labels), percent), "finer")
+    pairs = rows.join(_buckets(rows), ["hub", "kind", "x"]).where("node <> top").select(F.col("top").alias("hub"), "node", "score").distinct()
+    star = kept(_star(pairs, sets, percent), "star")
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    labels, path = components(known.union(star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    scratch.append(path)
+
+    # what is left in still finer ones
+    star = _labelled(star, labels)
+    links = kept(_compared(kept(_finer(star, percent), "finer"), star, percent), "links")
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    labels, path = components(known.union(links))
+    scratch.append(path)
+
+    of_node = labels.union(labels.select("label", "label").distinct()).join(nodes.select("node", "name", "least"), "node")
+    smallest = of_node.groupBy("label").agg(F.min("least").alias("component"))
+    joined, _ = written(of_node.join(smallest, "label").select("name", "component"), "components")
+    least = nodes.select("name", "least").join(joined, "name", "left").select("name", F.coalesce("component", "least").alias("component"))
+    least, _ = written(least, "components")
+    discard(df.sparkSession, *scratch)
+    return sketch.join(least, "name", "left").select(
         F.col("__id").alias(id_col),
         "n_shingles",
-        F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(F.col("node").isNull(), True).otherwise(F.col("__id").eqNullSafe(F.col("component"))).alias("kept"),
+        F.when(F.col("name").isNull(), F.col("__id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(F.col("name").isNull(), True).otherwise(F.col("__id").eqNullSafe(F.col("component"))).alias("kept"),
     )
 
 
