@@ -34,7 +34,7 @@ from tablemirror.llm.common import discard, replaced, written
 
 #: At most about so many labelled rows are learned from, chosen by a hash of their id.
 MOST_LABELLED = 20_000
-#: At most so many words and beginnings are learned.
+#: At most so many words and beginnings are learned, the strongest first; a bound on what is sent to all executors.
 MOST_WORDS = 5_000
 #: A learned word is at least so many times as common in toxic rows (natural logarithm).
 LEAST_WEIGHT = 2.0
@@ -53,7 +53,8 @@ SECOND_PERSON = frozenset(
     "tus usted ustedes vosotros".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[\d@$!*#+|.\-_]+[^\W\d_]+)+")
+#: Begins only where a run of letters does and gives nothing back, so the time is linear in long words too.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\d@$!*#+|.\-_]++[^\W\d_]++)++")
 #: What stands for letters in masked words.
 _UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -66,6 +67,8 @@ FEATURES = (
     "second_person", "capitals", "capital_words", "punctuation", "exclamations", "masked", "masked_hits", "stretched",
     "digits", "length",
 )
+#: The features' columns, named so that they meet no column of a caller.
+_COLUMNS = [f"__feature_{name}" for name in FEATURES]
 
 
 def keys_of(word: str) -> list[str]:
@@ -125,8 +128,8 @@ class Features:
 
 def with_features(df: DataFrame, text_col: str, weights: list[dict[str, float]], choice: str | None = None) -> DataFrame:
     """Append the feature columns; ``choice`` names a column with the index of the weights to use."""
-    df = replaced(df, *FEATURES)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
+    df = replaced(df, *_COLUMNS)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in _COLUMNS)])
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def with_features(df: DataFrame, text_col: str, weights: list[dict[str, float]],
         for batch, texts in text_batches(batches, text_col):
             which = batch.column(choice).to_pylist() if choice else [0] * len(texts)
             table = np.array([own[i](t) for i, t in zip(which, texts, strict=True)], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in table.T)], [*names, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in table.T)], [*names, *_COLUMNS])
 
     return df.mapInArrow(run, schema)
 
@@ -174,7 +177,10 @@ class ToxicityModel:
     constant: float = 0.0
 
     def score(self, df: DataFrame, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-        """``df`` and one more column: the calibrated score, 0 to 1. A map over rows; null counts as empty."""
+        """``df`` and one more column: the calibrated score, 0 to 1. A map over rows; null counts as empty.
+
+        Columns of the caller stay as they are, but for one called ``out``.
+        """
         df = replaced(df, out)
         if self.trees is None:
             return df.withColumn(out, F.lit(self.constant))
@@ -186,7 +192,7 @@ class ToxicityModel:
 
 
 def _raw(trees: Any, featured: DataFrame) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__vector").transform(featured)
+    vectors = VectorAssembler(inputCols=_COLUMNS, outputCol="__vector").transform(featured)
     return trees.transform(vectors).withColumn("__raw", vector_to_array("__probability")[1])
 
 
@@ -198,13 +204,16 @@ def fit(
     label_col: str = "toxic",
     most_labelled: int = MOST_LABELLED,
     seed: int = 17,
+    most_words: int = MOST_WORDS,
 ) -> ToxicityModel:
     """Learn from the rows of ``df`` that ``labels`` (id, label 0 or 1) names.
 
     If there are more labelled rows than ``most_labelled``, that share of them is taken by
     a hash of the id. So the labels that are sent to all executors and the rows learned
     from are bounded. Rows with a null label are left out; of an id labelled more than
-    once the largest label counts.
+    once the largest label counts. Without both labels in both halves of the rows (an empty
+    table, no labels) the model is the constant share of toxic rows, 0 without rows. Null
+    texts count as empty; rows that repeat an id are each learned from.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -227,7 +236,7 @@ def fit(
 
     t, m = F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
     odds = F.log((t + 0.5) / (sum(toxic.values()) + 1)) - F.log((m + 0.5) / (sum(clean.values()) + 1))
-    strong = word_counts(labelled).where((t >= 2) & (odds >= LEAST_WEIGHT / 2)).orderBy((odds * F.log1p(t)).desc(), "key").limit(MOST_WORDS)
+    strong = word_counts(labelled).where((t >= 2) & (odds >= LEAST_WEIGHT / 2)).orderBy((odds * F.log1p(t)).desc(), "key").limit(most_words)
     found = strong.collect()
 
     def weights(halves: tuple[int, ...]) -> dict[str, float]:
@@ -243,7 +252,7 @@ def fit(
     # half 0 is featured with the words of half 1, and the other way round
     featured, featured_path = written(with_features(labelled, "__text", [weights((1,)), weights((0,))], "__half").drop("__text"), "featured")
     featured = featured.coalesce(6).withColumn("__label", F.col("__toxic").cast("double"))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__vector").transform(featured.where("__half = 0"))
+    vectors = VectorAssembler(inputCols=_COLUMNS, outputCol="__vector").transform(featured.where("__half = 0"))
     boosting = GBTClassifier(
         featuresCol="__vector", labelCol="__label", predictionCol="__predicted", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, seed=seed
     )

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -243,6 +244,59 @@ def test_toxicity(insults):
 def test_toxicity_edges(insults, edge):
     out = insults[3].score(edge)
     assert out.columns[-1] == "toxicity" and out.where("toxicity IS NULL").count() == 0 and out.count() == edge.count()
+    assert out.where("length <> 'own' OR node <> 'own'").count() == 0  # a caller's columns stay, whatever a feature is called
+
+
+def test_toxicity_without_rows_or_labels(insults, spark):
+    df, _, known, _ = insults
+    for rows, labels in ((df.limit(0), known), (df, known.limit(0)), (df, known.withColumn("toxic", F.lit(None).cast("int")))):
+        assert {r["toxicity"] for r in toxicity.fit(rows, labels).score(df).collect()} == {0.0}
+
+
+def plain_features(text: str, weights: dict) -> list[float]:
+    """The features by their definitions, word by word."""
+    words = [w for w in re.split(r"[\W\d_]+", text.lower()) if w]
+    value = [max([weights.get(k, 0.0) for k in toxicity.keys_of(w)]) if len(w) > 2 else 0.0 for w in words]
+    hits, second = [i for i, v in enumerate(value) if v], [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    masked = []
+    for run in re.findall(r"[\w@$!*#+|.\-]+", text.lower()):
+        inner = re.search(r"[^\W\d_].*[^\W\d_]", run, re.S)
+        parts = re.split(r"[^\w@$!*#+|.\-]+", inner.group()) if inner else []
+        masked += [p for p in parts if re.search(r"[\d@$!*#+|.\-_]", p)]
+    plain = ["".join(c for c in m.translate(toxicity._UNMASK) if c.isalpha()) for m in masked]
+    n, size = max(len(words), 1), max(len(text.encode()), 1)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    stretched, at = 0, 0
+    low = text.lower()
+    while at < len(low) - 2:
+        if low[at].isalpha() and low[at] == low[at + 1] == low[at + 2]:
+            stretched, at = stretched + 1, at + 3
+        else:
+            at += 1
+    return [
+        100 * len(hits) / n, len({words[i] for i in hits}), max(value, default=0.0), 100 * sum(value) / n, 100 * sum(w in toxicity.INSULTS for w in set(words)) / n,
+        sum(any(abs(i - j) <= 5 for j in second) for i in hits) / max(len(hits), 1), 100 * len(second) / n, upper / max(upper + lower, 1),
+        sum(w.isupper() and len(w) > 2 for w in text.split()) / n if upper > 3 else 0.0,
+        sum(33 <= ord(c) < 48 or 58 <= ord(c) < 65 or 91 <= ord(c) < 97 or 123 <= ord(c) < 127 for c in text) / size,
+        100 * sum(c in "!?" for c in text) / size, 100 * len(masked) / n,
+        sum(p in toxicity.INSULTS or (len(p) > 2 and max(weights.get(k, 0.0) for k in toxicity.keys_of(p)) > 0) for p in plain),
+        100 * stretched / n, 100 * sum("0" <= c <= "9" for c in text) / size, np.log1p(len(words)),
+    ]
+
+
+def test_toxicity_features_by_brute_force(docs):
+    weights, rng = {"bad": 3.0, "zorg-": 2.5, "idiot": 4.0}, random.Random(8)
+    own = toxicity.Features(weights)
+    bits = ["you ", "bad ", "zorgling ", "1d10t", " b4d!", "I D", "SHOUT ", "sooo ", "é日 ", "a_b", "-", ". ", "x.y.z ", "\n", "99 ", "YOUR", "w" * 30]
+    for text in [t for _, t in docs[:60]] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(400)]:
+        assert own(text) == pytest.approx(plain_features(text, weights)), text
+
+
+def test_toxicity_features_are_linear_in_long_words():
+    own, start = toxicity.Features({}), time.process_time()
+    for text in ("x" * 10**6, "日" * 10**6, "a1" * 500_000, "1" * 10**6, "a" + "1" * 10**6):
+        own(text)
+    assert time.process_time() - start < 10
 
 
 def test_token_store(spark, docs, edge, tmp_path):
@@ -259,7 +313,7 @@ def test_token_store(spark, docs, edge, tmp_path):
     token_store.write_shards(edge, str(tmp_path / "shards"), path, partitions=3, ids_a_shard=64)
     back = token_store.read_shards(spark.read.parquet(str(tmp_path / "shards"))).collect()
     rows = [r for r in EDGES] if edge.count() else []
-    wanted = Counter((-1 if r[0] is None else r[0], np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in rows)
+    wanted = Counter((r[0], np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in rows)
     assert Counter((r["doc_id"], bytes(r["token_ids"])) for r in back) == wanted
     assert sorted(r["start"] for r in back)[:1] == ([0] if rows else [])
 
