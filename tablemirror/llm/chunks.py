@@ -14,8 +14,9 @@ import pyarrow as pa
 
 _SPACE_RUN = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: Entries of one generation of a memo; bounds a worker's memory, not the results.
-MEMO_ENTRIES = 600_000
+#: Entries of one generation of a memo, and the longest texts that are remembered; both bound a worker's memory,
+#: also for scripts without spaces, and not the results.
+MEMO_ENTRIES, LONGEST_KEY = 600_000, 64
 #: Rows of one output batch, so that a batch of long texts stays small.
 ROWS_OUT = 256
 
@@ -24,7 +25,8 @@ class Memo(dict):
     """A dict that computes missing values and holds two generations of them.
 
     When the young generation is full it becomes the old one, and the old one is
-    forgotten but for what is asked for again meanwhile.
+    forgotten but for what is asked for again meanwhile. Values of long texts are computed
+    each time.
     """
 
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
@@ -35,6 +37,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if isinstance(key, str) and len(key) > LONGEST_KEY:
+                return value
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
@@ -43,12 +47,12 @@ class Memo(dict):
 
 
 class ChunkMemo:
-    """Joins the bytes that ``encode`` gives for each chunk of a text."""
+    """Joins the bytes that ``encode`` gives for each chunk of a text; ``spaced`` gives those of a chunk with a space before it."""
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bool] | None = None):
+    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bool] | None = None, spaced: Callable[[str], bytes] | None = None):
         self.encode, self.whole = encode, whole
         self.chunk = Memo(encode)
-        self.spaced = Memo(lambda part: encode(" " + part))
+        self.spaced = Memo(spaced or (lambda part: encode(" " + part)))
 
     def __call__(self, text: str) -> bytes:
         if self.whole is not None and self.whole(text):
@@ -59,6 +63,15 @@ class ChunkMemo:
         return (self.chunk[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 as it is, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {b: chr(b) for b in shown}
+    for b in range(256):
+        letters.setdefault(b, chr(0x100 + len(letters) - len(shown)))
+    return [letters[b] for b in range(256)]
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Small batches with the texts of one column; null counts as empty."""
     for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemirror.llm.chunks import Memo, text_batches, with_columns
+from tablemirror.llm.chunks import Memo, byte_letters, text_batches, with_columns
 from tablemirror.llm.common import replaced
 
 _BLANKS = re.compile(r"[\x09-\x0D\x20]+")
@@ -31,15 +31,6 @@ _SOLID = re.compile(r"[^\x09-\x0D\x20]+")
 _PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
 
 
-def _byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 as it is, others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {b: chr(b) for b in shown}
-    for b in range(256):
-        letters.setdefault(b, chr(0x100 + len(letters) - len(shown)))
-    return [letters[b] for b in range(256)]
-
-
 class WordPrefixes:
     """Token counts of every prefix of a word, by the merges of a tokenizer file."""
 
@@ -48,7 +39,7 @@ class WordPrefixes:
         self.ranks = {pair: i for i, pair in enumerate(pairs)}
         self.vocab, self.suffix = model["vocab"], suffix
         self.longest = max(len(t) - (len(suffix) if t.endswith(suffix) else 0) for t in self.vocab)
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.stands = Memo(lambda key: self.merged(*key) == 1)
         self.follows = Memo(lambda key: self.merged(key[0] + key[1], key[2], len(key[0])) == 2)
 

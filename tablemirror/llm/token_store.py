@@ -6,11 +6,11 @@ stably parted by the plane before it (Claude, Navarro and Ordonez 2015). With co
 ones at regular places, a token is read, counted or found at any place without unpacking
 the rest.
 
-File layout of a shard, all little-endian: 4 bytes ``WMX1``; unsigned 32-bit counts of
+File layout of a shard, all little-endian: 4 bytes ``WMX2``; unsigned 32-bit counts of
 documents and planes; an unsigned 64-bit count of ids; then length-prefixed (unsigned
-64-bit) Zstandard frames: document ids (64-bit), their ids' end offsets (64-bit), and for
-each plane its ones before each 512th place (32-bit) and its bits (lowest bit first). The
-shards are the ``payload`` column of Parquet files, so that they are written and committed
+64-bit) Zstandard frames: document ids (64-bit), a bit for each that is not null (lowest
+bit first), their ids' end offsets (64-bit), and for each plane its ones before each 512th
+place (32-bit) and its bits (lowest bit first). The shards are the ``payload`` column of Parquet files, so that they are written and committed
 by Spark to any store it can reach.
 """
 
@@ -27,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.chunks import ChunkMemo, text_batches
+from tablemirror.llm.chunks import ChunkMemo, byte_letters, text_batches
 
 _BLOCK = 512
+#: Text in a range of ids, and the most shards whose starts (24 bytes each) are sent to all executors.
+RANGE_BYTES, MOST_SENT = 64 << 20, 200_000
 
 
 class WaveletMatrix:
@@ -127,35 +129,37 @@ def pack_shard(doc_ids: list, sizes: list[int], values: np.ndarray) -> bytes:
     """The file of one shard."""
     bits = max(1, int(values.max(initial=0)).bit_length())
     matrix = WaveletMatrix.build(values, bits)
-    known = np.array([-1 if d is None else d for d in doc_ids], "<i8")
-    parts = [known, np.cumsum(sizes).astype("<u8")]
+    known = np.packbits([d is not None for d in doc_ids], bitorder="little")
+    parts = [np.array([0 if d is None else d for d in doc_ids], "<i8"), known, np.cumsum(sizes).astype("<u8")]
     for ranks, plane in zip(matrix.ranks, matrix.planes, strict=True):
         parts += [ranks.astype("<u4"), plane]
     frames = [zstandard.compress(p.tobytes(), 1) for p in parts]
-    head = b"WMX1" + struct.pack("<IIQ", len(doc_ids), bits, len(values))
+    head = b"WMX2" + struct.pack("<IIQ", len(doc_ids), bits, len(values))
     return head + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
 
 
-def open_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, end offsets and the matrix of a shard file."""
-    if payload[:4] != b"WMX1":
+def open_shard(payload: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
+    """Document ids (null where one was), end offsets and the matrix of a shard file."""
+    if payload[:4] != b"WMX2":
         raise ValueError("not a shard file")
-    _, bits, n = struct.unpack_from("<IIQ", payload, 4)
+    n_docs, bits, n = struct.unpack_from("<IIQ", payload, 4)
     at, frames = 20, []
     while at < len(payload):
         (size,) = struct.unpack_from("<Q", payload, at)
         frames.append(zstandard.decompress(payload[at + 8 : at + 8 + size]) if size else b"")
         at += 8 + size
-    planes = [np.frombuffer(f, np.uint8) for f in frames[3::2]]
-    ranks = [np.frombuffer(f, "<u4") for f in frames[2::2]]
-    return np.frombuffer(frames[0], "<i8"), np.frombuffer(frames[1], "<u8").astype(np.int64), WaveletMatrix(n, planes[:bits], ranks)
+    planes = [np.frombuffer(f, np.uint8) for f in frames[4::2]]
+    ranks = [np.frombuffer(f, "<u4") for f in frames[3::2]]
+    null = ~np.unpackbits(np.frombuffer(frames[1], np.uint8), count=n_docs, bitorder="little").view(bool)
+    doc_ids = pa.array(np.frombuffer(frames[0], "<i8"), mask=null)
+    return doc_ids, np.frombuffer(frames[2], "<u8").astype(np.int64), WaveletMatrix(n, planes[:bits], ranks)
 
 
-#: A word and ASCII punctuation after it, between which byte-level pre-tokenizers always cut
+#: A word of Latin letters and ASCII punctuation after it, between which byte-level pre-tokenizers always cut
 #: (not an apostrophe: contractions begin with one).
-_WORD_AND_MARKS = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words parted by single line ends, each of which is a piece of its own.
-_LINES = re.compile(r" ?\S+(?:\n\S+)+")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 _CHUNKS: dict[str, ChunkMemo] = {}
 
 
@@ -163,27 +167,36 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
     """The tokenizers library behind a memo of chunks; ids as little-endian unsigned 32-bit.
 
     A text that holds an added token is encoded whole, because the library cuts it there.
-    A word with punctuation after it is two memo entries, so that words are shared.
+    A word of letters is one piece of the pre-tokenizer and goes to the library's model
+    right away; a word with punctuation after it is two memo entries, so that words are
+    shared. What is neither goes through the whole tokenizer.
     """
     if tokenizer_path not in _CHUNKS:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer_path)
         added = [t.content for t in library.get_added_tokens_decoder().values()]
+        model = library.model.tokenize
+        letters = {b: x for b, x in enumerate(byte_letters())}
 
         def encode(text: str) -> bytes:
+            ids = library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def spaced(text: str) -> bytes:
             match = _WORD_AND_MARKS.fullmatch(text)
-            if match and match.group(2).isalpha():
-                space, word, marks = match.groups()
-                return (memo.spaced if space else memo.chunk)[word] + memo.chunk[marks]
+            if match:
+                word, marks = match.groups()
+                if marks:
+                    return memo.spaced[word] + memo.chunk[marks]
+                ids = [t.id for t in model((" " + word).encode().decode("latin-1").translate(letters))]
+                return struct.pack(f"<{len(ids)}I", *ids)
             if "\n" in text and _LINES.fullmatch(text):
                 first, *lines = text.split("\n")
-                head = memo.spaced[first[1:]] if first[0] == " " else memo.chunk[first]
-                return memo.chunk["\n"].join([head, *map(memo.chunk.__getitem__, lines)])
-            ids = library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+                return memo.chunk["\n"].join([memo.spaced[first], *map(memo.chunk.__getitem__, lines)])
+            return encode(" " + text)
 
-        memo = _CHUNKS[tokenizer_path] = ChunkMemo(encode, lambda text: any(a in text for a in added))
+        memo = _CHUNKS[tokenizer_path] = ChunkMemo(encode, lambda text: any(a in text for a in added), spaced)
     return _CHUNKS[tokenizer_path]
 
 
@@ -201,10 +214,13 @@ def write_shards(
 
     Rows are dealt by id range, so a shard holds neighbours and a task keeps at most one
     open shard of about ``ids_a_shard`` ids (one document is never cut). A null or empty
-    text has only the end id. Rows with equal ids stay neighbours; null ids come first.
+    text has only the end id. Rows with equal ids stay neighbours; null ids come first. An
+    empty table gives no files with rows. Unless ``partitions`` says otherwise there are as
+    many ranges as shuffle partitions, or more if a range would be over about 64 MB of text.
     """
     if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -255,7 +271,8 @@ def shard_starts(files: DataFrame) -> DataFrame:
 def read_shards(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every document of the shard files: id, ``start`` (ids of all documents before it), ``token_ids`` (binary).
 
-    Shards are unpacked one by one. A document written with a null id comes back as -1.
+    Shards are unpacked one by one. The starts of shards are sent to them, unless there are
+    more than ``MOST_SENT`` (counted first, which runs a Spark job); then both are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -269,12 +286,14 @@ def read_shards(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     spans = list(zip(begins[at : at + 512].tolist(), ends[at : at + 512].tolist(), strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(doc_ids[at : at + 512]),
+                            doc_ids[at : at + 512],
                             pa.array(begins[at : at + 512] + starts),
                             pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()),
                         ],
                         [id_col, "start", "token_ids"],
                     )
 
-    placed = files.join(shard_starts(files), ["range", "nth"]).select("shard_start", "payload")
+    starts = shard_starts(files)
+    starts = F.broadcast(starts) if files.select("n_ids").count() <= MOST_SENT else starts
+    placed = files.join(starts, ["range", "nth"]).select("shard_start", "payload")
     return placed.mapInArrow(run, f"{id_col} bigint, start bigint, token_ids binary")
