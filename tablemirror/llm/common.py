@@ -77,3 +77,30 @@ def range_of(id_col: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     array = F.lit([int(b) for b in bounds]).cast("array<bigint>")
     return F.coalesce(F.size(F.filter(array, lambda b: b <= id_col)), F.lit(0))
+
+
+#: A bitmap of ids has so many places, in parts of so many: 8 MB, whatever the number of ids.
+PLACES, PART = 1 << 26, 1 << 15
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+
+
+def key_bitmap(df: DataFrame, key: Column) -> DataFrame:
+    """``(part, bits)``: bits at the places of the hashed keys, at most 2,048 rows of 4 KB.
+
+    Of a bounded size, so it can be sent to all executors; more keys make it fuller, and a
+    full one lets everything pass.
+    """
+    bits = F.bitmap_construct_agg(F.pmod("place", F.lit(PART)).cast("long")).alias("bits")
+    return df.select(_place(key).alias("place")).groupBy((F.col("place") / PART).cast("long").alias("part")).agg(bits)
+
+
+def with_chance(df: DataFrame, key: Column, bitmap: DataFrame, out: str) -> DataFrame:
+    """``df`` and a boolean ``out``: false if the key is surely not in the bitmap. No shuffle."""
+    sent = F.broadcast(bitmap.select(F.col("part").alias("__part"), F.col("bits").alias("__bits")))
+    at = F.pmod(F.col("__place"), F.lit(PART)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = df.withColumn("__place", _place(key)).join(sent, (F.col("__place") / PART).cast("long") == F.col("__part"), "left")
+    return found.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop("__place", "__part", "__bits")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import discard, replaced, written
+from tablemirror.llm.common import discard, key_bitmap, replaced, with_chance, written
 
 WORDS = 5
 #: 32 bands of 5 bins: a pair of similarity 0.85 shares no bucket with a chance of 7e-9, one of 0.80 with a chance of 3e-6.
@@ -170,48 +170,24 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "__id bigint, n_shingles bigint, name binary, bands array<bigint>")
 
 
-#: Places of the bitmap of wanted ids: 8 MB of bits, whatever the number of ids.
-_PLACES, _PART = 1 << 26, 1 << 15
-
-
-def _place(ids: Column) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(_PLACES))
-
-
-def _bitmap(df: DataFrame, ids: Column) -> np.ndarray:
-    """Bits at the places of the hashed ids. Of a fixed size: more ids make it fuller, not larger."""
-    bits = F.bitmap_construct_agg(F.pmod("place", F.lit(_PART)).cast("long")).alias("bits")
-    parts = df.select(_place(ids).alias("place")).groupBy((F.col("place") / _PART).cast("long").alias("part")).agg(bits)
-    out = np.zeros(_PLACES // 8, np.uint8)
-    for row in parts.collect():  # at most 2,048 rows of 4 KB
-        found = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[row["part"] * _PART // 8 :][: len(found)] = found
-    return out
-
-
 def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """``(node, shingles)`` of the wanted nodes; ``wanted`` has (node, name, least), where least is an id with the set ``name``.
 
     Texts are not shuffled: the ids of the wanted ones are sent out as a bitmap, and the
     sets that pass it, a few too many, meet their names afterwards.
     """
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(_bitmap(wanted, F.col("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            place = batch.column("__place").to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
-            for _, texts in _small([batch], "__text"):
-                sets = [s for s in shingles(texts) if len(s)]
-                if sets:
-                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                    names = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-                    yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["name", "shingles"])
-
-    rows = df.select(_place(F.col(f"`{id_col}`").cast("long")).alias("__place"), F.col(f"`{text_col}`").alias("__text"))
-    found = rows.mapInArrow(run, "name binary, shingles array<bigint>")
+        for _, texts in _small(batches, "__text"):
+            sets = [s for s in shingles(texts) if len(s)]
+            if sets:
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                names = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["name", "shingles"])
+
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    asked = with_chance(rows, F.col("__id"), key_bitmap(wanted, F.col("least")), "__asked").where("__asked").select("__text")
+    found = asked.mapInArrow(run, "name binary, shingles array<bigint>")
     one = found.groupBy("name").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id
     return one.join(wanted, "name").select("node", "shingles")
 
