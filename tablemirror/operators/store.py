@@ -1,16 +1,21 @@
 """Mirrored tables on disk: versions, batches, state, and their loads.
 
 A table lives under ``root/<name>/v=<n>/_sync_batch_id=<id>/``. A full load writes a new
-``v``; the state names the live one, so readers never see a table half loaded. State is
-data too: small Parquet datasets to which rows are appended, the newest row counts.
+``v``; the state names the live one, so readers never see a table half loaded. A folder
+that a run left behind before it could name it is never written to again: the next run
+takes a higher number, and the folder goes with the old versions. State is data too: small
+Parquet files, each row in a folder of its own so that runs at the same time do not meet,
+and the newest row counts. A table is written by one run at a time.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
@@ -34,10 +39,21 @@ PROGRESS = "table_name string, status string, records bigint, error_message stri
 BACKUPS = "backup string, table_name string, row_count bigint, created_at timestamp"
 
 
+#: Error texts are logged up to this length.
+ERROR_CHARS = 500
+
+_RUNNING: set[tuple[str, str]] = set()
+_GUARD = threading.Lock()
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
+class TableBusy(RuntimeError):
+    """Another run of this driver is writing the table."""
+
+
 class Store:
     """A root folder of mirrored tables in any file system that Spark reaches."""
 
@@ -69,10 +85,32 @@ class Store:
 
     def state(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/_state/{name}"
-        return self.spark.read.schema(schema).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schema)
+        if not self.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
     def add_state(self, name: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/_state/{name}")
+        self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{self.root}/_state/{name}/{uuid.uuid4().hex}")
+
+    @contextmanager
+    def writing(self, table: str) -> Iterator[None]:
+        """Hold a table for one run; a second one at the same time gets ``TableBusy``."""
+        key = self.root, table
+        with _GUARD:
+            if key in _RUNNING:
+                raise TableBusy(f"{table} is being written")
+            _RUNNING.add(key)
+        try:
+            yield
+        finally:
+            with _GUARD:
+                _RUNNING.discard(key)
+
+    def next_version(self, table: str) -> int:
+        """A version number above the live one and above all folders that a broken run has left."""
+        state = self.watermark(table)
+        left = [int(c[2:]) for c in self.children(f"{self.root}/{table}") if c.startswith("v=") and c[2:].isdigit()]
+        return 1 + max([0, *left, (state and state["version"]) or 0])
 
     def watermark(self, table: str) -> Any:
         """Newest watermark row of a table, or None."""
@@ -124,8 +162,7 @@ def full_refresh(store: Store, spec: TableSpec, source: DataFrame) -> int:
 
     The old version's files stay until the new one is live, then they go.
     """
-    old = store.watermark(spec.name)
-    version, batch_id = (old["version"] or 0) + 1 if old else 1, f"full-{uuid.uuid4().hex}"
+    version, batch_id = store.next_version(spec.name), f"full-{uuid.uuid4().hex}"
     rows, fingerprint = _cleaned(store, spec, source, batch_id)
     store.append_versions(rows, spec.name, version, batch_id)
     written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}")
@@ -133,10 +170,14 @@ def full_refresh(store: Store, spec: TableSpec, source: DataFrame) -> int:
     last = last_key(written, spec.keys).first()["last_key"] if spec.keys else None
     store.save_watermark(spec, version, last, facts["ts"], fingerprint)
     store.publish(spec)
+    _drop_others(store, spec, version)
+    return facts["n"]
+
+
+def _drop_others(store: Store, spec: TableSpec, version: int) -> None:
     for name in store.children(f"{store.root}/{spec.name}"):
         if name != f"v={version}":
             store.remove(f"{store.root}/{spec.name}/{name}")
-    return facts["n"]
 
 
 def incremental_refresh(store: Store, spec: TableSpec, source: DataFrame, lookback: timedelta | None = None) -> tuple[str, int]:
@@ -166,31 +207,39 @@ def incremental_refresh(store: Store, spec: TableSpec, source: DataFrame, lookba
         rows, fingerprint = _cleaned(store, spec, source, batch_id)
         rows = rows.where(again)
         kept = store.raw(spec.name).where(stored < F.lit(since))
-        store.append_versions(kept.drop("_sync_batch_id").unionByName(rows.drop("_sync_batch_id")), spec.name, version + 1, batch_id)
-        version += 1
+        version = store.next_version(spec.name)
+        store.append_versions(kept.drop("_sync_batch_id").unionByName(rows.drop("_sync_batch_id")), spec.name, version, batch_id)
         written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}").where(again)
     facts = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(spec.watermark).cast("timestamp")).alias("ts")).first()
     last = last_key(written, spec.keys).first()["last_key"] if spec.keys and facts["n"] else state["last_processed_id"]
     store.save_watermark(spec, version, last, facts["ts"] or mark, fingerprint)
     store.publish(spec)
+    _drop_others(store, spec, version)
     return "incremental", facts["n"]
 
 
 def sync_table(store: Store, spec: TableSpec, source: DataFrame, force_full: bool = False) -> tuple[str, str, int, int, str | None]:
-    """``(mode, status, records, ms, error)`` of one table's run; a failure is logged, not raised."""
-    before = store.watermark(spec.name)
-    mark = before["last_processed_timestamp"] if before else None
-    start, mode, error, n = time.monotonic(), "full", None, 0
+    """``(mode, status, records, ms, error)`` of one table's run; a failure is logged, not raised.
+
+    A table that another run is writing is left alone, which is a failure too.
+    """
+    start, mode, error, n, mark, after = time.monotonic(), "full", None, 0, None, None
     try:
-        if force_full or not spec.watermark:
-            n = full_refresh(store, spec, source)
-        else:
-            mode, n = incremental_refresh(store, spec, source)
+        with store.writing(spec.name):
+            before = store.watermark(spec.name)
+            mark = before["last_processed_timestamp"] if before else None
+            if force_full or not spec.watermark:
+                n = full_refresh(store, spec, source)
+            else:
+                mode, n = incremental_refresh(store, spec, source)
+        after = store.watermark(spec.name)
     except Exception as e:  # noqa: BLE001
-        error = f"{type(e).__name__}: {e}"[:500]
+        error = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
     ms = int(1000 * (time.monotonic() - start))
-    after = store.watermark(spec.name)
-    store.log(spec.name, mode, n, ms, error, mark, after["last_processed_timestamp"] if after else None)
+    try:
+        store.log(spec.name, mode, n, ms, error, mark, after["last_processed_timestamp"] if after else mark)
+    except Exception as e:  # noqa: BLE001  the run's own failure, if there was one, says more
+        error = error or f"not logged: {type(e).__name__}: {e}"[:ERROR_CHARS]
     return mode, "error" if error else "success", n, ms, error
 
 
@@ -240,9 +289,10 @@ def bootstrap(store: Store, tables: Sequence[tuple[TableSpec, DataFrame]], resum
         todo = [(s, d) for s, d in todo if s.name not in done] if resume or finished else todo
     for spec, source in todo:
         try:
-            n, status, error = full_refresh(store, spec, source), "done", None
+            with store.writing(spec.name):
+                n, status, error = full_refresh(store, spec, source), "done", None
         except Exception as e:  # noqa: BLE001
-            n, status, error = 0, "failed", f"{type(e).__name__}: {e}"[:500]
+            n, status, error = 0, "failed", f"{type(e).__name__}: {e}"[:ERROR_CHARS]
         store.add_state("progress", PROGRESS, (spec.name, status, n, error, _now()))
     return latest_state(store.state("progress", PROGRESS), "table_name", "updated_at")
 
@@ -260,24 +310,24 @@ def bootstrap_then(store: Store, tables: Sequence[tuple[TableSpec, DataFrame]],
 
 def compact(store: Store, spec: TableSpec, files: int) -> None:
     """Rewrite a table's batches into fewer files, the same versions in them."""
-    state = store.watermark(spec.name)
-    rows = store.raw(spec.name)
-    _swap(store, spec, state, rows.repartition(files))
+    with store.writing(spec.name):
+        _swap(store, spec, store.raw(spec.name).repartition(files))
 
 
 def vacuum(store: Store, spec: TableSpec) -> None:
-    """Keep only the newest version of each key."""
-    state = store.watermark(spec.name)
-    _swap(store, spec, state, current_rows(store.raw(spec.name), spec.keys))
+    """Keep only the newest version of each key; without a key, every row that is not deleted."""
+    with store.writing(spec.name):
+        raw = store.raw(spec.name)
+        _swap(store, spec, current_rows(raw, spec.keys) if spec.keys else raw.where("_sync_deleted = 0"))
 
 
-def _swap(store: Store, spec: TableSpec, state: Any, rows: DataFrame) -> None:
+def _swap(store: Store, spec: TableSpec, rows: DataFrame) -> None:
     """Write rows with their batch ids as a new version, make it live and drop the old one."""
-    version = state["version"] + 1
+    state, version = store.watermark(spec.name), store.next_version(spec.name)
     rows.write.partitionBy("_sync_batch_id").parquet(f"{store.root}/{spec.name}/v={version}")
     store.save_watermark(spec, version, state["last_processed_id"], state["last_processed_timestamp"], state["schema_fingerprint"])
     store.publish(spec)
-    store.remove(f"{store.root}/{spec.name}/v={state['version']}")
+    _drop_others(store, spec, version)
 
 
 def prune_log(log: DataFrame, at: str, days: int, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -298,8 +348,7 @@ def backup_database(store: Store, target: str, name: str | None = None) -> str:
         path = f"{table}/v={state['version']}"
         store.spark.read.parquet(f"{store.root}/{path}").write.partitionBy("_sync_batch_id").parquet(f"{where}/{path}")
         rows.append((name, table, store.spark.read.parquet(f"{where}/{path}").count(), _now()))
-    for kind in store.children(f"{store.root}/_state"):
-        store.spark.read.parquet(f"{store.root}/_state/{kind}").write.parquet(f"{where}/_state/{kind}")
+    _copy_state(store.spark, store, f"{store.root}/_state", f"{where}/_state")
     store.spark.createDataFrame(rows, BACKUPS).coalesce(1).write.parquet(f"{where}/_manifest")
     return name
 
@@ -316,11 +365,15 @@ def restore_database(spark: SparkSession, source: str, name: str, root: str) ->
             spark.read.parquet(f"{where}/{path}").write.partitionBy("_sync_batch_id").parquet(f"{root}/{path}")
             if spark.read.parquet(f"{root}/{path}").count() != row["row_count"]:
                 raise RuntimeError(f"{path} was not restored whole")
-    for kind in store.children(f"{where}/_state"):
-        spark.read.parquet(f"{where}/_state/{kind}").write.parquet(f"{root}/_state/{kind}")
+    _copy_state(spark, store, f"{where}/_state", f"{root}/_state")
     return store
 
 
+def _copy_state(spark: SparkSession, store: Store, source: str, target: str) -> None:
+    for kind in store.children(source):
+        spark.read.option("recursiveFileLookup", "true").parquet(f"{source}/{kind}").coalesce(1).write.parquet(f"{target}/{kind}/{uuid.uuid4().hex}")
+
+
 def list_backups(spark: SparkSession, target: str) -> DataFrame:
     """``(backup, bytes, modified)``, newest first, from file listings; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target).select("path", "length", "modificationTime")

@@ -61,21 +61,35 @@ def quota_replay(log: DataFrame, client: str, ts_us: str, cost: str, window_us:
     return sorted_rows.mapInPandas(run, _OUT)
 
 
-def quota_stream(stream: DataFrame, client: str, ts_us: str, cost: str, window_us: int, limit: float, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream; a client's state is dropped after an idle time."""
-    rows = stream.select(F.col(client).cast("string").alias("client"), F.col(ts_us).alias("ts_us"), F.col(cost).cast("double").alias("cost"))
+def quota_stream(
+    stream: DataFrame, client: str, ts_us: str, cost: str, window_us: int, limit: float, idle_ms: int = 3_600_000, tie: str | None = None
+) -> DataFrame:
+    """The same over a stream.
+
+    Time is the requests' own, never the clock's: a client's state is dropped when the
+    newest request of all is ``idle_ms`` past its last one, by which time both windows are
+    empty if ``idle_ms`` is at least two windows (else it is refused). In a batch requests
+    are taken in order of time and ``tie``; between batches in order of arrival. A request
+    that comes more than ``idle_ms`` late is dropped by the watermark.
+    """
+    if idle_ms * 1000 < 2 * window_us:
+        raise ValueError("a client's state has to be kept for two windows at least")
+    ahead = idle_ms + 1  # the first watermark is the epoch, and a log may begin there
+    rows = stream.select(
+        F.col(client).cast("string").alias("client"), F.col(ts_us).cast("long").alias("ts_us"), F.col(cost).cast("double").alias("cost"),
+        (F.col(tie) if tie else F.lit(0)).alias("tie"), F.timestamp_micros(F.col(ts_us).cast("long") + 1000 * ahead).alias("at"),
+    ).withWatermark("at", f"{idle_ms} milliseconds")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         held = state.get if state.exists else (-1, 0.0, 0.0)
-        for frame in frames:
-            frame = frame.sort_values("ts_us", kind="stable")
-            out = list(replay(zip(frame["ts_us"], frame["cost"], strict=True), window_us, limit, held))
-            held = out[-1][0] if out else held
-            yield pd.DataFrame([(key[0], ts, c, u, lim) for _, ts, c, u, lim in out], columns=["client", "ts_us", "cost", "used", "limited"])
+        requests = pd.concat(list(frames)).sort_values(["ts_us", "tie"], kind="stable")
+        out = list(replay(zip(requests["ts_us"], requests["cost"], strict=True), window_us, limit, held))
+        held, last = out[-1][0], int(requests["ts_us"].max())
+        yield pd.DataFrame([(key[0], ts, c, u, lim) for _, ts, c, u, lim in out], columns=["client", "ts_us", "cost", "used", "limited"])
         state.update(held)
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last // 1000 + ahead + idle_ms, state.getCurrentWatermarkMs()) + 1)
 
-    return rows.groupBy("client").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -94,7 +94,29 @@ def test_quota_batch_and_stream_agree_with_a_loop(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("quota_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).start()
     q.awaitTermination()
     live = spark.table("quota_out").toPandas()
-    assert {(r.client, r.ts_us, r.limited) for r in live.itertuples()} == {(r.client, r.ts_us, r.limited) for r in found.itertuples()}
+    assert {(r.client, r.ts_us, r.used, r.limited) for r in live.itertuples()} == {(r.client, r.ts_us, r.used, r.limited) for r in found.itertuples()}
+
+
+def test_quota_stream_over_several_batches(spark, tmp_path):
+    """State outlives a batch and a restart, goes after idle time of the log's own clock, and equal times follow the tie."""
+    src, mark, out = (str(tmp_path / n) for n in ("log", "mark", "out"))
+    schema = "client string, ts bigint, cost double, tie int"
+    batches = [
+        [("a", 10_000, 4.0, 1), ("a", 10_000, 5.0, 0), ("b", 20_000, 1.0, 0)],
+        [("a", 30_000, 3.0, 0), ("a", 120_000, 4.0, 0)],
+        [("b", 90_000_000, 9.0, 0)],  # far later: the state of a is dropped
+        [("a", 90_010_000, 9.0, 0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = quota.quota_stream(spark.readStream.schema(schema).parquet(src), "client", "ts", "cost", 100_000, 9.0, idle_ms=1000, tie="tie")
+        q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", mark).start(out)
+        assert q.awaitTermination(60)
+    log = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    found = quota.quota_replay(log, "client", "ts", "cost", 100_000, 9.0, "tie")
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, found.collect()))
+    with pytest.raises(ValueError, match="two windows"):
+        quota.quota_stream(log, "client", "ts", "cost", 1_000_000, 9.0, idle_ms=1000)
 
 
 def test_dedup_stream(spark, tmp_path):

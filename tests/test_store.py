@@ -124,6 +124,57 @@ def test_compact_vacuum_backup_restore(store, spark, seed, tmp_path):
     assert store.children(target) == []
 
 
+def test_vacuum_without_a_key_loses_no_row(store, spark):
+    spec = TableSpec("log", (), "created_at")
+    rows = spark.createDataFrame([(i % 3, T0 + timedelta(hours=i)) for i in range(10)], "what int, created_at timestamp_ntz")
+    S.sync_table(store, spec, rows)
+    before = sorted(map(tuple, store.current(spec).collect()))
+    S.vacuum(store, spec)
+    assert sorted(map(tuple, store.current(spec).collect())) == before and len(before) == 10
+
+
+def test_many_tables_at_once_keep_their_state(store, spark, seed):
+    specs = [TableSpec(f"t{i:02}", ("id",), "updated_at") for i in range(12)]
+    done = S.sync_all(store, [(s, seed) for s in specs], at_once=6).collect()
+    assert [r["status"] for r in done] == ["success"] * 12
+    assert store.state("sync_log", S.SYNC_LOG).count() == 12
+    assert {r["table_name"] for r in store.state("watermarks", S.WATERMARKS).collect()} == {s.name for s in specs}
+    assert all(store.current(s).count() == 2 for s in specs)
+
+
+@pytest.mark.parametrize("keys", [("id",), ()])
+def test_a_run_that_broke_off_leaves_nothing_behind(store, spark, seed, monkeypatch, keys):
+    """A crash between writing a version and naming it: the next run does not read what the first one left."""
+    spec = TableSpec("people", keys, "updated_at", PEOPLE.declared)
+    with monkeypatch.context() as m:
+        m.setattr(S.Store, "save_watermark", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        assert S.sync_table(store, spec, seed)[1] == "error"
+    assert S.sync_table(store, spec, seed.where("id = 1"))[:3] == ("full", "success", 1)
+    assert store.current(spec).count() == 1
+    later = seed.where("id = 1").union(people(spark, (1, "Al", "1994-06-15", True, T0 + timedelta(hours=5)))).coalesce(1)
+    with monkeypatch.context() as m:
+        m.setattr(S.Store, "save_watermark", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        assert S.sync_table(store, spec, later)[1] == "error"
+    assert S.sync_table(store, spec, later)[:2] == ("incremental", "success")
+    assert sorted(r["name"] for r in store.current(spec).collect()) == (["Al"] if keys else ["Al", "Alice"])
+    with monkeypatch.context() as m:
+        m.setattr(S.Store, "save_watermark", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError, match="crash"):
+            S.compact(store, spec, 1)
+    before = sorted(map(tuple, store.current(spec).collect()))
+    S.compact(store, spec, 1)
+    assert sorted(map(tuple, store.current(spec).collect())) == before
+    assert len(store.children(f"{store.root}/people")) == 1
+
+
+def test_one_run_a_table(store, seed):
+    with store.writing("people"):
+        assert S.sync_table(store, PEOPLE, seed)[1:3] == ("error", 0)
+        with pytest.raises(S.TableBusy):
+            S.vacuum(store, PEOPLE)
+    assert S.sync_table(store, PEOPLE, seed)[1] == "success"
+
+
 def test_drop_and_clear(store, spark, seed):
     S.sync_table(store, PEOPLE, seed)
     S.drop_replica(store, PEOPLE)
