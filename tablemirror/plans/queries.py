@@ -36,8 +36,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The tables' columns, so that a query need not open files before it is planned.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return scans.snapshot_scan(spark, f"{d}/{name}.parquet")
+    return scans.snapshot_scan(spark, f"{d}/{name}.parquet", schema=SCHEMAS.get(name))
 
 
 # derived tables and their SQL
@@ -626,7 +641,18 @@ def sm5_current_from_changes(spark, d):
     return C.current_from_changes(change_log(spark, d), ["o_orderkey"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, epoch_us(ts) AS ts_us, value AS cost,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT client, n, ts_us, cost, 0.0::DOUBLE AS used, 0.0 + cost > 200.0 AS limited, ts_us // 86400000000 AS w,
+            CASE WHEN cost > 200.0 THEN 0.0 ELSE cost END::DOUBLE AS cur, 0.0::DOUBLE AS prev FROM e WHERE n = 1
+        UNION ALL
+        SELECT client, n, ts_us, cost, used, used + cost > 200.0, w, CASE WHEN used + cost > 200.0 THEN cur ELSE cur + cost END, prev
+        FROM (SELECT *, prev * (1 - (ts_us % 86400000000) / 86400000000) + cur AS used
+            FROM (SELECT e.client, e.n, e.ts_us, e.cost, e.ts_us // 86400000000 AS w,
+                CASE WHEN e.ts_us // 86400000000 = r.w THEN r.cur ELSE 0.0 END AS cur,
+                CASE WHEN e.ts_us // 86400000000 = r.w THEN r.prev WHEN e.ts_us // 86400000000 = r.w + 1 THEN r.cur ELSE 0.0 END AS prev
+                FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1)))
+    SELECT client, ts_us, cost, used, limited FROM r""")
 def sm11_quota_replay(spark, d):
     e = table(spark, d, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
     return quota.quota_replay(e, "user_id", "ts_us", "value", 24 * 3600 * 1_000_000, 200.0, "event_id")
@@ -718,9 +744,18 @@ def ql2_pattern_stats(spark, d):
     return logs.pattern_stats(log, "p", "value", "ts")
 
 
-@query(f"SELECT event_id, 'read' AS kind FROM {STATEMENTS_SQL}")
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'read' WHEN event_type = 'view' THEN 'write'
+    WHEN event_type = 'purchase' THEN CASE WHEN user_id > 10 THEN 'other' ELSE 'read' END ELSE 'other' END AS kind FROM events""")
 def ql3_classify_statement(spark, d):
-    return _statements(spark, d).select("event_id", logs.classify_statement(F.col("stmt")).alias("kind"))
+    user = F.col("user_id").cast("string")
+    locked = F.when(F.col("user_id") > 10, " FOR UPDATE").otherwise(";")
+    stmt = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("-- a\n select * from t where id = "), user))
+        .when(F.col("event_type") == "view", F.concat(F.lit("/* b */ Insert into t values ("), user, F.lit(")")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("SELECT ';' FROM t"), locked))
+        .otherwise(F.concat(F.lit("SELECT 1; DELETE FROM t WHERE id = "), user))
+    )
+    return table(spark, d, "events").select("event_id", logs.classify_statement(stmt).alias("kind"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'query' WHEN 'purchase' THEN 'auth' ELSE CASE WHEN user_id % 2 = 0 THEN 'read' ELSE 'write' END END AS category

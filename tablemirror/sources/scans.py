@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemirror.spec import detect_watermark
+
 #: A page's default and largest number of rows.
 PAGE_ROWS, MOST_PAGE_ROWS = 100, 10_000
 
@@ -25,15 +27,18 @@ def snapshot_scan(
     predicates: Sequence[str] | None = None,
     partitions: int = 8,
     options: Mapping[str, str] | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """A whole table: Parquet files, or a JDBC table read in parallel.
 
+    With a known ``schema`` no job has to open files to find it out.
+
     ``split`` (column, lowest, highest) cuts one numeric or date key into equal ranges;
     ``predicates`` names the parts of any other table. Filters and columns that a plan
     asks for later reach the source in both cases.
     """
     if path is not None:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {}))
     if split is not None:
         column, low, high = split
@@ -98,6 +103,19 @@ def incremental_scan(df: DataFrame, ts_col: str, watermark: Any, lookback: timed
     return df.where(F.col(ts_col) >= _literal(df, ts_col, watermark))
 
 
+def detected_incremental(df: DataFrame, since: Any, limit: int | None = None) -> DataFrame:
+    """Rows written at or after a time, by the column whose name tells when a row was last written.
+
+    With a ``limit`` the oldest of them, in order of that column. A table without such a
+    column has no incremental read, which is an error.
+    """
+    column = detect_watermark(df.columns)
+    if column is None:
+        raise LookupError(f"none of the columns tells when a row was written: {', '.join(df.columns)}")
+    rows = incremental_scan(df, column, since)
+    return rows if limit is None else rows.orderBy(column).limit(limit)
+
+
 def exact_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(table_name, row_count)`` of all tables in one job."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import connect, same_rows
 
+from tablemirror.plans import loads  # noqa: F401
 from tablemirror.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
