@@ -16,6 +16,7 @@ same content are copies, which count as one page: what only copies repeat is not
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -36,7 +37,7 @@ MOST_SENT, SALTS = 8 << 20, 64
 CONTENT_SHARE = 0.9
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -122,21 +123,35 @@ def _step(tag: str, attributes: str) -> str:
     return tag + "." + ".".join(sorted(set(_NAME_PART.findall(match.group(1).lower())))) if match else tag
 
 
+def path_id(*steps: str) -> int:
+    """Number of a path of steps (a tag and its class names, as in ``div.rail``) from the body; 0 for no step."""
+    found = 0
+    for step in steps:
+        found = _signed(f"{found}/{step}")
+    return found
+
+
 class Page:
-    """A page's blocks of text, each with its path and whether noise or content encloses it."""
+    """A page's blocks of text, each with its path and whether noise or content encloses it.
+
+    A path is a number that names the steps to an element (see ``path_id``), so that deep
+    nesting costs no more than flat markup; paths that say the same are one.
+    """
 
     def __init__(self, html: str):
-        self.children: dict[str, list[str]] = {}
+        # per path, parents before children: parent, depth, tags of its child elements
+        self.paths: dict[int, tuple[int, int, list[str]]] = {0: (0, 0, [])}
         # elements with a mark and content roots: place of the next one around it, mark, tag, path
-        self.places: list[tuple[int, int, str, str]] = [(0, 0, "", "")]
-        self.found: list[tuple[str, str, int]] = []
+        self.places: list[tuple[int, int, str, int]] = [(0, 0, "", 0)]
+        self.found: list[tuple[str, int, int]] = []
         # per open element: tag, path, its place or the next one around it, inside an article or main
-        self.open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+        self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        self.tags: Counter[str] = Counter()  # of the open elements
         self.parts: list[str] = []
         self._read(html)
         self._flush()
         judged = self._judge()
-        self.blocks: list[tuple[str, str, bool, str | None]] = [(text, path, *judged[place]) for text, path, place in self.found]
+        self.blocks: list[tuple[str, int, bool, int | None]] = [(text, path, *judged[place]) for text, path, place in self.found]
         self.rooted = any(root is not None and not noise for _, _, noise, root in self.blocks)
 
     def _flush(self) -> None:
@@ -148,7 +163,7 @@ class Page:
                 at = next((o for o in reversed(self.open) if o[0] in _BLOCK or not o[0]), self.open[0])
                 self.found.append((text, at[1], self.open[-1][2]))
 
-    def _judge(self) -> list[tuple[bool, str | None]]:
+    def _judge(self) -> list[tuple[bool, int | None]]:
         """Of each place: whether it is noise, and the path of the content root around it.
 
         A name alone never removes a ``main``, an article (but of a whole _LISTED name) or
@@ -166,7 +181,9 @@ class Page:
         for i, (up, mark, tag, _) in enumerate(places):
             sure[i] = sure[up] or mark == _SURE
             if tag == "main" and not sure[i] and sizes[i]:
-                mains |= self._around(i)
+                while i and i not in mains:
+                    mains.add(i)
+                    i = places[i][0]
         for i, (up, mark, tag, _) in enumerate(places):
             firm[i] = firm[up] or sure[i] or (i not in mains and (mark == _LIST or (mark == _LIST_PART and tag not in _ROOTS)))
         within = [False] * len(places)
@@ -175,7 +192,7 @@ class Page:
         articles = [i for i, x in enumerate(places) if x[2] == "article" and not firm[i] and (within[i] or not mains)]
         safe = mains | (self._around(max(articles, key=sizes.__getitem__)) if articles else set())
         whole = sum(len(text) for text, _, place in self.found if not firm[place])
-        out: list[tuple[bool, str | None]] = [(False, None)]
+        out: list[tuple[bool, int | None]] = [(False, None)]
         for i, (up, mark, tag, path) in enumerate(places[1:], 1):
             named = mark in (_NAME, _PART) and tag not in _ROOTS and i not in safe
             noise = out[up][0] or firm[i] or (named and not (mark == _PART and 2 * sizes[i] > whole))
@@ -190,14 +207,19 @@ class Page:
         return found
 
     def _read(self, html: str) -> None:
-        at = 0
+        at, last = 0, html.rfind(">") + 1  # no tag ends beyond it
         while True:
-            match = _MARKUP.search(html, at)
+            match = _MARKUP.search(html, at, last)
             if match is None:
-                self._text(html[at:])
+                comment = html.find("<!--", at)
+                self._text(html[at:comment] if comment >= 0 else html[at:])
                 return
             self._text(html[at : match.start()])
             at = match.end()
+            if match.group() == "<!--":
+                close = html.find("-->", at)
+                at = close + 3 if close >= 0 else len(html)
+                continue
             tag = (match.group(2) or match.group(5) or "").lower()
             if not tag:
                 continue
@@ -221,10 +243,12 @@ class Page:
         elif tag == "br":
             self.parts.append(" ")
         for name in _ENDS.get(tag, ()):
+            if not self.tags[name]:
+                continue
             for back in range(len(self.open) - 1, 0, -1):
                 if self.open[back][0] == name:
                     self._flush()
-                    del self.open[back:]
+                    self._close(back)
                     break
                 if self.open[back][0] in _SCOPE:
                     break
@@ -235,20 +259,29 @@ class Page:
         if mark:
             self._flush()
         step = _step(tag, attributes)
+        if tag in _BLOCK:
+            self.paths[path][2].append(step)
         if tag in _CONTAINERS or (tag in _NAMED and step != tag):
-            self.children.setdefault(path, []).append(tag)
-            path = f"{path}/{step}"
+            up, path = path, _signed(f"{path}/{step}")
+            if path not in self.paths:
+                self.paths[path] = (up, self.paths[up][1] + 1, [])
         if mark or tag in _ROOTS:
             self.places.append((place, mark, tag, path))
             place = len(self.places) - 1
         self.open.append((tag, path, place, in_root or tag in _ROOTS))
+        self.tags[tag] += 1
+
+    def _close(self, back: int) -> None:
+        """The open elements from ``back`` on end."""
+        self.tags.subtract(o[0] for o in self.open[back:])
+        del self.open[back:]
 
     def _end(self, tag: str) -> None:
-        for back in range(len(self.open) - 1, 0, -1):
+        for back in range(len(self.open) - 1 if self.tags[tag] else 0, 0, -1):
             if self.open[back][0] == tag:
                 if tag in _BLOCK or self.open[back][2] != self.open[back - 1][2]:
                     self._flush()
-                del self.open[back:]
+                self._close(back)
                 return
             if self.open[back][0] in _SCOPE and tag not in _BLOCK:
                 return
@@ -259,26 +292,38 @@ class Page:
         """Hash of all that the page says outside of noise."""
         return _signed(self.text(frozenset()))
 
-    def nodes(self) -> Iterator[tuple[str, int, int]]:
-        """Path, content hash and form hash of each container node of the page."""
-        contents: dict[str, list[str]] = {}
+    def nodes(self) -> Iterator[tuple[int, int, int]]:
+        """Path, hash of the contents and hash of the form of each container node of the page.
+
+        The contents of a node are the blocks of its whole subtree, whatever their order;
+        its form is the sequence of its child elements with their classes.
+        """
+        contents = dict.fromkeys(self.paths, 0)
         for text, path, _, _ in self.blocks:
-            while path:
-                contents.setdefault(path, []).append(text)
-                path = path.rpartition("/")[0]
-        for path, texts in contents.items():
-            form = ",".join(self.children.get(path, ()))
-            yield path, _signed("\n".join(texts)), _signed(form)
-
-    def text(self, removed: frozenset[str]) -> str:
+            contents[path] += _signed(text) | 1
+        for path in reversed(self.paths):  # children before parents
+            if path:
+                contents[self.paths[path][0]] += contents[path]
+        for path, (_, _, children) in self.paths.items():
+            if path and contents[path]:
+                yield path, (contents[path] + (1 << 63)) % (1 << 64) - (1 << 63), _signed(",".join(children))
+
+    def text(self, removed: frozenset[int]) -> str:
         """Blocks of the page's content without noise and without the ``removed`` branches.
 
         A content root and what encloses it stay, so only branches below it are removed.
         """
-        kept = [(t, p, root or "") for t, p, noise, root in self.blocks if not noise and (root is not None or not self.rooted)]
-        if removed:
-            kept = [(t, p, root) for t, p, root in kept if not any(len(s) > len(root) and (p == s or p.startswith(s + "/")) for s in removed)]
-        return "\n\n".join(t for t, _, _ in kept)
+        return "\n\n".join(t for t, _, _ in self.kept(removed))
+
+    def kept(self, removed: frozenset[int]) -> list[tuple[str, int, int]]:
+        """The blocks of ``text``: text, path and path of the content root around it."""
+        kept = [(t, p, root or 0) for t, p, noise, root in self.blocks if not noise and (root is not None or not self.rooted)]
+        if not removed:
+            return kept
+        deepest: dict[int, int] = {}  # depth of the deepest removed path at or above each path
+        for path, (up, depth, _) in self.paths.items():
+            deepest[path] = depth if path in removed else deepest.get(up, 0)
+        return [(t, p, root) for t, p, root in kept if deepest[p] <= self.paths[root][1]]
 
 
 def _signed(text: str) -> int:
@@ -309,11 +354,11 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 core = page.content()
                 rows += [(host, core, *node) for node in page.nodes()]
             if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["host", "core", "path", "content", "form"])
 
     pages = df.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").alias("__html"))
-    nodes = pages.mapInArrow(run, "host string, core bigint, path string, content bigint, form bigint")
+    nodes = pages.mapInArrow(run, "host string, core bigint, path bigint, content bigint, form bigint")
     nodes = nodes.groupBy("host", "path", "core").agg(F.min("content").alias("content"), F.min("form").alias("form"))
     seen = (
         nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("h")), F.struct(F.lit(1).alias("kind"), F.col("form").alias("h")))).alias("x"))
@@ -350,7 +395,7 @@ def extract_text(
     low, _ = written(low.select("host", "path"), "low-nodes")
     removed = low.groupBy(F.col("host").alias("__host")).agg(F.collect_list("path").alias("__removed"))
     rows = replaced(df, "text", "__host", "__removed", "__key", "__salt").withColumn("__key", host_of(url_col))
-    size = low.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 64), F.lit(0))).first()[0]
+    size = low.agg(F.coalesce(F.sum(F.length("host") + 72), F.lit(0))).first()[0]
     if size <= MOST_SENT:
         joined = rows.join(F.broadcast(removed), F.col("__key") == F.col("__host"), "left").drop("__key", "__host")
     else:  # a host with a third of all pages is dealt out by a salt
