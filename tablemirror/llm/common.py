@@ -55,6 +55,14 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until ``df`` has no such column: for columns that are gone again in the end."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_bounds(df: DataFrame, id_col: str, rows_a_range: int, most: int = 256) -> list[int]:
     """Inner boundaries that cut the ids into ranges of about equal row counts.
 
@@ -99,8 +107,9 @@ def key_bitmap(df: DataFrame, key: Column) -> DataFrame:
 
 def with_chance(df: DataFrame, key: Column, bitmap: DataFrame, out: str) -> DataFrame:
     """``df`` and a boolean ``out``: false if the key is surely not in the bitmap. No shuffle."""
-    sent = F.broadcast(bitmap.select(F.col("part").alias("__part"), F.col("bits").alias("__bits")))
-    at = F.pmod(F.col("__place"), F.lit(PART)).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = df.withColumn("__place", _place(key)).join(sent, (F.col("__place") / PART).cast("long") == F.col("__part"), "left")
-    return found.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop("__place", "__part", "__bits")
+    place, part, bits = (free_name(df, n) for n in ("__place", "__part", "__bits"))
+    sent = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(bits)))
+    at = F.pmod(F.col(place), F.lit(PART)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = df.withColumn(place, _place(key)).join(sent, (F.col(place) / PART).cast("long") == F.col(part), "left")
+    return found.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop(place, part, bits)

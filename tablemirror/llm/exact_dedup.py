@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import key_bitmap, replaced, with_chance, written
+from tablemirror.llm.common import free_name, key_bitmap, with_chance, written
 
 
 def normalised(text: Column) -> Column:
@@ -87,8 +87,9 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = mark_duplicates(df.select(id_col, text_col), id_col, text_col)
     going = marked.where("NOT kept").select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__gone_sha"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("__again"))
     going, _ = written(going, "going")
-    rows = with_chance(replaced(df, "__asked", "__sha", "__key"), F.col(f"`{id_col}`"), key_bitmap(going, F.col("__gone")), "__asked")
-    asked = rows.where("__asked").withColumn("__sha", F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha"))
-    stay = asked.join(going.where("NOT __again"), same, "left_anti").withColumn("__key", F.xxhash64(F.col(f"`{id_col}`")))
-    return rows.where("NOT __asked").drop("__asked").unionByName(stay.dropDuplicates(["__key", "__sha"]).drop("__asked", "__sha", "__key"))
+    asked, sha, key = (free_name(df, n) for n in ("__asked", "__sha", "__key"))
+    rows = with_chance(df, F.col(f"`{id_col}`"), key_bitmap(going, F.col("__gone")), asked)
+    maybe = rows.where(asked).withColumn(sha, F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")) & (F.col(sha) == F.col("__gone_sha"))
+    stay = maybe.join(going.where("NOT __again"), same, "left_anti").withColumn(key, F.xxhash64(F.col(f"`{id_col}`")))
+    return rows.where(~F.col(asked)).drop(asked).unionByName(stay.dropDuplicates([key, sha]).drop(asked, sha, key))

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import discard, key_bitmap, replaced, with_chance, written
+from tablemirror.llm.chunks import text_batches
+from tablemirror.llm.common import discard, free_name, key_bitmap, with_chance, written
 
 WORDS = 5
 #: 32 bands of 5 bins: a pair of similarity 0.85 shares no bucket with a chance of 7e-9, one of 0.80 with a chance of 3e-6.
@@ -134,16 +135,15 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 def _small(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of at most about a megabyte of text (or one row)."""
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+    for batch, texts in text_batches(batches, text):  # a batch of Spark's may hold 10,000 texts; not all of them are unpacked at once
+        encoded = [t.encode() for t in texts]
         start, size = 0, 0
-        for i, t in enumerate(texts):
+        for i, t in enumerate(encoded):
             if i > start and size + len(t) > _BATCH_BYTES:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), encoded[start:i]
                 start, size = i, 0
             size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        yield batch.slice(start), encoded[start:]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -404,7 +404,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose document stays, with its own columns."""
-    kept = near_duplicates(df, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept"))
-    rows = replaced(df, "__kept")
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of ``df`` whose document stays, with its own columns, whatever they are called.
+
+    Of a component the rows with the least id stay: one, unless rows repeat an id. Null,
+    empty and blank texts all stay. An empty table gives no rows. Runs Spark jobs at once.
+    """
+    key = free_name(df, "__kept")
+    kept = near_duplicates(df.select(id_col, text_col), id_col, text_col, percent).where("kept").select(F.col(id_col).alias(key))
+    return df.join(kept, df[id_col].eqNullSafe(kept[key]), "left_semi")

@@ -59,6 +59,8 @@ _MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\d@$!*#+|.\-_]++[^\W\d_]++)++"
 _UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
+#: Words whose weights a worker remembers.
+MEMO_WORDS = 150_000
 _BEGINNINGS = (4, 5, 6)
 _NEAR = 5
 
@@ -81,7 +83,7 @@ class Features:
 
     def __init__(self, weights: dict[str, float]):
         get = weights.get
-        self.weight = Memo(lambda w: max((get(k, 0.0) for k in keys_of(w)), default=0.0) if len(w) > 2 else 0.0)
+        self.weight = Memo(lambda w: max((get(k, 0.0) for k in keys_of(w)), default=0.0) if len(w) > 2 else 0.0, MEMO_WORDS)
 
     def __call__(self, text: str) -> list[float]:
         lowered = text.lower()

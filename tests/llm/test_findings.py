@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import random
+import time
+from collections import Counter, defaultdict
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tablemirror.llm import html_extract, minhash, mixing, queries, token_counts
+from test_operators import EDGES, SCHEMA, edited, linked
+
+from tablemirror.llm import chunks, fingerprints, html_extract, minhash, mixing, queries, token_counts
 from tablemirror.sources import scans
 
 
@@ -91,3 +98,121 @@ def test_fast_counts_come_from_footers(spark):
     assert "PushedAggregation: [COUNT(*)]" in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("region", 5)]
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_importance_by_brute_force(spark):
+    """Entropies of the merged tree from each page's nodes, by their definition."""
+    rng = random.Random(4)
+    bodies = []
+    for i in range(30):
+        said = f"<p>Own words of page {i % 24}</p>" + "<p>more</p>" * rng.randrange(3)  # some pages are copies
+        side = f"<div class='rail r{i}'><p>Part {rng.randrange(4)}</p><ul>{'<li>x</li>' * rng.randrange(1, 3)}</ul></div>"
+        bodies.append(f"<body><div class=text>{said}</div>{side}<section><p>Same</p></section></body>")
+    rows = [(i, f"http://h{i % 2}.example:80/{i}", b) for i, b in enumerate(bodies)]
+    seen = defaultdict(dict)
+    for i, _, body in rows:
+        page = html_extract.Page(body)
+        for path, content, form in page.nodes():
+            seen[f"h{i % 2}.example", path][page.content()] = content, form
+    wanted = {}
+    for node, pages in seen.items():
+        m, parts = len(pages), []
+        for k in (0, 1):
+            counts = Counter(p[k] for p in pages.values())
+            parts.append(-sum(n / m * math.log(n / m, m) for n in counts.values()) if m > 1 else 1.0)
+        wanted[node] = m, html_extract.CONTENT_SHARE * parts[0] + (1 - html_extract.CONTENT_SHARE) * parts[1] if m > 1 else 1.0
+    tree = html_extract.style_tree(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    found = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in tree.collect()}
+    assert found.keys() == wanted.keys()
+    assert all(found[k][0] == wanted[k][0] and found[k][1] == pytest.approx(wanted[k][1], abs=1e-9) for k in found)
+    low = {k[1] for k, (n, x) in found.items() if x < html_extract.LEAST_IMPORTANCE and n >= html_extract.LEAST_PAGES}
+    assert html_extract.path_id("section") in low and html_extract.path_id("div.text") not in low
+    removed = sum(len(html_extract.Page(b).kept(frozenset())) - len(html_extract.Page(b).kept(frozenset(low))) for b in bodies)
+    assert removed >= len(bodies)  # the tree takes the repeated section from every page
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 10_000, "<main>x" * 10_000, "<span>" * 5_000 + "<p>x" * 5_000, "<a b='" * 20_000, "<" * 50_000, "<!--" * 50_000, "<div>" * 9_000 + "</ul>" * 9_000])
+def test_html_time_is_linear_in_nesting(html):
+    start = time.process_time()
+    page = html_extract.Page(html)
+    page.text(frozenset([1]))
+    assert sum(1 for _ in page.nodes()) <= 10_000 and time.process_time() - start < 2
+
+
+def test_a_comment_that_does_not_end_hides_the_rest():
+    assert html_extract.Page("<p>a</p><!-- b <b>c</b> d").text(frozenset()) == "a"
+    assert html_extract.Page("<p>a</p>e<!-- b").text(frozenset()) == "a\n\ne"
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_common_passage_hides_no_link(spark, percent):
+    """Every document holds one passage, which is most of many of them; among them are near copies and chains."""
+    rng = random.Random(percent)
+    passage = [f"p{i}" for i in range(26)]
+    texts = []
+    for i in range(900):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((3, 5, 8, 20, 60)))]
+        cut = rng.randrange(len(own) + 1)
+        texts.append(own[:cut] + passage + own[cut:])
+    texts += [edited(rng.choice(texts[:900]), rng, 1) for _ in range(250)]
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(150):  # random edits of one text: all alike, few of them linked
+        texts.append(edited(base, rng, rng.randrange(1, 7)))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, percent=percent).collect()}
+    assert found == linked(rows, percent)
+
+
+def test_fingerprints_of_spans_and_likeness_by_brute_force(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab c😀é") for _ in range(rng.randrange(60))) for _ in range(40)] + ["same text of some length"] * 3 + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_with_edit(rows, ranges=3).collect()}
+    empty = f"{fingerprints._EMPTY:04x}"
+
+    def bins(print_: str) -> list[str]:
+        tail = print_.rpartition("-")[2]
+        return [tail[i : i + 4] for i in range(0, len(tail), 4)]
+
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)] or ""
+        text = text or ""
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        row, alone = found[i], lambda t: fingerprints.PrefixHashes(t).fingerprint()
+        assert row["fingerprint"] == alone(text) and row["edited_fingerprint"] == alone(changed)
+        for near, other in (("near_edited", row["edited_fingerprint"]), ("near_next", found[(i + 1) % len(texts)]["fingerprint"])):
+            pairs = [(a, b) for a, b in zip(bins(row["fingerprint"]), bins(other), strict=True) if (a, b) != (empty, empty)]
+            share = sum(a == b for a, b in pairs) / max(len(pairs), 1)
+            wanted = 1.0 if row["fingerprint"] == other else min(2 * share / (1 + share), 0.999999)
+            assert row[near] == pytest.approx(wanted) and 0 <= row[near] <= 1
+        hashes = fingerprints.PrefixHashes(text)
+        for _ in range(20):
+            a, b, n = rng.randrange(len(text) + 1), rng.randrange(len(text) + 1), rng.randrange(6)
+            if max(a, b) + n <= len(text):
+                assert (hashes.span(a, n) == hashes.span(b, n)) == (text[a : a + n] == text[b : b + n])
+
+
+def test_memos_do_not_keep_long_texts():
+    memo = chunks.Memo(len, entries=10)
+    assert memo["x" * 10**6] == 10**6 and memo["word"] == 4 and list(memo) == ["word"]
+
+
+@pytest.mark.parametrize("rows", [EDGES, []], ids=["edges", "empty"])
+def test_pipeline_stages_on_edges(spark, rows):
+    pytest.importorskip("public_tokenizers")
+    more = ("node", "name", "sha256", "keep_id", "pass", "shard", "__asked", "length", "comp")
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("own") for c in more})
+    ids = Counter(r[0] for r in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert sorted(out.columns) == sorted(docs.columns) and out.columns[:5] == docs.columns[:5], name
+        got = out.collect()
+        assert all(r[c] == "own" for r in got for c in more if c != "__asked" or c in out.columns)
+        after = Counter(r["doc_id"] for r in got)
+        assert set(after) <= set(ids)
+        docs, ids = spark.createDataFrame(got, out.schema), after
+    texts = {" ".join((r["text"] or "").split()) for r in docs.select("text").collect()}
+    result = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert Counter(r["doc_id"] for r in result.collect()) == ids
+    assert not rows or {"", "one two"} <= texts

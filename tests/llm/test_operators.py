@@ -112,7 +112,7 @@ def shingle_set(text: str) -> frozenset:
     return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
 
 
-def linked(rows: list[tuple[int, str]]) -> dict[int, int]:
+def linked(rows: list[tuple[int, str]], percent: int = 85) -> dict[int, int]:
     sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def top(x: int) -> int:
@@ -126,7 +126,7 @@ def linked(rows: list[tuple[int, str]]) -> dict[int, int]:
         for s in sets[i]:
             holders[s].append(i)
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     return {i: top(i) for i in sets}
@@ -368,7 +368,8 @@ def test_html(spark, edge):
     assert all(found[i] == f"Body {i} is long enough to be the page's own text" for i in range(6))
     assert found[11] == found[12] == "" and found[13] == "no < markup & all"
     tree = {(r["host"], r["path"]): r["importance"] for r in html_extract.style_tree(pages).collect()}
-    assert tree["h.example", "/div.rail"] < 0.1 and tree["h.example", "/div.text"] > 0.8 and tree["one.example", "/article"] == 1.0
+    at = html_extract.path_id
+    assert tree["h.example", at("div.rail")] < 0.1 and tree["h.example", at("div.text")] > 0.8 and tree["one.example", at("article")] == 1.0
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
