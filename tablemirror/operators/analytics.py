@@ -157,10 +157,14 @@ def name_difference(one: DataFrame, two: DataFrame, name: str) -> DataFrame:
 
 
 def log_page(log: DataFrame, order: Sequence[Column], status: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A newest-first page of a log and the count of all matching entries."""
+    """A newest-first page of a log and the count of all matching entries.
+
+    A page past the end has one row, of nulls but for the count.
+    """
     rows = log if status is None else log.where(status)
     page = rows.orderBy(*order).offset(offset).limit(limit)
-    return page.crossJoin(rows.agg(F.count(F.lit(1)).alias("total")))  # one row: the count
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return total.join(page, F.lit(True), "left").select(*log.columns, "total")
 
 
 def log_tail(log: DataFrame, id_col: str, level: str, since_id: int, levels: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
