@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.llm import exact_dedup, minhash, mixing
-from tablemirror.llm.common import discard, shared_dir
+from tablemirror.llm.common import discard, free_name, shared_dir
 from tablemirror.llm.queries import MAX_REPEATS, TOXIC_SCORE, bpe_digests, toxicity_model
 
 #: Near copies in a corpus are documents whose five-word shingles have a similarity of 0.8 or more.
@@ -21,28 +21,35 @@ NEAR_PERCENT = 80
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
-    scored = toxicity_model(spark, docs, sf_dir).score(docs, out="__toxicity")
-    return scored.where(F.col("__toxicity") < TOXIC_SCORE).drop("__toxicity")
+    """Documents that the toxicity operator does not reject.
+
+    Null and empty texts are scored as empty; repeated rows each have their score. If no
+    row is labelled both ways the score is the share of toxic labels, 0 without labels.
+    """
+    out = free_name(docs, "__toxicity")
+    return toxicity_model(spark, docs, sf_dir).score(docs, out=out).where(F.col(out) < TOXIC_SCORE).drop(out)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the least id; null and empty texts are one group."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies, the one with the least id; texts without words all stay."""
     return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them: every one at least once, none more than twice over."""
+    """Documents as often as the mix reads them: every one at least once, no source more than twice as often as another.
+
+    Texts without words, and sources of nothing else, are read once a pass.
+    """
     return mixing.mix_rows(docs, "doc_id", "source", mixing.word_tokens(F.col("text")), max_repeats=MAX_REPEATS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every reading, checked by what they decode to."""
+    """Token ids of every reading, checked by what they decode to; null and empty texts have none."""
     return bpe_digests(docs)
 
 
