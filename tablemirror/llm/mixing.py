@@ -187,6 +187,9 @@ def mix_rows(
 
     Only the last pass over a source is partial, and it is a prefix of that pass's hash
     order. So one hash bound a source decides for every row, and texts are not shuffled.
+    Null, empty and repeated rows are rows like others; a null source is a source of its
+    own; rows with one id come in or stay out of the partial pass together. An empty table
+    gives no rows.
     """
     plan = plan_mix(df, source_col, tokens, target_entropy, max_repeats, budget_tokens)
     last = mix_schedule(df, id_col, source_col, tokens, plan, seed)

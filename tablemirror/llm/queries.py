@@ -50,7 +50,6 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(rows, "doc_id", "source", F.col("words"), plan).drop("order_hash")
 
 
-
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of similarity 0.85."""
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
@@ -97,6 +96,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, and whether it is the one that stays."""
     return exact_dedup.mark_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
