@@ -198,6 +198,17 @@ def sm3_apply_changes(spark, d):
     return changes.mirrored(spark, f"{root}/applied", ["o_orderkey"])
 
 
+@query("SELECT * FROM events")
+def sm12_dedup_stream(spark, d):
+    """Rows that a feed holds twice come out of the stream once."""
+    root, e = fresh(spark).root, table(spark, d, "events")
+    e.union(e.where("event_type = 'click'")).write.parquet(f"{root}/feed")
+    once = changes.dedup_stream(scans.change_feed(spark, f"{root}/feed", e.schema), ["event_id"], "ts", "60 days")
+    writer = once.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{root}/position")
+    writer.start(f"{root}/out").awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{root}/out")
+
+
 @query("""SELECT 'region' AS table_name, 'full' AS mode, count(*)::BIGINT AS records FROM region
     UNION ALL SELECT 'nation', 'full', count(*) FROM nation WHERE n_regionkey > 0""")
 def sm2_poll_sync(spark, d):

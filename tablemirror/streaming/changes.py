@@ -114,5 +114,9 @@ def dedup_versions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, within: str) -> DataFrame:
-    """Identical re-reads dropped in flight; keeps the first row, so not for updates."""
-    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
+    """Identical re-reads dropped in flight; keeps the first row, so not for updates.
+
+    ``ts`` may be a time without a zone too, which watermarks do not take as it is.
+    """
+    timed = stream.withColumn("__at", F.col(ts).cast("timestamp")).withWatermark("__at", within)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).drop("__at")
