@@ -87,8 +87,9 @@ def range_of(id_col: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(array, lambda b: b <= id_col)), F.lit(0))
 
 
-#: A bitmap of ids has so many places, in parts of so many: 8 MB, whatever the number of ids.
-PLACES, PART = 1 << 26, 1 << 15
+#: A bitmap of ids has so many places, 8 MB of bits whatever the number of ids; it is made in parts of 32,768, which is
+#: what Spark's aggregate makes, and sent in pieces of 512 places, so that a row that asks it copies 64 bytes.
+PLACES, PART, PIECE = 1 << 26, 1 << 15, 1 << 9
 
 
 def _place(key: Column) -> Column:
@@ -96,20 +97,24 @@ def _place(key: Column) -> Column:
 
 
 def key_bitmap(df: DataFrame, key: Column) -> DataFrame:
-    """``(part, bits)``: bits at the places of the hashed keys, at most 2,048 rows of 4 KB.
+    """``(piece, bits)``: bits at the places of the hashed keys, at most 131,072 rows of 64 bytes.
 
     Of a bounded size, so it can be sent to all executors; more keys make it fuller, and a
     full one lets everything pass.
     """
     bits = F.bitmap_construct_agg(F.pmod("place", F.lit(PART)).cast("long")).alias("bits")
-    return df.select(_place(key).alias("place")).groupBy((F.col("place") / PART).cast("long").alias("part")).agg(bits)
+    parts = df.select(_place(key).alias("place")).groupBy((F.col("place") / PART).cast("long").alias("part")).agg(bits)
+    each = parts.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(PART // PIECE - 1))))
+    piece = F.substring("bits", F.col("n") * (PIECE // 8) + 1, F.lit(PIECE // 8)).alias("bits")
+    found = each.select((F.col("part") * (PART // PIECE) + F.col("n")).alias("piece"), piece)
+    return found.where(F.col("bits") != F.lit(bytes(PIECE // 8)))
 
 
 def with_chance(df: DataFrame, key: Column, bitmap: DataFrame, out: str) -> DataFrame:
     """``df`` and a boolean ``out``: false if the key is surely not in the bitmap. No shuffle."""
-    place, part, bits = (free_name(df, n) for n in ("__place", "__part", "__bits"))
-    sent = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(bits)))
-    at = F.pmod(F.col(place), F.lit(PART)).cast("int")
+    place, piece, bits = (free_name(df, n) for n in ("__place", "__piece", "__bits"))
+    sent = F.broadcast(bitmap.select(F.col("piece").alias(piece), F.col("bits").alias(bits)))
+    at = F.pmod(F.col(place), F.lit(PIECE)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = df.withColumn(place, _place(key)).join(sent, (F.col(place) / PART).cast("long") == F.col(part), "left")
-    return found.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop(place, part, bits)
+    found = df.withColumn(place, _place(key)).join(sent, (F.col(place) / PIECE).cast("long") == F.col(piece), "left")
+    return found.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop(place, piece, bits)

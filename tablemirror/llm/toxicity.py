@@ -187,8 +187,7 @@ class ToxicityModel:
         if self.trees is None:
             return df.withColumn(out, F.lit(self.constant))
         names = [f"`{c}`" for c in df.columns]
-        rows = df.withColumn("__t", F.col(f"`{text_col}`"))
-        featured = with_features(rows, "__t", [self.weights])
+        featured = with_features(df, text_col, [self.weights])
         scored = self.calibration.transform(_raw(self.trees, featured))
         return scored.select(*names, F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(out))
 
