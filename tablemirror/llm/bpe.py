@@ -184,6 +184,10 @@ class LazyTransducer:
         return found
 
 
+#: Pieces and chunks of one generation that an encoder remembers.
+MEMO_PIECES = 200_000
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
@@ -192,8 +196,9 @@ class Encoder:
         # \s as the tokenizer's regex engine has it: the White_Space property, without U+001C to U+001F
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.letters_stay = all(self.pattern.findall(w) == [w] for w in (" word", "word", " Été", "日本"))
-        self.piece = Memo(self._piece)
-        self.text = ChunkMemo(self._chunk)
+        # a worker keeps its encoder for later tasks, of other operators too, so what it remembers is kept small
+        self.piece = Memo(self._piece, MEMO_PIECES)
+        self.text = ChunkMemo(self._chunk, entries=MEMO_PIECES)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())

@@ -49,10 +49,12 @@ class Memo(dict):
 class ChunkMemo:
     """Joins the bytes that ``encode`` gives for each chunk of a text; ``spaced`` gives those of a chunk with a space before it."""
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bool] | None = None, spaced: Callable[[str], bytes] | None = None):
+    def __init__(
+        self, encode: Callable[[str], bytes], whole: Callable[[str], bool] | None = None, spaced: Callable[[str], bytes] | None = None, entries: int = MEMO_ENTRIES
+    ):
         self.encode, self.whole = encode, whole
-        self.chunk = Memo(encode)
-        self.spaced = Memo(spaced or (lambda part: encode(" " + part)))
+        self.chunk = Memo(encode, entries)
+        self.spaced = Memo(spaced or (lambda part: encode(" " + part)), entries)
 
     def __call__(self, text: str) -> bytes:
         if self.whole is not None and self.whole(text):

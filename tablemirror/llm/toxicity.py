@@ -21,10 +21,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,7 +188,13 @@ class ToxicityModel:
         return scored.select(*names, F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(out))
 
 
+# Spark ML is imported where the driver uses it: the workers that make features need none of it, and it is half of their memory
+
+
 def _raw(trees: Any, featured: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
     vectors = VectorAssembler(inputCols=_COLUMNS, outputCol="__vector").transform(featured)
     return trees.transform(vectors).withColumn("__raw", vector_to_array("__probability")[1])
 
@@ -250,6 +252,10 @@ def fit(
                 out[r["key"]] = weight
         return out
 
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
     # half 0 is featured with the words of half 1, and the other way round
     featured, featured_path = written(with_features(labelled, "__text", [weights((1,)), weights((0,))], "__half").drop("__text"), "featured")
     featured = featured.coalesce(6).withColumn("__label", F.col("__toxic").cast("double"))
