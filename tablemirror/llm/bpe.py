@@ -185,7 +185,7 @@ class LazyTransducer:
 
 
 #: Pieces and chunks of one generation that an encoder remembers.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 60_000
 
 
 class Encoder:
