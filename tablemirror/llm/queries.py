@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemirror.llm import bpe, exact_dedup, fingerprints, html_extract, minhash, mixing, sharding, token_counts, token_store, toxicity
+from tablemirror.llm import (
+    bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, sharding, token_counts, token_store, toxicity
+)
 from tablemirror.llm.common import documents, shared_dir
 
 N_SHARDS = 24
 MAX_REPEATS = 2.0
 TOKEN_LIMIT = 2048
 TOXIC_SCORE = 0.7
+PHRASE_COUNT, TOP_PHRASES = 100, 2000
 
 
 def vocabulary(name: str) -> str:
@@ -129,6 +132,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 most telling phrases of each language."""
+    phrases = collocations.frequent_phrases(documents(spark, sf_dir, "lang", "text"), PHRASE_COUNT)
+    return collocations.collocations(phrases, TOP_PHRASES)
+
+
 ORACLE: dict[str, str] = {
     # the checksum is worked out byte by byte, because DuckDB has no function for it
     "op1_shards": """
@@ -184,11 +193,28 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.lang, c.phrase, c.k, c.a, c.w, cut, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM c JOIN t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        d AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM b))),
+        o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.phrase = b.phrase AND 100 * d.a >= 100 * b.a))
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+        WHERE rank <= 2000""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
