@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.llm import (
-    bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, sharding, token_counts, token_store, toxicity
+    bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, repeats, sharding, token_counts, token_store, toxicity
 )
 from tablemirror.llm.common import documents, shared_dir
 
@@ -138,6 +138,24 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(phrases, TOP_PHRASES)
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages, as digests."""
+    found = repeats.repeated_spans(documents(spark, sf_dir, "text")).select(
+        "key",
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("removed"),
+        F.size("spans").cast("long").alias("spans"),
+        F.sha2("kept", 256).alias("kept"),
+    )
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = documents(spark, sf_dir, "doc_id", "text").select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"), repeats.text_key(F.col("text")).alias("key")
+    )
+    return docs.join(found, "key", "left").select(
+        "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "own").alias("kept_sha256"),
+    )
+
+
 ORACLE: dict[str, str] = {
     # the checksum is worked out byte by byte, because DuckDB has no function for it
     "op1_shards": """
@@ -210,11 +228,24 @@ ORACLE: dict[str, str] = {
         o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.phrase = b.phrase AND 100 * d.a >= 100 * b.a))
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
         WHERE rank <= 2000""",
+    "op12_repeats": """
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT *, unnest(range(n - 399)) AS p FROM d WHERE n >= 400)),
+        r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY 1 HAVING count(*) > 1)),
+        s AS (SELECT doc_id, p, CASE WHEN p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 1 ELSE 0 END AS new FROM r),
+        g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM s),
+        x AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, run),
+        c AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, list({'a': a, 'b': b} ORDER BY a) AS l FROM x GROUP BY 1)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+            sha256(unhex(CASE WHEN l IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(l) + 1), lambda i: substr(h,
+                1 + 2 * CASE WHEN i = 0 THEN 0 ELSE l[i].b END,
+                2 * (CASE WHEN i = len(l) THEN d.n ELSE l[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE l[i].b END))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe, op11_collocations)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe, op11_collocations, op12_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
