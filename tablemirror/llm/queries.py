@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.llm import (
-    bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, repeats, sharding, token_counts, token_store, toxicity
+    alignment, bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, repeats, sharding, token_counts, token_store, toxicity
 )
-from tablemirror.llm.common import documents, shared_dir
+from tablemirror.llm.common import documents, shared_dir, written
 
 N_SHARDS = 24
 MAX_REPEATS = 2.0
@@ -156,6 +156,19 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers."""
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    aligned, _ = written(alignment.align_texts(docs, *paths), "aligned")  # the numbers of rows are fixed from here on
+    counts, _ = written(alignment.pair_counts(aligned, *paths), "pair-counts")
+    scores = alignment.link_scores(aligned, counts, "row", *paths)
+    size = lambda c: F.size(c).cast("long")
+    sizes = aligned.select("row", "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("a_group").alias("n_groups"), "groups_sha256")
+    sums = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return sizes.join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", *sums, "groups_sha256")
+
+
 ORACLE: dict[str, str] = {
     # the checksum is worked out byte by byte, because DuckDB has no function for it
     "op1_shards": """
@@ -245,7 +258,7 @@ ORACLE: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe, op11_collocations, op12_repeats)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op3_near_dedup, op4_token_counts, op5_toxicity, op6_token_store, op7_exact_dedup, op8_html_text, op9_fingerprints, op10_bpe, op11_collocations, op12_repeats, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
