@@ -1,15 +1,20 @@
 """Mirrored tables on disk: versions, batches, state, and their loads.
 
-A table lives under ``root/<name>/v=<n>/_sync_batch_id=<id>/``. A full load writes a new
-``v``; the state names the live one, so readers never see a table half loaded. A folder
-that a run left behind before it could name it is never written to again: the next run
-takes a higher number, and the folder goes with the old versions. State is data too: small
-Parquet files, each row in a folder of its own so that runs at the same time do not meet,
-and the newest row counts. A table is written by one run at a time.
+A table's rows lie in batch folders, ``root/<name>/v=<n>/_sync_batch_id=<id>/``, which are
+written once. A version of the table is a manifest, a list of such folders with what is
+known of them; the state names the live version. A load writes its batches under a number
+of its own, then the manifest, which only one of several writers can create, then the state
+row that lets readers see it. What a run left behind before that is never read, and the
+next run takes a higher number.
+
+A version that is no longer live is kept for a time (``Store.keep``), so that readers who
+are under way finish and older versions can be read; then its manifest goes, and with it the
+batches that no other version names. A table is written by one run of a driver at a time.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -17,15 +22,19 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from tablemirror.functions.clean import LINEAGE, last_key, normalize, with_lineage
 from tablemirror.operators.current import current_rows, latest_state
-from tablemirror.sources.scans import incremental_scan
-from tablemirror.spec import TableSpec, schema_fingerprint
+from tablemirror.operators.state import Files, StateTable
+from tablemirror.sources.scans import after_key, incremental_scan, up_to_key
+from tablemirror.spec import TableSpec, schema_fingerprint, widened
 
 WATERMARKS = (
     "table_name string, version int, last_processed_id string, last_processed_timestamp timestamp, primary_key_column string, "
@@ -36,11 +45,13 @@ SYNC_LOG = (
     "error_message string, watermark_before timestamp, watermark_after timestamp, created_at timestamp"
 )
 PROGRESS = "table_name string, status string, records bigint, error_message string, updated_at timestamp"
-BACKUPS = "backup string, table_name string, row_count bigint, created_at timestamp"
 
 
-#: Error texts are logged up to this length.
-ERROR_CHARS = 500
+#: How long versions that are not live any more can still be read.
+KEEP = timedelta(hours=24)
+
+#: Size of a file that compaction makes, and the beginning of the name of a folder that holds several batches.
+TARGET_BYTES, MERGED = 128 << 20, "merged-"
 
 _RUNNING: set[tuple[str, str]] = set()
 _GUARD = threading.Lock()
@@ -54,43 +65,30 @@ class TableBusy(RuntimeError):
     """Another run of this driver is writing the table."""
 
 
-class Store:
-    """A root folder of mirrored tables in any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    # files, by way of Spark's file system layer
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+class VersionConflict(RuntimeError):
+    """Another driver has published the version that this run was about to."""
 
-    def exists(self, path: str) -> bool:
-        fs, where = self._fs(path)
-        return fs.exists(where)
 
-    def remove(self, path: str) -> None:
-        fs, where = self._fs(path)
-        fs.delete(where, True)
+class Store(Files):
+    """A root folder of mirrored tables in any file system that Spark reaches."""
 
-    def children(self, path: str) -> list[str]:
-        fs, where = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()) if fs.exists(where) else []
+    def __init__(self, spark: SparkSession, root: str, keep: timedelta = KEEP):
+        super().__init__(spark)
+        self.root, self.keep = root.rstrip("/"), keep
 
     def tables(self) -> list[str]:
         return [t for t in self.children(self.root) if not t.startswith("_")]
 
     # state
 
+    def state_table(self, name: str, schema: str) -> StateTable:
+        return StateTable(self.spark, f"{self.root}/_state/{name}", schema)
+
     def state(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/_state/{name}"
-        if not self.exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        return self.state_table(name, schema).read()
 
     def add_state(self, name: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{self.root}/_state/{name}/{uuid.uuid4().hex}")
+        self.state_table(name, schema).add(row)
 
     @contextmanager
     def writing(self, table: str) -> Iterator[None]:
@@ -107,10 +105,10 @@ class Store:
                 _RUNNING.discard(key)
 
     def next_version(self, table: str) -> int:
-        """A version number above the live one and above all folders that a broken run has left."""
+        """A version number above the live one and above all that a broken run has left."""
         state = self.watermark(table)
         left = [int(c[2:]) for c in self.children(f"{self.root}/{table}") if c.startswith("v=") and c[2:].isdigit()]
-        return 1 + max([0, *left, (state and state["version"]) or 0])
+        return 1 + max([0, *left, *self.versions(table), (state and state["version"]) or 0])
 
     def watermark(self, table: str) -> Any:
         """Newest watermark row of a table, or None."""
@@ -128,21 +126,123 @@ class Store:
 
     # versions
 
-    def raw(self, table: str) -> DataFrame:
-        """All stored versions of a table's rows."""
+    def _manifest(self, table: str, version: int) -> str:
+        return f"{self.root}/_manifests/{table}/{version:010d}.json"
+
+    def versions(self, table: str) -> list[int]:
+        """Numbers of the versions whose manifests are there, the live one and older ones; also what broken runs left."""
+        return [int(n.removesuffix(".json")) for n in self.files(f"{self.root}/_manifests/{table}")]
+
+    def manifest(self, table: str, version: int) -> dict[str, Any] | None:
+        """``batches`` (folder, rows, schema, least and greatest watermark, whether it has rows without), ``cursor``, ``created``."""
+        text = self.read(self._manifest(table, version))
+        return json.loads(text) if text else None
+
+    def live(self, table: str) -> int:
         row = self.watermark(table)
         if row is None or row["version"] is None:
             raise LookupError(f"{table} has no replica")
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/v={row['version']}").drop("v")
+        return row["version"]
+
+    def batches(self, table: str, version: int | None = None) -> list[dict[str, Any]]:
+        """The batches of a version; those in its folder if they were appended without a manifest."""
+        version = self.live(table) if version is None else version
+        manifest = self.manifest(table, version)
+        if manifest is not None:
+            return manifest["batches"]
+        return [self.batch(table, f"v={version}/{name}", None) for name in self.children(f"{self.root}/{table}/v={version}")]
+
+    def batch(self, table: str, folder: str, watermark: str | None) -> dict[str, Any]:
+        """What is known of a written batch, by one pass over its watermark column."""
+        rows = self.spark.read.parquet(f"{self.root}/{table}/{folder}")
+        facts: dict[str, Any] = {"folder": folder, "schema": rows.schema.jsonValue(), "low": None, "high": None, "undated": True}
+        if watermark is None:
+            return facts | {"rows": rows.count()}
+        at = F.col(watermark).cast("timestamp")
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high"), F.count_if(at.isNull()).alias("undated")).first()
+        shown = {k: found[k] and found[k].astimezone(timezone.utc).isoformat() for k in ("low", "high")}
+        return facts | shown | {"rows": found["n"], "undated": found["undated"] > 0}
+
+    def read_batches(self, table: str, batches: Sequence[dict[str, Any]]) -> DataFrame:
+        """Rows of batches under the schema that all of theirs widen to; what a batch lacks is NULL."""
+        schema = T.StructType([])
+        for entry in batches:
+            wider = widened(schema, T.StructType.fromJson(entry["schema"]))
+            if wider is None:
+                raise TypeError(f"batches of {table} have types that do not go together")
+            schema = wider
+        schema = T.StructType([*(f for f in schema.fields if f.name != "_sync_batch_id"), T.StructField("_sync_batch_id", T.StringType())])
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        where, parts = f"{self.root}/{table}", []
+        for merged in (False, True):  # a merged folder has its batch ids as a column, others in their names
+            paths = [f"{where}/{b['folder']}" for b in batches if (MERGED in b["folder"]) == merged]
+            reader = self.spark.read.schema(schema)
+            if paths:
+                parts.append(reader.parquet(*paths) if merged else reader.option("basePath", where).parquet(*paths).drop("v"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def raw(self, table: str, version: int | None = None) -> DataFrame:
+        """All stored versions of a table's rows, as of the live version of the table or an older one."""
+        version = self.live(table) if version is None else version
+        if version not in self.versions(table) and not self.children(f"{self.root}/{table}/v={version}"):
+            raise LookupError(f"{table} has no version {version}")
+        return self.read_batches(table, self.batches(table, version))
 
     def append_versions(self, df: DataFrame, table: str, version: int, batch_id: str) -> None:
         """Write a batch; writing it again replaces it, so a repeated batch changes nothing."""
         path = f"{self.root}/{table}/v={version}/_sync_batch_id={batch_id}"
         df.drop("_sync_batch_id").write.mode("overwrite").parquet(path)
 
-    def current(self, spec: TableSpec) -> DataFrame:
-        """The table as readers see it."""
-        raw = self.raw(spec.name)
+    def add_batch(self, df: DataFrame, spec: TableSpec, version: int, batch_id: str) -> dict[str, Any]:
+        """Write a batch and say what is known of it."""
+        self.append_versions(df, spec.name, version, batch_id)
+        return self.batch(spec.name, f"v={version}/_sync_batch_id={batch_id}", spec.watermark)
+
+    def commit(
+        self, spec: TableSpec, version: int, batches: Sequence[dict[str, Any]], last_id: str | None, last_ts: datetime | None, fingerprint: str | None,
+        cursor: list[str] | None = None,
+    ) -> None:
+        """Make a version of these batches, let readers see it, and clean up."""
+        text = json.dumps({"version": version, "created": _now().isoformat(), "cursor": cursor, "batches": list(batches)})
+        if not self.create(self._manifest(spec.name, version), text):
+            raise VersionConflict(f"{spec.name} has a version {version} already")
+        self.save_watermark(spec, version, last_id, last_ts, fingerprint)
+        self.publish(spec)
+        self.clean_up(spec.name)
+
+    def clean_up(self, table: str, keep: timedelta | None = None) -> list[str]:
+        """Delete versions that have not been live for longer than ``keep``, and the batches that no version names; these.
+
+        What lies above the live version belongs to a run that is under way.
+        """
+        keep, live, now = self.keep if keep is None else keep, self.live(table), _now()
+        numbers = sorted(self.versions(table))
+        made = {n: m for n in numbers if (m := self.manifest(table, n))}
+        for n, after in zip(numbers, numbers[1:], strict=False):
+            if n < live and (n not in made or after not in made or now - datetime.fromisoformat(made[after]["created"]) >= keep):
+                self.remove(self._manifest(table, n))
+                made.pop(n, None)
+        if live not in made:
+            return []
+        named = {b["folder"] for m in made.values() for b in m["batches"]}
+        gone = []
+        for name in self.children(f"{self.root}/{table}"):
+            if not name.startswith("v=") or int(name[2:]) > live:
+                continue
+            held = [f"{name}/{batch}" for batch in self.children(f"{self.root}/{table}/{name}")]
+            gone += [f for f in held if f not in named]
+            if not any(f in named for f in held):
+                self.remove(f"{self.root}/{table}/{name}")
+            else:
+                for folder in held:
+                    if folder not in named:
+                        self.remove(f"{self.root}/{table}/{folder}")
+        return gone
+
+    def current(self, spec: TableSpec, version: int | None = None) -> DataFrame:
+        """The table as readers see it, or saw it in an older version."""
+        raw = self.raw(spec.name, version)
         if not spec.keys:
             return raw.where("_sync_deleted = 0").drop(*LINEAGE)
         return current_rows(raw, spec.keys, deleted=F.col("_sync_deleted") == 1).drop(*LINEAGE)
@@ -157,71 +257,151 @@ def _cleaned(store: Store, spec: TableSpec, source: DataFrame, batch_id: str) ->
     return with_lineage(normalize(source, spec.declared), batch_id, fingerprint, F.lit(_now())), fingerprint
 
 
+def _moment(text: str | None) -> datetime | None:
+    return None if text is None else datetime.fromisoformat(text)
+
+
+def _newest(*times: datetime | None) -> datetime | None:
+    aware = [t.astimezone(timezone.utc) for t in times if t is not None]
+    return max(aware, default=None)
+
+
+def _edge(rows: DataFrame, spec: TableSpec, newest: datetime | None) -> tuple[Any, Any]:
+    """Conditions of the rows that an inclusive read finds again, and of all others."""
+    at = F.col(spec.watermark).cast("timestamp")
+    again = at.isNull() if newest is None else at.isNull() | (at >= F.lit(newest))
+    return again, ~F.coalesce(again, F.lit(True))
+
+
+def _add_parted(store: Store, spec: TableSpec, rows: DataFrame, version: int, batch_id: str) -> list[dict[str, Any]]:
+    """Write rows of a table without a key: those at the newest time, and those without a time, in a batch of their own."""
+    at = F.col(spec.watermark).cast("timestamp")
+    edge, body = _edge(rows, spec, rows.agg(F.max(at)).first()[0])
+    return [store.add_batch(rows.where(part), spec, version, f"{batch_id}-{name}") for name, part in (("body", body), ("edge", edge))]
+
+
 def full_refresh(store: Store, spec: TableSpec, source: DataFrame) -> int:
     """Load the whole table into a new version and let readers see it; the row count.
 
-    The old version's files stay until the new one is live, then they go.
+    The old version can be read for a while (``Store.keep``).
     """
     version, batch_id = store.next_version(spec.name), f"full-{uuid.uuid4().hex}"
     rows, fingerprint = _cleaned(store, spec, source, batch_id)
-    store.append_versions(rows, spec.name, version, batch_id)
-    written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}")
-    facts = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(spec.watermark).cast("timestamp")).alias("ts") if spec.watermark else F.lit(None).cast("timestamp").alias("ts")).first()
-    last = last_key(written, spec.keys).first()["last_key"] if spec.keys else None
-    store.save_watermark(spec, version, last, facts["ts"], fingerprint)
-    store.publish(spec)
-    _drop_others(store, spec, version)
-    return facts["n"]
-
-
-def _drop_others(store: Store, spec: TableSpec, version: int) -> None:
-    for name in store.children(f"{store.root}/{spec.name}"):
-        if name != f"v={version}":
-            store.remove(f"{store.root}/{spec.name}/{name}")
-
-
-def incremental_refresh(store: Store, spec: TableSpec, source: DataFrame, lookback: timedelta | None = None) -> tuple[str, int]:
+    if spec.keys or not spec.watermark:
+        batches = [store.add_batch(rows, spec, version, batch_id)]
+    else:
+        batches = _add_parted(store, spec, rows, version, batch_id)
+    last = last_key(store.read_batches(spec.name, batches), spec.keys).first()["last_key"] if spec.keys else None
+    newest = _newest(*(_moment(b["high"]) for b in batches))
+    store.commit(spec, version, batches, last, newest, fingerprint)
+    return sum(b["rows"] for b in batches)
+
+
+def _compatible(store: Store, spec: TableSpec, source: DataFrame, fingerprint: str | None, evolve: bool) -> bool:
+    """Whether rows of the source can be appended: the same schema, or with ``evolve`` one that the stored one can widen to."""
+    if schema_fingerprint(source.schema, spec.keys) == fingerprint:
+        return True
+    if not evolve:
+        return False
+    stored = store.raw(spec.name).schema
+    rows, _ = _cleaned(store, spec, source, "")
+    return widened(stored, rows.schema) is not None
+
+
+def incremental_refresh(
+    store: Store, spec: TableSpec, source: DataFrame, lookback: timedelta | None = None, evolve: bool = False, chunk_rows: int | None = None,
+    after_chunk: Callable[[int], None] | None = None,
+) -> tuple[str, int]:
     """Append the rows at or after the watermark; ``(mode, rows)``.
 
     A full load instead if there is no watermark column, replica or watermark, or if the
-    schema changed. Boundary rows come again; a table with a key sorts that out when it is
-    read, one without has its boundary slice replaced, and with it the rows without a
-    watermark, of which nothing tells what is new.
+    schema changed; with ``evolve`` only if it changed to one that does not go together with
+    the stored one: new columns and wider types are appended as they are. Boundary rows come
+    again; a table with a key sorts that out when it is read. One without has its boundary
+    slice replaced, and with it the rows without a watermark, of which nothing tells what is
+    new; other batches are not touched. The stored watermark never goes back.
+
+    With ``chunk_rows`` a table with a key is loaded in chunks of about so many rows, in the
+    order of (watermark, key). Each is a version of the table and stores how far it goes; a
+    run after one that broke off begins there. ``after_chunk`` is called with the number of
+    chunks that are done.
     """
     state = store.watermark(spec.name)
     known = state is not None and state["version"] is not None and state["last_processed_timestamp"] is not None
-    if not spec.watermark or not known or schema_fingerprint(source.schema, spec.keys) != state["schema_fingerprint"]:
+    if not spec.watermark or not known or not _compatible(store, spec, source, state["schema_fingerprint"], evolve):
         return "full", full_refresh(store, spec, source)
-    mark = state["last_processed_timestamp"]
-    version, batch_id = state["version"], f"inc-{uuid.uuid4().hex}"
+    if spec.keys and chunk_rows:
+        return "incremental", _in_chunks(store, spec, source, state, lookback, chunk_rows, after_chunk)
+    mark, version, batch_id = state["last_processed_timestamp"], store.next_version(spec.name), f"inc-{uuid.uuid4().hex}"
+    old = store.batches(spec.name)
     if spec.keys:
         rows, fingerprint = _cleaned(store, spec, incremental_scan(source, spec.watermark, mark, lookback), batch_id)
-        store.append_versions(rows, spec.name, version, batch_id)
-        path = f"{store.root}/{spec.name}/v={version}/_sync_batch_id={batch_id}"
-        written = store.spark.read.parquet(path)
+        new = [store.add_batch(rows, spec, version, batch_id)]
+        n, kept, carried = new[0]["rows"], old, []
+        last = last_key(store.read_batches(spec.name, new), spec.keys).first()["last_key"] if n else state["last_processed_id"]
     else:
-        since = mark - lookback if lookback else mark
-        stored = F.col(spec.watermark).cast("timestamp")
-        again = stored.isNull() | (stored >= F.lit(since))
+        since = (mark - lookback if lookback else mark).astimezone(timezone.utc)
         # cleaned first: times that do not exist become NULL, and kept and read rows have to complement each other
         rows, fingerprint = _cleaned(store, spec, source, batch_id)
-        rows = rows.where(again)
-        kept = store.raw(spec.name).where(stored < F.lit(since))
-        version = store.next_version(spec.name)
-        store.append_versions(kept.drop("_sync_batch_id").unionByName(rows.drop("_sync_batch_id")), spec.name, version, batch_id)
-        written = store.spark.read.parquet(f"{store.root}/{spec.name}/v={version}").where(again)
-    facts = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(spec.watermark).cast("timestamp")).alias("ts")).first()
-    last = last_key(written, spec.keys).first()["last_key"] if spec.keys and facts["n"] else state["last_processed_id"]
-    store.save_watermark(spec, version, last, facts["ts"] or mark, fingerprint)
-    store.publish(spec)
-    _drop_others(store, spec, version)
-    return "incremental", facts["n"]
-
-
-def sync_table(store: Store, spec: TableSpec, source: DataFrame, force_full: bool = False) -> tuple[str, str, int, int, str | None]:
+        again, before = _edge(rows, spec, since)
+        new = _add_parted(store, spec, rows.where(again), version, batch_id)
+        n, last = sum(b["rows"] for b in new), state["last_processed_id"]
+        touched = [b for b in old if b["undated"] or (b["high"] is not None and _moment(b["high"]) >= since)]
+        kept = [b for b in old if b not in touched]
+        rest = [b for b in touched if b["low"] is not None and _moment(b["low"]) < since]
+        carried = [store.add_batch(store.read_batches(spec.name, rest).where(before), spec, version, f"{batch_id}-kept")] if rest else []
+    newest = _newest(mark, *(_moment(b["high"]) for b in new))
+    store.commit(spec, version, [*kept, *carried, *new], last, newest, fingerprint)
+    return "incremental", n
+
+
+def _in_chunks(
+    store: Store, spec: TableSpec, source: DataFrame, state: Any, lookback: timedelta | None, chunk_rows: int, after_chunk: Callable[[int], None] | None
+) -> int:
+    order = [spec.watermark, *spec.keys]
+    manifest = store.manifest(spec.name, state["version"]) or {}
+    if manifest.get("cursor"):  # a run broke off behind this row
+        rest = source.where(after_key(source, order, manifest["cursor"]))
+    else:
+        rest = incremental_scan(source, spec.watermark, state["last_processed_timestamp"], lookback)
+    bounds = chunk_bounds(rest, order, chunk_rows)
+    done, mark, last = 0, state["last_processed_timestamp"], state["last_processed_id"]
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True), 1):
+        part = rest if low is None else rest.where(after_key(rest, order, low))
+        part = part if high is None else part.where(up_to_key(part, order, high))
+        version, batch_id = store.next_version(spec.name), f"inc-{uuid.uuid4().hex}"
+        rows, fingerprint = _cleaned(store, spec, part, batch_id)
+        new = store.add_batch(rows, spec, version, batch_id)
+        if new["rows"]:
+            last = last_key(store.read_batches(spec.name, [new]), spec.keys).first()["last_key"]
+        mark = _newest(mark, _moment(new["high"]))
+        store.commit(spec, version, [*store.batches(spec.name), new], last, mark, fingerprint, cursor=high)
+        done += new["rows"]
+        if after_chunk:
+            after_chunk(i)
+    return done
+
+
+def chunk_bounds(rows: DataFrame, order: Sequence[str], chunk_rows: int) -> list[list[str]]:
+    """Greatest keys of all chunks but the last, as text: quantiles of the order, found by Spark's range sampling.
+
+    Only the columns of the order are shuffled, and one row a chunk reaches the driver.
+    """
+    keys = rows.select(*order)
+    chunks = -(-keys.count() // chunk_rows)
+    if chunks < 2:
+        return []
+    dealt = keys.repartitionByRange(chunks, *order).select(F.spark_partition_id().alias("__chunk"), F.struct(*order).alias("__key"))
+    ends = dealt.groupBy("__chunk").agg(F.max("__key").alias("end")).orderBy("end")
+    found = ends.select(*[F.col(f"end.{c}").cast("string").alias(f"c{i}") for i, c in enumerate(order)]).collect()
+    return [list(r) for r in found[:-1]]
+
+
+def sync_table(store: Store, spec: TableSpec, source: DataFrame, force_full: bool = False, **options: Any) -> tuple[str, str, int, int, str | None]:
     """``(mode, status, records, ms, error)`` of one table's run; a failure is logged, not raised.
 
-    A table that another run is writing is left alone, which is a failure too.
+    A table that another run is writing is left alone, which is a failure too. ``options``
+    are those of ``incremental_refresh``.
     """
     start, mode, error, n, mark, after = time.monotonic(), "full", None, 0, None, None
     try:
@@ -231,15 +411,15 @@ def sync_table(store: Store, spec: TableSpec, source: DataFrame, force_full: boo
             if force_full or not spec.watermark:
                 n = full_refresh(store, spec, source)
             else:
-                mode, n = incremental_refresh(store, spec, source)
+                mode, n = incremental_refresh(store, spec, source, **options)
         after = store.watermark(spec.name)
     except Exception as e:  # noqa: BLE001
-        error = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+        error = f"{type(e).__name__}: {e}"
     ms = int(1000 * (time.monotonic() - start))
     try:
         store.log(spec.name, mode, n, ms, error, mark, after["last_processed_timestamp"] if after else mark)
     except Exception as e:  # noqa: BLE001  the run's own failure, if there was one, says more
-        error = error or f"not logged: {type(e).__name__}: {e}"[:ERROR_CHARS]
+        error = error or f"not logged: {type(e).__name__}: {e}"
     return mode, "error" if error else "success", n, ms, error
 
 
@@ -263,6 +443,7 @@ def drop_replica(store: Store, spec: TableSpec) -> None:
     """Drop a table's view and files and empty its watermark, so that the next run loads it anew."""
     store.spark.catalog.dropTempView(spec.name)
     store.remove(f"{store.root}/{spec.name}")
+    store.remove(f"{store.root}/_manifests/{spec.name}")
     store.save_watermark(spec, None, None, None, None)
 
 
@@ -272,6 +453,7 @@ def clear_all(store: Store, specs: Sequence[TableSpec]) -> None:
         store.spark.catalog.dropTempView(spec.name)
     for name in store.tables():
         store.remove(f"{store.root}/{name}")
+    store.remove(f"{store.root}/_manifests")
     store.remove(f"{store.root}/_state")
 
 
@@ -292,7 +474,7 @@ def bootstrap(store: Store, tables: Sequence[tuple[TableSpec, DataFrame]], resum
             with store.writing(spec.name):
                 n, status, error = full_refresh(store, spec, source), "done", None
         except Exception as e:  # noqa: BLE001
-            n, status, error = 0, "failed", f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+            n, status, error = 0, "failed", f"{type(e).__name__}: {e}"
         store.add_state("progress", PROGRESS, (spec.name, status, n, error, _now()))
     return latest_state(store.state("progress", PROGRESS), "table_name", "updated_at")
 
@@ -308,26 +490,42 @@ def bootstrap_then(store: Store, tables: Sequence[tuple[TableSpec, DataFrame]],
 # upkeep
 
 
-def compact(store: Store, spec: TableSpec, files: int) -> None:
-    """Rewrite a table's batches into fewer files, the same versions in them."""
+def compact(store: Store, spec: TableSpec, files: int | None = None, target_bytes: int = TARGET_BYTES) -> list[str]:
+    """Rewrite batches of small files into few files of about ``target_bytes``, the same versions in them; their folders.
+
+    The file listing tells which batches have files under half that size; they are packed
+    together, dealt by ranges of the key (without one, of the watermark) and sorted by it,
+    so that a read by key skips files and row groups. Batches of large files are left
+    alone. With ``files`` all batches are rewritten into so many files.
+    """
     with store.writing(spec.name):
-        _swap(store, spec, store.raw(spec.name).repartition(files))
+        batches = store.batches(spec.name)
+        sizes = {b["folder"]: store.files(f"{store.root}/{spec.name}/{b['folder']}") for b in batches}
+        small = [b for b in batches if files or any(size < target_bytes // 2 for size in sizes[b["folder"]].values())]
+        total = sum(sum(sizes[b["folder"]].values()) for b in small)
+        n = files or max(1, -(-total // target_bytes))
+        if not files and sum(len(sizes[b["folder"]]) for b in small) <= n:
+            return []
+        rows, order = store.read_batches(spec.name, small), list(spec.keys) or [c for c in [spec.watermark] if c]
+        dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "_sync_batch_id") if order else rows.repartition(n)
+        _swap(store, spec, dealt, [b for b in batches if b not in small])
+        return [b["folder"] for b in small]
 
 
 def vacuum(store: Store, spec: TableSpec) -> None:
     """Keep only the newest version of each key; without a key, every row that is not deleted."""
     with store.writing(spec.name):
         raw = store.raw(spec.name)
-        _swap(store, spec, current_rows(raw, spec.keys) if spec.keys else raw.where("_sync_deleted = 0"))
+        _swap(store, spec, current_rows(raw, spec.keys) if spec.keys else raw.where("_sync_deleted = 0"), [])
 
 
-def _swap(store: Store, spec: TableSpec, rows: DataFrame) -> None:
-    """Write rows with their batch ids as a new version, make it live and drop the old one."""
+def _swap(store: Store, spec: TableSpec, rows: DataFrame, kept: Sequence[dict[str, Any]]) -> None:
+    """Make a version of the kept batches and of rows of several batches, which go to one folder with their batch ids."""
     state, version = store.watermark(spec.name), store.next_version(spec.name)
-    rows.write.partitionBy("_sync_batch_id").parquet(f"{store.root}/{spec.name}/v={version}")
-    store.save_watermark(spec, version, state["last_processed_id"], state["last_processed_timestamp"], state["schema_fingerprint"])
-    store.publish(spec)
-    _drop_others(store, spec, version)
+    folder = f"v={version}/{MERGED}{uuid.uuid4().hex}"
+    rows.write.parquet(f"{store.root}/{spec.name}/{folder}")
+    new = store.batch(spec.name, folder, spec.watermark)
+    store.commit(spec, version, [*kept, new], state["last_processed_id"], state["last_processed_timestamp"], state["schema_fingerprint"])
 
 
 def prune_log(log: DataFrame, at: str, days: int, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -336,42 +534,84 @@ def prune_log(log: DataFrame, at: str, days: int, now: datetime) -> tuple[DataFr
     return log.where(F.col(at) >= edge), log.where(F.col(at) < edge).agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row: rows, and the sum and the exclusive or of a 64-bit hash of each; their order does not count, repeated rows do."""
+    whole = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).alias("h"))
+    total = F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return whole.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"), total.alias("total"))
+
+
 def backup_database(store: Store, target: str, name: str | None = None) -> str:
-    """Copy the live files of all tables and the state to ``target/<name>/``; the name."""
+    """Back up the live version of all tables and the state as ``target/<name>``; the name.
+
+    Batches are written once, so a backup copies only those that no earlier one has, to
+    ``target/_batches``. The manifest has a digest of the content of each, taken from the
+    store; a copy that does not have it is an error.
+    """
     name = name or f"backup-{_now().strftime('%Y-%m-%dT%H-%M-%SZ')}"
-    where = f"{target.rstrip('/')}/{name}"
-    rows = []
+    target = target.rstrip("/")
+    tables = {}
     for table in store.tables():
         state = store.watermark(table)
         if state is None or state["version"] is None:
             continue
-        path = f"{table}/v={state['version']}"
-        store.spark.read.parquet(f"{store.root}/{path}").write.partitionBy("_sync_batch_id").parquet(f"{where}/{path}")
-        rows.append((name, table, store.spark.read.parquet(f"{where}/{path}").count(), _now()))
-    _copy_state(store.spark, store, f"{store.root}/_state", f"{where}/_state")
-    store.spark.createDataFrame(rows, BACKUPS).coalesce(1).write.parquet(f"{where}/_manifest")
+        manifest = store.manifest(table, state["version"]) or {"cursor": None, "batches": store.batches(table)}
+        with ThreadPoolExecutor(4) as pool:
+            digests = list(pool.map(lambda b, table=table: _back_up(store, target, table, b), manifest["batches"]))
+        tables[table] = {"version": state["version"], "cursor": manifest["cursor"], "batches": digests}
+    _copy_state(store, f"{store.root}/_state", f"{target}/{name}/state")
+    store.create(f"{target}/{name}/manifest.json", json.dumps({"created": _now().isoformat(), "tables": tables}))
     return name
 
 
+def _digest(rows: DataFrame) -> list:
+    return list(content_digest(rows).first())
+
+
+def _back_up(store: Store, target: str, table: str, batch: dict[str, Any]) -> dict[str, Any]:
+    """Copy a batch unless it is there; the batch with its digest."""
+    pool = f"{target}/_batches/{table}/{batch['folder']}"
+    noted = store.read(f"{pool}.json")
+    if noted:
+        return batch | {"digest": json.loads(noted)}
+    rows = store.spark.read.parquet(f"{store.root}/{table}/{batch['folder']}")
+    rows.write.mode("overwrite").parquet(pool)
+    digest = _digest(rows)
+    if _digest(store.spark.read.parquet(pool)) != digest:
+        raise RuntimeError(f"{pool} was not copied whole")
+    store.create(f"{pool}.json", json.dumps(digest))
+    return batch | {"digest": digest}
+
+
 def restore_database(spark: SparkSession, source: str, name: str, root: str) -> Store:
-    """Copy a backup to an empty root and check its counts; an existing root is an error."""
+    """Copy a backup to an empty root; an existing root is an error, and so is content that has not the digest of the manifest."""
     store = Store(spark, root)
     if store.exists(store.root):
         raise FileExistsError(f"{root} exists")
-    where = f"{source.rstrip('/')}/{name}"
-    for row in spark.read.parquet(f"{where}/_manifest").collect():
-        for version in store.children(f"{where}/{row['table_name']}"):
-            path = f"{row['table_name']}/{version}"
-            spark.read.parquet(f"{where}/{path}").write.partitionBy("_sync_batch_id").parquet(f"{root}/{path}")
-            if spark.read.parquet(f"{root}/{path}").count() != row["row_count"]:
-                raise RuntimeError(f"{path} was not restored whole")
-    _copy_state(spark, store, f"{where}/_state", f"{root}/_state")
+    source = source.rstrip("/")
+    text = store.read(f"{source}/{name}/manifest.json")
+    if text is None:
+        raise FileNotFoundError(f"there is no backup {name}")
+    for table, facts in json.loads(text)["tables"].items():
+        for batch in facts["batches"]:
+            rows = spark.read.parquet(f"{source}/_batches/{table}/{batch['folder']}")
+            rows.write.parquet(f"{root}/{table}/{batch['folder']}")
+            if _digest(spark.read.parquet(f"{root}/{table}/{batch['folder']}")) != batch["digest"]:
+                raise RuntimeError(f"{table}/{batch['folder']} is not what was backed up")
+        batches = [{k: v for k, v in b.items() if k != "digest"} for b in facts["batches"]]
+        manifest = {"version": facts["version"], "created": _now().isoformat(), "cursor": facts["cursor"], "batches": batches}
+        store.create(store._manifest(table, facts["version"]), json.dumps(manifest))
+    _copy_state(store, f"{source}/{name}/state", f"{root}/_state")
     return store
 
 
-def _copy_state(spark: SparkSession, store: Store, source: str, target: str) -> None:
+def _copy_state(store: Store, source: str, target: str) -> None:
+    """State rows of every kind, folded into one segment at the target."""
+    kinds = {"watermarks": WATERMARKS, "sync_log": SYNC_LOG, "progress": PROGRESS}
     for kind in store.children(source):
-        spark.read.option("recursiveFileLookup", "true").parquet(f"{source}/{kind}").coalesce(1).write.parquet(f"{target}/{kind}/{uuid.uuid4().hex}")
+        if kind in kinds:
+            rows = StateTable(store.spark, f"{source}/{kind}", kinds[kind]).read()
+            StateTable(store.spark, f"{target}/{kind}", kinds[kind]).start_from(rows)
 
 
 def list_backups(spark: SparkSession, target: str) -> DataFrame:
@@ -388,10 +628,21 @@ def _escape(text: str) -> str:
 
 
 def delete_backup(store: Store, target: str, name: str) -> None:
-    """Delete one backup; names that lead out of the target are refused."""
+    """Delete one backup and the batches that no other backup has; names that lead out of the target are refused."""
     if not name or name.startswith("/") or ".." in name.split("/") or "/" in name.strip("/"):
         raise ValueError(f"{name!r} names no backup")
-    store.remove(f"{target.rstrip('/')}/{name}")
+    target = target.rstrip("/")
+    store.remove(f"{target}/{name}")
+    texts = (store.read(f"{target}/{other}/manifest.json") for other in store.children(target) if not other.startswith("_"))
+    named = {f"{table}/{b['folder']}" for text in texts if text for table, facts in json.loads(text)["tables"].items() for b in facts["batches"]}
+    for table in store.children(f"{target}/_batches"):
+        for version in store.children(f"{target}/_batches/{table}"):
+            for batch in store.children(f"{target}/_batches/{table}/{version}"):
+                if f"{table}/{version}/{batch}" not in named:
+                    store.remove(f"{target}/_batches/{table}/{version}/{batch}")
+                    store.remove(f"{target}/_batches/{table}/{version}/{batch}.json")
+            if not store.children(f"{target}/_batches/{table}/{version}"):
+                store.remove(f"{target}/_batches/{table}/{version}")
 
 
 def prune_backups(store: Store, target: str, days: int, now: datetime | None = None) -> list[str]:

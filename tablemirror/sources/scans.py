@@ -62,6 +62,16 @@ def after_key(df: DataFrame, keys: Sequence[str], after: Sequence[Any]) -> Colum
     return (F.col(keys[0]) >= _literal(df, keys[0], after[0])) & reduce(Column.__or__, steps)
 
 
+def up_to_key(df: DataFrame, keys: Sequence[str], last: Sequence[Any]) -> Column:
+    """``(a, b, ...) <= (x, y, ...)`` in lexicographic order; with ``after_key`` it cuts a table into pieces."""
+    steps = []
+    for i, (key, value) in enumerate(zip(keys, last, strict=True)):
+        equal = [F.col(k) == _literal(df, k, v) for k, v in zip(keys[:i], last[:i], strict=True)]
+        below = F.col(key) < _literal(df, key, value) if i + 1 < len(keys) else F.col(key) <= _literal(df, key, value)
+        steps.append(reduce(Column.__and__, [*equal, below]))
+    return (F.col(keys[0]) <= _literal(df, keys[0], last[0])) & reduce(Column.__or__, steps)
+
+
 def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence[Any] | None, n: int) -> DataFrame:
     """The next ``n`` rows after a key, in key order: a top-n, not a sort of the table."""
     rest = df if after is None else df.where(after_key(df, keys, after))

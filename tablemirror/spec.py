@@ -74,6 +74,45 @@ def schema_changed(schema: T.StructType, keys: tuple[str, ...], stored: str | No
     return stored is not None and schema_fingerprint(schema, keys) != stored
 
 
+def _digits(kind: T.DataType) -> tuple[int, int] | None:
+    """Digits before and behind the point that a number type holds exactly."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}.get(type(kind))
+    return None if whole is None else (whole, 0)
+
+
+def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The one of two types that holds the values of both, as files of the other can be read by it; None if neither does."""
+    if a == b:
+        return a
+    for narrow, wide in ((a, b), (b, a)):
+        small, large = _digits(narrow), _digits(wide)
+        order = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+        if type(narrow) in order and type(wide) in order:
+            if order.index(type(narrow)) < order.index(type(wide)):
+                return wide
+        elif small and large and isinstance(wide, T.DecimalType) and large[0] >= small[0] and large[1] >= small[1]:
+            return wide
+        elif isinstance(narrow, T.FloatType) and isinstance(wide, T.DoubleType):
+            return wide
+        elif isinstance(narrow, T.DateType) and isinstance(wide, T.TimestampNTZType):
+            return wide
+    return None
+
+
+def widened(a: T.StructType, b: T.StructType) -> T.StructType | None:
+    """A schema with the columns of both, each of the wider type and nullable; None if a column's types do not go together."""
+    new, fields = {f.name: f for f in b.fields}, []
+    for f in a.fields:
+        kind = wider_type(f.dataType, new[f.name].dataType) if f.name in new else f.dataType
+        if kind is None:
+            return None
+        fields.append(T.StructField(f.name, kind, True))
+    old = {f.name for f in a.fields}
+    return T.StructType([*fields, *(T.StructField(f.name, f.dataType, True) for f in b.fields if f.name not in old)])
+
+
 def detect_watermark(columns: list[str]) -> str | None:
     """The column whose name says when a row was last written; None if there is none."""
     return next((name for name in WATERMARK_NAMES if name in columns), None)
