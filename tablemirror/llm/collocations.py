@@ -12,7 +12,10 @@ Proposals travel as a bitmap of a fixed size (``PLACES`` bits). A place that two
 share only lets a phrase be counted that need not be; more proposals make the bitmap
 fuller and the passes count more, and the counts are exact at every fill.
 
-Inside a task phrases are told apart by two 64-bit hashes, between tasks by their words.
+A pass reads the texts twice. First the 64-bit keys of its phrases are counted, which screens
+out nearly all of the border; then what the screen leaves, among it everything frequent, is
+counted by its words. There, inside a task, phrases are told apart by two 64-bit hashes,
+between tasks by their words, so a key that two phrases share costs nothing but work.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 MOST_WORDS = 5
 #: Share of the documents that propose, and how far the threshold is lowered for it.
 SAMPLE, LOWERED = 1 / 16, 0.5
-#: Places of the bitmap of proposals: 16 MB whatever the number of proposals.
-PLACES, _PART = 1 << 27, 1 << 15
-#: Text that a task takes apart at a time.
-_STEP_BYTES = 8 << 20
+#: Most places of the bitmap of proposals, 16 MB whatever the number of proposals, and the places a proposal has in a smaller one.
+PLACES, SPARSE, _PART = 1 << 27, 64, 1 << 15
+#: Text that a task takes apart at a time, and keys whose counts it holds before it passes them on.
+_STEP_BYTES, _HELD_KEYS = 2 << 20, 2_000_000
 
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t", bytes(range(97, 123)) + b" ")
@@ -57,48 +60,53 @@ def _numbers(n: int, start: int) -> np.ndarray:
 _IS_BREAK, _IS_SOLID = np.zeros(256, bool), np.ones(256, bool)
 _IS_BREAK[list(BREAKS)] = True
 _IS_SOLID[list(BREAKS + BLANKS)] = False
-_LETTERS = [_numbers(256, 0), _numbers(256, 256)]
-_BASES = [_MIX2, _MIX1]
+#: The bytes of a little-endian 64-bit number that belong to a word of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WEIGHTS = [_numbers(MOST_WORDS, 1000 + 100 * k) | np.uint64(1) for k in (0, 1)]
 _SALTS = _numbers(MOST_WORDS + 1, 2000)
 
 
 class Words:
-    """The words of some texts: where each stands, its piece, its language, and hashes of the phrases that begin there."""
+    """The words of some texts: where each stands, its piece, its language, and two hashes of each."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         self.data = b"\n".join(texts).translate(_LOWER)
-        letters = np.frombuffer(self.data, np.uint8)
-        solid = np.zeros(len(letters) + 2, bool)
-        solid[1:-1] = _IS_SOLID[letters]
+        letters = np.frombuffer(self.data + bytes(8), np.uint8)
+        solid = np.zeros(len(self.data) + 2, bool)
+        solid[1:-1] = _IS_SOLID[letters[:-8]]
         edges = np.flatnonzero(solid[1:] != solid[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         self.lengths = self.ends - self.starts
         self.n = len(self.starts)
-        self.piece = np.cumsum(_IS_BREAK[letters], dtype=np.int64)[self.starts] if self.n else np.zeros(0, np.int64)
+        self.piece = np.cumsum(_IS_BREAK[letters], dtype=np.int32)[self.starts]
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        owner = np.searchsorted(begins, self.starts, side="right") - 1
+        first = np.searchsorted(self.starts, begins)
         self.names = sorted(set(langs))
         place = {name: i for i, name in enumerate(self.names)}
-        self.lang = np.array([place[x] for x in langs], np.int64)[owner] if self.n else np.zeros(0, np.int64)
-        salts = np.array([xxhash.xxh64_intdigest(x) for x in self.names], np.uint64)[self.lang] if self.n else np.zeros(0, np.uint64)
-        self.word = [_mixed(self._word_hashes(letters, k) + salts) for k in (0, 1)] if self.n else [np.zeros(0, np.uint64)] * 2
-
-    def _word_hashes(self, letters: np.ndarray, k: int) -> np.ndarray:
-        longest = int(self.lengths.max())
-        powers = np.cumprod(np.full(longest, _BASES[k], np.uint64))
-        first = np.cumsum(self.lengths) - self.lengths
-        within = np.arange(int(self.lengths.sum())) - np.repeat(first, self.lengths)
-        place = within + np.repeat(self.starts, self.lengths)
-        sums = np.add.reduceat(_LETTERS[k][letters[place]] * powers[within], first)
-        return _mixed(sums + self.lengths.astype(np.uint64))
-
-    def phrases(self, words: int) -> np.ndarray:
-        """First words of all phrases of so many words inside one piece."""
+        self.lang = np.repeat(np.array([place[x] for x in langs], np.int32), np.diff(first))
+        salts = np.array([xxhash.xxh64_intdigest(x) for x in self.names], np.uint64)[self.lang] + self.lengths.astype(np.uint64)
+        self.word = self._hashes(letters, salts)
+
+    def _hashes(self, letters: np.ndarray, salts: np.ndarray) -> list[np.ndarray]:
+        """Both hashes, from eight bytes of the words at a time."""
+        eight = np.ndarray(len(letters) - 7, "<u8", letters, strides=(1,))
+        found, at, left = [_mixed(salts), _mixed(salts ^ _GOLDEN)], np.arange(self.n), self.lengths
+        start = self.starts
+        while len(at):
+            bytes_ = eight[start] & _MASKS[np.minimum(left, 8)]
+            for k, factor in ((0, _MIX1), (1, _MIX2)):
+                found[k][at] = _mixed((found[k][at] ^ bytes_) * factor + _GOLDEN)
+            more = np.flatnonzero(left > 8)
+            at, start, left = at[more], start[more] + 8, left[more] - 8
+        return found
+
+    def phrases(self, words: int, parts: np.ndarray | None = None) -> np.ndarray:
+        """First words of the phrases of so many words inside one piece; if ``parts`` is given, of those whose two parts, one word shorter, it holds."""
         if self.n < words:
             return np.zeros(0, np.int64)
         last = self.n - words + 1
-        return np.flatnonzero(self.piece[:last] == self.piece[words - 1 :])
+        inside = self.piece[:last] == self.piece[words - 1 :]
+        return np.flatnonzero(inside if parts is None else inside & parts[:last] & parts[1 : last + 1])
 
     def keys(self, at: np.ndarray, words: int, k: int = 0) -> np.ndarray:
         """Hash of the phrase of so many words at each place; the language is part of it."""
@@ -107,6 +115,12 @@ class Words:
             total += self.word[k][at + i] * _WEIGHTS[k][i]
         return _mixed(total)
 
+    def flags(self, at: np.ndarray) -> np.ndarray:
+        """True at these places."""
+        found = np.zeros(self.n, bool)
+        found[at] = True
+        return found
+
     def text(self, at: np.ndarray, words: int) -> list[bytes]:
         last = at + words - 1
         one_blank = self.ends[last] - self.starts[at] == self._length_sums[last + 1] - self._length_sums[at] + words - 1
@@ -137,13 +151,19 @@ def _counted(keys: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Proposals:
-    """A set of phrase keys as bits; it may say that it holds a key which was not put in."""
+    """A set of phrase keys as bits; it may say that it holds a key which was not put in.
+
+    The bitmap is folded while it stays sparse, so a small set is small.
+    """
 
     def __init__(self, bits: np.ndarray):
+        wanted = SPARSE * int(np.bitwise_count(bits).sum())
+        while 8 * len(bits) >= 2 * wanted and len(bits) > 1024:
+            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
         self.bits = bits
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & np.uint64(PLACES - 1)
+        place = keys & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -180,13 +200,14 @@ def _proposed(rows: DataFrame, least: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch], sizes: range, pairs: Broadcast | None) -> Iterable[pa.RecordBatch]:
         for step in _steps(batches):
+            parts = None
+            if pairs is not None:
+                at = step.phrases(2)
+                parts = step.flags(at[pairs.value.holds(step.keys(at, 2))])
             for words in sizes:
-                at = step.phrases(words)
-                for i in range(words - 1 if pairs else 0):
-                    at = at[pairs.value.holds(step.keys(at + i, 2))]
-                keys = step.keys(at, words)
-                found, counts = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+                at = step.phrases(words, parts)
+                parts = step.flags(at)
+                yield _key_batch(*np.unique(step.keys(at, words), return_counts=True))
 
     def often(sizes: range, pairs: Broadcast | None = None) -> np.ndarray:
         counts = rows.mapInArrow(lambda batches: count(batches, sizes, pairs), "key bigint, n bigint")
@@ -195,7 +216,7 @@ def _proposed(rows: DataFrame, least: int) -> np.ndarray:
     short = often(range(1, 3))
     sent = rows.sparkSession.sparkContext.broadcast(Proposals(short))
     found = short | often(range(3, MOST_WORDS), sent)
-    sent.unpersist()
+    sent.destroy()
     return found
 
 
@@ -215,25 +236,30 @@ def frequent_phrases(df: DataFrame, min_count: int, text_col: str = "text", lang
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     least = max(1, int(min_count * sample * LOWERED))
-    now, before, found = _proposed(rows.sample(sample, seed=7), least), None, []
+    now, found = _proposed(rows.sample(sample, seed=7), least), []
     schema = "lang string, words int, phrase string, n bigint, key bigint"
 
-    def count(batches: Iterator[pa.RecordBatch], new: Broadcast, old: Broadcast | None) -> Iterable[pa.RecordBatch]:
+    def screen(batches: Iterator[pa.RecordBatch], new: Broadcast, old: Broadcast | None) -> Iterable[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in _steps(batches):
+            held += [np.unique(keys, return_counts=True) for _, _, keys in _uncounted(step, new, old)]
+            if sum(len(k) for k, _ in held) >= _HELD_KEYS:
+                held = [_summed(held)]
+                if len(held[0][0]) >= _HELD_KEYS // 2:  # little came together: the shuffle does the rest
+                    yield _key_batch(*held.pop())
+        if held:
+            yield _key_batch(*_summed(held))
+
+    def count(batches: Iterator[pa.RecordBatch], new: Broadcast, old: Broadcast | None, screened: Broadcast) -> Iterable[pa.RecordBatch]:
         for step in _steps(batches):
-            if old is None:  # the first pass counts all words, of which the border of single words consists
+            if old is None:
                 counts = np.bincount(step.lang, minlength=len(step.names))
                 none = [0] * len(step.names)
                 yield _batch(step.names, none, [""] * len(step.names), counts, none)
-            for words in range(1 if old is None else 2, MOST_WORDS + 1):
-                at = step.phrases(words)
-                if words > 1:
-                    first, rest = step.keys(at, words - 1), step.keys(at + 1, words - 1)
-                    take = new.value.holds(first) & new.value.holds(rest)
-                    if old is not None:
-                        take &= ~(old.value.holds(first) & old.value.holds(rest))
-                    at = at[take]
+            for words, at, keys in _uncounted(step, new, old):
+                take = screened.value.holds(keys)
+                at, keys = at[take], keys[take]
                 if len(at):
-                    keys = step.keys(at, words)
                     which, counts = _counted(keys, step.keys(at, words, 1))
                     names = pa.array(step.names, pa.string()).take(pa.array(step.lang[at[which]]))
                     text = pa.array(step.text(at[which], words), pa.binary()).cast(pa.string())
@@ -244,19 +270,53 @@ def frequent_phrases(df: DataFrame, min_count: int, text_col: str = "text", lang
             keys = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(keys[~new.value.holds(keys.view(np.uint64))])], ["key"])
 
+    send, new, old = spark.sparkContext.broadcast, None, None
     while True:
-        new = spark.sparkContext.broadcast(Proposals(now))
-        old = None if before is None else spark.sparkContext.broadcast(Proposals(before))
-        counts = rows.mapInArrow(lambda batches, new=new, old=old: count(batches, new, old), schema)
+        old, new = new, send(Proposals(now))
+        sums = rows.mapInArrow(lambda batches, new=new, old=old: screen(batches, new, old), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+        screened = send(Proposals(_bits(sums.where(F.col("n") >= min_count).select("key"))))
+        counts = rows.mapInArrow(lambda batches, new=new, old=old, screened=screened: count(batches, new, old, screened), schema)
         whole = counts.groupBy("lang", "words", "phrase", "key").agg(F.sum("n").alias("f"))
         kept, _ = written(whole.where((F.col("f") >= min_count) | (F.col("words") == 0)), "phrases")
         found.append(kept)
         shorter = kept.where(F.col("words").between(1, MOST_WORDS - 1)).select("key")
         gained = _bits(shorter.mapInArrow(lambda batches, new=new: failed(batches, new), "key bigint"))
-        new.unpersist()
+        for sent in [screened, *([old] if old is not None else [])]:
+            sent.destroy()
         if not gained.any():
+            new.destroy()
             return reduce(DataFrame.union, found).select("lang", "words", "phrase", "f", "key")
-        before, now = now, now | gained
+        now = now | gained
+
+
+def _uncounted(step: Words, new: Broadcast, old: Broadcast | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(words, places, keys)`` of the phrases that are proposals or in their border, but not in those of an earlier pass.
+
+    The first pass has all words, of which the border of single words consists.
+    """
+    at, counted = step.phrases(1), None
+    for words in range(1, MOST_WORDS + 1):
+        keys = step.keys(at, words)
+        if old is None:
+            yield words, at, keys
+        elif words > 1:
+            fresh = np.flatnonzero(~counted[at])
+            yield words, at[fresh], keys[fresh]
+        if old is not None:
+            before = step.flags(at[old.value.holds(keys)])
+            counted = np.append(before[:-1] & before[1:], False)
+        at = step.phrases(words + 1, step.flags(at[new.value.holds(keys)]))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[order][begins], np.add.reduceat(counts[order], begins) if len(keys) else counts
+
+
+def _key_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
 
 def _batch(lang: list | pa.Array, words: list, phrase: list | pa.Array, n: np.ndarray, key: list | np.ndarray) -> pa.RecordBatch:
