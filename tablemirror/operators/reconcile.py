@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,24 +74,46 @@ def table_snapshot(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.max(ts).cast("string").alias("change_token"))
 
 
-def table_details(name: str, source: DataFrame, replica: DataFrame, keys: Sequence[str], skip_count: bool = False) -> DataFrame:
-    """One row: columns, count, largest key and key sum of both sides."""
-    has_sum = isinstance(source.schema[keys[0]].dataType, T.IntegralType)
+def key_sums(df: DataFrame, keys: Sequence[str]) -> Column:
+    """A checksum of each key column, comma-separated: the exact sum of integers, else the sum of a hash of the value as text."""
+    parts = []
+    for key in keys:
+        whole = F.col(key) if isinstance(df.schema[key].dataType, T.IntegralType) else F.xxhash64(F.col(key).cast("string"))
+        parts.append(F.coalesce(F.sum(whole.cast("decimal(38,0)")).cast("string"), F.lit("")))
+    found = F.concat_ws(",", *parts)
+    return F.when(found.rlike("[0-9]"), found)  # as a sum, NULL without rows
+
+
+def table_details(name: str, source: DataFrame | None, replica: DataFrame | None, keys: Sequence[str] = (), skip_count: bool = False) -> DataFrame:
+    """One row: whether each side has the table, its columns, count, largest first key and a checksum of all key columns.
+
+    A side that does not have the table is None; its numbers are NULL. ``skip_count`` leaves
+    the source's count out.
+    """
 
-    def facts(df: DataFrame, side: str) -> DataFrame:
-        total = F.sum(F.col(keys[0]).cast("decimal(38,0)")).cast("string") if has_sum else F.lit(None).cast("string")
+    def facts(df: DataFrame | None, side: str, counted: bool) -> DataFrame | None:
+        if df is None:
+            return None
+        none = F.lit(None).cast("string")
         return df.agg(
-            F.lit(None).cast("long").alias(f"{side}_count") if skip_count else F.count(F.lit(1)).alias(f"{side}_count"),
-            F.max(keys[0]).cast("string").alias(f"{side}_max_id"),
-            total.alias(f"{side}_checksum"),
+            F.count(F.lit(1)).alias(f"{side}_count") if counted else F.lit(None).cast("long").alias(f"{side}_count"),
+            (F.max(keys[0]).cast("string") if keys else none).alias(f"{side}_max_id"),
+            (key_sums(df, keys) if keys else none).alias(f"{side}_checksum"),
         )
 
-    missing, extra = (sorted(set(a.columns) - set(b.columns)) for a, b in ((source, replica), (replica, source)))
+    if source is None and replica is None:
+        raise LookupError(f"neither side has {name}")
+    spark = (source if source is not None else replica).sparkSession
+    absent = lambda side: spark.range(1).select(*[F.lit(None).cast(t).alias(f"{side}_{c}") for c, t in (("count", "long"), ("max_id", "string"), ("checksum", "string"))])
+    sides = [facts(source, "source", not skip_count), facts(replica, "replica", True)]
+    left, right = (df if df is not None else absent(side) for df, side in zip(sides, ("source", "replica"), strict=True))
+    both = source is not None and replica is not None
+    missing, extra = ((sorted(set(a.columns) - set(b.columns)) for a, b in ((source, replica), (replica, source))) if both else ([], []))
     listed = lambda names: F.lit(",".join(names))
     # both sides are one row
-    return facts(source, "source").crossJoin(facts(replica, "replica")).select(
+    return left.crossJoin(right).select(
         F.lit(name).alias("table_name"), "*", listed(missing).alias("missing_columns"), listed(extra).alias("extra_columns"),
-        F.lit(True).alias("in_source"), F.lit(True).alias("in_replica"),
+        F.lit(source is not None).alias("in_source"), F.lit(replica is not None).alias("in_replica"),
     )
 
 
@@ -105,7 +127,7 @@ def classify_mismatch(details: DataFrame) -> DataFrame:
         .when(F.col("extra_columns") != "", "extra_columns")
         .when(differs("source_max_id", "replica_max_id"), "max_id")
         .when(differs("source_checksum", "replica_checksum"), "checksum")
-        .when(differs("source_count", "replica_count"), "row_count")
+        .when(F.col("source_count").isNotNull() & differs("source_count", "replica_count"), "row_count")
         .otherwise("ok")
     )
     return details.withColumn("reason", reason)
@@ -161,12 +183,24 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
     )
 
 
-def classify_tables(counts: DataFrame, most_dimension_rows: int = 50_000) -> DataFrame:
-    """``metadata``, ``fact`` or ``dimension`` by a table's name and size."""
-    name = F.lower("table_name")
+#: Tables of the mirror itself, and the words in the name of a table of facts.
+METADATA_TABLES = ("sync_metadata", "sync_log")
+FACT_WORDS = ("activity", "log", "event", "transaction", "audit", "history")
+
+
+def classify_tables(counts: DataFrame, most_dimension_rows: int = 50_000, overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """``metadata``, ``fact`` or ``dimension``: by ``overrides``, else by name and number of rows.
+
+    A word of a fact's name stands alone between underscores, capitals or the name's ends,
+    in the singular or the plural: ``catalog`` is no log.
+    """
+    spaced = F.lower(F.regexp_replace("table_name", "([a-z0-9])([A-Z])", "$1_$2"))
+    words = "|".join([*FACT_WORDS, *(f"{w}s" for w in FACT_WORDS), "activities", "histories"])
     kind = (
-        F.when(name.rlike(r"^(?:_|meta|schema|config|setting|migration)"), "metadata")
-        .when(name.rlike(r"(?:event|order|item|transaction|log|fact)") | (F.col("row_count") > most_dimension_rows), "fact")
+        F.when(F.lower("table_name").isin(*METADATA_TABLES), "metadata")
+        .when(spaced.rlike(f"(?:^|[^a-z])(?:{words})(?:$|[^a-z])") | (F.col("row_count") > most_dimension_rows), "fact")
         .otherwise("dimension")
     )
+    for name, own in (overrides or {}).items():
+        kind = F.when(F.col("table_name") == name, own).otherwise(kind)
     return counts.withColumn("kind", kind)

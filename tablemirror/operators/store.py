@@ -1,6 +1,6 @@
 """Mirrored tables on disk: versions, batches, state, and their loads.
 
-A table's rows lie in batch folders, ``root/<name>/v=<n>/_sync_batch_id=<id>/``, which are
+A table's rows lie in batch folders, ``root/<name>/_sync_version=<n>/_sync_batch_id=<id>/``, which are
 written once. A version of the table is a manifest, a list of such folders with what is
 known of them; the state names the live version. A load writes its batches under a number
 of its own, then the manifest, which only one of several writers can create, then the state
@@ -107,7 +107,7 @@ class Store(Files):
     def next_version(self, table: str) -> int:
         """A version number above the live one and above all that a broken run has left."""
         state = self.watermark(table)
-        left = [int(c[2:]) for c in self.children(f"{self.root}/{table}") if c.startswith("v=") and c[2:].isdigit()]
+        left = [int(c[14:]) for c in self.children(f"{self.root}/{table}") if c.startswith("_sync_version=") and c[14:].isdigit()]
         return 1 + max([0, *left, *self.versions(table), (state and state["version"]) or 0])
 
     def watermark(self, table: str) -> Any:
@@ -150,7 +150,7 @@ class Store(Files):
         manifest = self.manifest(table, version)
         if manifest is not None:
             return manifest["batches"]
-        return [self.batch(table, f"v={version}/{name}", None) for name in self.children(f"{self.root}/{table}/v={version}")]
+        return [self.batch(table, f"_sync_version={version}/{name}", None) for name in self.children(f"{self.root}/{table}/_sync_version={version}")]
 
     def batch(self, table: str, folder: str, watermark: str | None) -> dict[str, Any]:
         """What is known of a written batch, by one pass over its watermark column."""
@@ -179,25 +179,25 @@ class Store(Files):
             paths = [f"{where}/{b['folder']}" for b in batches if (MERGED in b["folder"]) == merged]
             reader = self.spark.read.schema(schema)
             if paths:
-                parts.append(reader.parquet(*paths) if merged else reader.option("basePath", where).parquet(*paths).drop("v"))
+                parts.append(reader.parquet(*paths) if merged else reader.option("basePath", where).parquet(*paths).drop("_sync_version"))
         return reduce(DataFrame.unionByName, parts)
 
     def raw(self, table: str, version: int | None = None) -> DataFrame:
         """All stored versions of a table's rows, as of the live version of the table or an older one."""
         version = self.live(table) if version is None else version
-        if version not in self.versions(table) and not self.children(f"{self.root}/{table}/v={version}"):
+        if version not in self.versions(table) and not self.children(f"{self.root}/{table}/_sync_version={version}"):
             raise LookupError(f"{table} has no version {version}")
         return self.read_batches(table, self.batches(table, version))
 
     def append_versions(self, df: DataFrame, table: str, version: int, batch_id: str) -> None:
         """Write a batch; writing it again replaces it, so a repeated batch changes nothing."""
-        path = f"{self.root}/{table}/v={version}/_sync_batch_id={batch_id}"
+        path = f"{self.root}/{table}/_sync_version={version}/_sync_batch_id={batch_id}"
         df.drop("_sync_batch_id").write.mode("overwrite").parquet(path)
 
     def add_batch(self, df: DataFrame, spec: TableSpec, version: int, batch_id: str) -> dict[str, Any]:
         """Write a batch and say what is known of it."""
         self.append_versions(df, spec.name, version, batch_id)
-        return self.batch(spec.name, f"v={version}/_sync_batch_id={batch_id}", spec.watermark)
+        return self.batch(spec.name, f"_sync_version={version}/_sync_batch_id={batch_id}", spec.watermark)
 
     def commit(
         self, spec: TableSpec, version: int, batches: Sequence[dict[str, Any]], last_id: str | None, last_ts: datetime | None, fingerprint: str | None,
@@ -228,7 +228,7 @@ class Store(Files):
         named = {b["folder"] for m in made.values() for b in m["batches"]}
         gone = []
         for name in self.children(f"{self.root}/{table}"):
-            if not name.startswith("v=") or int(name[2:]) > live:
+            if not name.startswith("_sync_version=") or int(name[14:]) > live:
                 continue
             held = [f"{name}/{batch}" for batch in self.children(f"{self.root}/{table}/{name}")]
             gone += [f for f in held if f not in named]
@@ -522,7 +522,7 @@ def vacuum(store: Store, spec: TableSpec) -> None:
 def _swap(store: Store, spec: TableSpec, rows: DataFrame, kept: Sequence[dict[str, Any]]) -> None:
     """Make a version of the kept batches and of rows of several batches, which go to one folder with their batch ids."""
     state, version = store.watermark(spec.name), store.next_version(spec.name)
-    folder = f"v={version}/{MERGED}{uuid.uuid4().hex}"
+    folder = f"_sync_version={version}/{MERGED}{uuid.uuid4().hex}"
     rows.write.parquet(f"{store.root}/{spec.name}/{folder}")
     new = store.batch(spec.name, folder, spec.watermark)
     store.commit(spec, version, [*kept, new], state["last_processed_id"], state["last_processed_timestamp"], state["schema_fingerprint"])

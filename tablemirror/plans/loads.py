@@ -63,6 +63,57 @@ def snk2_full_refresh(spark, d):
     return store.current(ORDERS)
 
 
+@query("""SELECT 'older' AS version, count(*)::BIGINT AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total FROM orders
+    UNION ALL SELECT 'live', count(*), sum((o_totalprice + 2)::DECIMAL(18, 2))::DOUBLE FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT 'held by a reader', count(*), sum(o_totalprice::DECIMAL(18, 2))::DOUBLE FROM orders""")
+def snk2_read_as_of(spark, d):
+    """The first of three full loads: by its number, and by a reader that began before the others."""
+    store, o = fresh(spark), table(spark, d, "orders")
+    S.full_refresh(store, ORDERS, o)
+    first, reader = store.live("orders"), store.current(ORDERS)
+    S.full_refresh(store, ORDERS, dearer(o.where("o_orderstatus <> 'P'")))
+    S.full_refresh(store, ORDERS, dearer(dearer(o.where("o_orderstatus = 'O'"))))
+    seen = {"older": store.current(ORDERS, first), "live": store.current(ORDERS), "held by a reader": reader}
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), total).select(F.lit(name).alias("version"), "n", "total") for name, df in seen.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+class BrokeOff(RuntimeError):
+    """A run is stopped from outside."""
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderdate >= {MARK_SQL} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderdate = {MARK_SQL} THEN 2 ELSE 1 END::BIGINT AS versions FROM orders""")
+def src5_resumed_increment(spark, d):
+    """An increment in chunks that breaks off after the second and is taken up there: no row but those at the watermark is stored twice."""
+    store, o = fresh(spark), table(spark, d, "orders")
+    done(S.sync_table(store, ORDERS, o.where(F.expr(f"o_orderdate < {HALF}"))))
+
+    def stop(chunk: int) -> None:
+        if chunk == 2:
+            raise BrokeOff("after the second chunk")
+
+    rows = max(o.count() // 10, 1)
+    try:
+        S.incremental_refresh(store, ORDERS, dearer(o), chunk_rows=rows, after_chunk=stop)
+    except BrokeOff:
+        S.incremental_refresh(store, ORDERS, dearer(o), chunk_rows=rows)
+    versions = store.raw("orders").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("versions"))
+    return store.current(ORDERS).select("o_orderkey", "o_totalprice").join(versions, "o_orderkey")
+
+
+@query(f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderdate >= {MARK_SQL} THEN o_orderpriority END AS o_orderpriority
+    FROM orders""")
+def mt4_evolving_schema(spark, d):
+    """A column that the source gained and a wider key type are appended, and the table is not loaded anew."""
+    store, o = fresh(spark), table(spark, d, "orders")
+    small = o.withColumn("o_custkey", F.col("o_custkey").cast("int")).drop("o_orderpriority")
+    done(S.sync_table(store, ORDERS, small.where(F.expr(f"o_orderdate < {HALF}"))))
+    done(S.sync_table(store, ORDERS, o, evolve=True))
+    return store.current(ORDERS)
+
+
 @query(f"""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderdate >= {MARK_SQL} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
     o_orderdate, o_orderpriority FROM orders""")
 def snk3_incremental_refresh(spark, d):
@@ -247,6 +298,25 @@ def mt1_compact(spark, d):
     return raw.agg(F.count(F.lit(1)).alias("versions"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+@query("""SELECT o_orderstatus, count(*)::BIGINT AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total FROM (
+    SELECT o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders) GROUP BY 1""")
+def mt1_packed_batches(spark, d):
+    """Batches of small files are packed into one sorted file; a read as of the version before still finds the old ones."""
+    store, o = fresh(spark), table(spark, d, "orders")
+    S.full_refresh(store, ORDERS, o.repartition(7))
+    for status in ("O", "P"):
+        version = store.next_version("orders")
+        rows = with_lineage(dearer(o.where(F.col("o_orderstatus") == status)).repartition(5), status, "", F.current_timestamp())
+        new = store.add_batch(rows, ORDERS, version, f"b-{status}")
+        store.commit(ORDERS, version, [*store.batches("orders"), new], None, None, None)
+    before = store.live("orders") - 1  # without the last batch
+    S.compact(store, ORDERS)
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    by = lambda df: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), total)
+    now, older = by(store.current(ORDERS)), by(store.current(ORDERS, before))
+    return now.where("o_orderstatus <> 'P'").union(older.where("o_orderstatus = 'P'"))
+
+
 @query("SELECT * FROM orders")
 def mt4_rebuild_on_schema_change(spark, d):
     """A column that the source gained makes the next run a full load."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tablemirror.functions import clean, logs, serve
 from tablemirror.operators import analytics as A
 from tablemirror.operators import current as C
 from tablemirror.operators import reconcile as R
+from tablemirror.operators import range_tree
 from tablemirror.operators import store as S
 from tablemirror.sources import scans
 from tablemirror.streaming import changes, quota
@@ -380,14 +382,38 @@ def jn9_missing_targets(spark, d):
     return R.missing_targets(tracked, source_counts(spark, d).union(kept_counts(spark, d)))
 
 
-@query(f"""SELECT coalesce(s.o_orderkey, r.o_orderkey) AS o_orderkey,
+JN10_SQL = f"""SELECT coalesce(s.o_orderkey, r.o_orderkey) AS o_orderkey,
     CASE WHEN r.o_orderkey IS NULL THEN 'missing' WHEN s.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS diff
     FROM orders s FULL JOIN {REPLICA_SQL} r ON s.o_orderkey = r.o_orderkey
-    WHERE r.o_orderkey IS NULL OR s.o_orderkey IS NULL OR s.o_totalprice <> r.o_totalprice""")
+    WHERE r.o_orderkey IS NULL OR s.o_orderkey IS NULL OR s.o_totalprice <> r.o_totalprice"""
+
+
+@query(JN10_SQL)
 def jn10_row_diff(spark, d):
     return R.row_diff(table(spark, d, "orders"), replica(spark, d), ["o_orderkey"])
 
 
+@query(JN10_SQL)
+def jn10_row_diff_by_ranges(spark, d):
+    """The same rows, by digests of key ranges first; rows are read where ranges differ."""
+    return range_tree.row_diff_by_ranges(table(spark, d, "orders"), replica(spark, d), ["o_orderkey"], leaf_rows=500)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'changed' ELSE 'missing' END AS diff FROM lineitem
+    WHERE l_orderkey BETWEEN (SELECT max(l_orderkey) - 40 FROM lineitem) AND (SELECT max(l_orderkey) - 30 FROM lineitem) AND l_linenumber >= 3
+    GROUP BY ALL HAVING count(*) = 1""")
+def jn10_few_differences(spark, d):
+    """A composite key, and differences in one narrow range only: the rest is compared by its digests."""
+    line = table(spark, d, "lineitem")
+    # keys that repeat are not keys
+    once = line.join(line.groupBy("l_orderkey", "l_linenumber").count().where("count = 1"), ["l_orderkey", "l_linenumber"]).drop("count")
+    top = line.agg(F.max("l_orderkey")).first()[0]
+    here = F.col("l_orderkey").between(top - 40, top - 30)
+    copy = once.where(~(here & (F.col("l_linenumber") > 3)))
+    copy = copy.withColumn("l_tax", F.when(here & (F.col("l_linenumber") == 3), F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    return range_tree.row_diff_by_ranges(once, copy, ["l_orderkey", "l_linenumber"], leaf_rows=500)
+
+
 # aggregates
 
 
@@ -709,6 +735,43 @@ def vl2_table_details(spark, d):
     return R.table_details("orders", table(spark, d, "orders"), replica(spark, d), ["o_orderkey"])
 
 
+#: Pairs of tables, one for each reason that tables can differ for.
+SIDES_SQL = """(SELECT 'same' AS table_name, true AS in_source, true AS in_replica, '' AS missing_columns, '' AS extra_columns,
+        c AS source_count, c AS replica_count, m AS source_max_id, m AS replica_max_id, k || ',' || n AS source_checksum, k || ',' || n AS replica_checksum FROM f
+    UNION ALL SELECT 'other_second_key', true, true, '', '', c, c, m, m, k || ',' || n, k || ',' || n2 FROM f
+    UNION ALL SELECT 'not_copied', true, false, '', '', c, NULL, m, NULL, k || ',' || n, NULL FROM f
+    UNION ALL SELECT 'left_over', false, true, '', '', NULL, c, NULL, m, NULL, k || ',' || n FROM f
+    UNION ALL SELECT 'narrower', true, true, 'l_tax', '', c, c, m, m, k || ',' || n, k || ',' || n FROM f
+    UNION ALL SELECT 'wider', true, true, '', 'more', c, c, m, m, k || ',' || n, k || ',' || n FROM f
+    UNION ALL SELECT 'shorter', true, true, '', '', c, c2, m, m2, k || ',' || n, k2 || ',' || n3 FROM f
+    UNION ALL SELECT 'doubled', true, true, '', '', c, 2 * c, NULL, NULL, NULL, NULL FROM f)"""
+SIDES_SQL = f"""WITH f AS (SELECT count(*)::BIGINT AS c, max(l_orderkey)::VARCHAR AS m, sum(l_orderkey)::VARCHAR AS k, sum(l_linenumber)::VARCHAR AS n,
+    sum(l_linenumber + 1)::VARCHAR AS n2, count(*) FILTER (l_orderkey % 2 = 0 AND l_orderkey < t)::BIGINT AS c2,
+    max(l_orderkey) FILTER (l_orderkey % 2 = 0 AND l_orderkey < t)::VARCHAR AS m2, sum(l_orderkey) FILTER (l_orderkey % 2 = 0 AND l_orderkey < t)::VARCHAR AS k2,
+    sum(l_linenumber) FILTER (l_orderkey % 2 = 0 AND l_orderkey < t)::VARCHAR AS n3 FROM lineitem, (SELECT max(l_orderkey) AS t FROM lineitem))
+    SELECT *, CASE table_name WHEN 'same' THEN 'ok' WHEN 'other_second_key' THEN 'checksum' WHEN 'not_copied' THEN 'missing_table' WHEN 'left_over' THEN 'orphaned_table'
+    WHEN 'narrower' THEN 'missing_columns' WHEN 'wider' THEN 'extra_columns' WHEN 'shorter' THEN 'max_id' ELSE 'row_count' END AS reason FROM {SIDES_SQL}"""
+
+
+@query(SIDES_SQL)
+def vl3_reasons(spark, d):
+    """Missing, left over, narrower, wider, shorter, doubled and equal copies of one table, and one that differs in its second key column only."""
+    line, keys = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    top = line.agg(F.max("l_orderkey")).first()[0]
+    pairs = [
+        ("same", line, line, keys),
+        ("other_second_key", line, line.withColumn("l_linenumber", F.col("l_linenumber") + 1), keys),
+        ("not_copied", line, None, keys),
+        ("left_over", None, line, keys),
+        ("narrower", line, line.drop("l_tax"), keys),
+        ("wider", line, line.withColumn("more", F.lit(1)), keys),
+        ("shorter", line, line.where((F.col("l_orderkey") % 2 == 0) & (F.col("l_orderkey") < top)), keys),
+        ("doubled", line, line.unionAll(line), []),
+    ]
+    details = [R.table_details(name, a, b, k) for name, a, b, k in pairs]
+    return R.classify_mismatch(reduce(DataFrame.unionByName, details))
+
+
 @query(CLASSIFIED_SQL)
 def vl3_classify_mismatch(spark, d):
     return R.classify_mismatch(vl2_table_details(spark, d))
@@ -818,10 +881,21 @@ def mt5_add_new_columns(spark, d):
     return S.add_new_columns(c, s)
 
 
-@query(f"""SELECT *, CASE WHEN table_name IN ('orders', 'lineitem', 'events') OR row_count > 50000 THEN 'fact' ELSE 'dimension' END AS kind
-    FROM ({COUNTS_SQL})""")
+#: Names with the kind that the specification gives a table of few rows by that name.
+NAMED_KINDS = {
+    "user_activity": "fact", "audit": "fact", "orderHistory": "fact", "history": "fact", "page_events": "fact", "transactions": "fact", "change_log": "fact",
+    "sync_metadata": "metadata", "sync_log": "metadata", "catalog": "dimension", "prevention": "dimension", "users": "dimension", "settings": "dimension",
+}
+_NAMED = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*)::BIGINT AS row_count, '{kind}' AS kind FROM nation" for name, kind in NAMED_KINDS.items())
+
+
+@query(f"""SELECT *, CASE WHEN table_name = 'region' THEN 'metadata' WHEN table_name = 'events' OR row_count > 50000 THEN 'fact' ELSE 'dimension' END AS kind
+    FROM ({COUNTS_SQL}) UNION ALL {_NAMED}""")
 def pd1_classify_tables(spark, d):
-    return R.classify_tables(source_counts(spark, d))
+    """Tables by their names and sizes, and one by the user's word."""
+    few = table(spark, d, "nation").agg(F.count(F.lit(1)).alias("row_count"))
+    named = few.select(F.explode(F.array(*map(F.lit, NAMED_KINDS))).alias("table_name"), "row_count")
+    return R.classify_tables(source_counts(spark, d).unionByName(named), overrides={"region": "metadata"})
 
 
 @query("""SELECT event_id, user_id, ts::DATE AS snapshot_date FROM events
