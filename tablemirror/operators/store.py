@@ -201,10 +201,10 @@ class Store(Files):
 
     def commit(
         self, spec: TableSpec, version: int, batches: Sequence[dict[str, Any]], last_id: str | None, last_ts: datetime | None, fingerprint: str | None,
-        cursor: list[str] | None = None,
+        cursor: list[str] | None = None, facts: Mapping[str, Any] | None = None,
     ) -> None:
-        """Make a version of these batches, let readers see it, and clean up."""
-        text = json.dumps({"version": version, "created": _now().isoformat(), "cursor": cursor, "batches": list(batches)})
+        """Make a version of these batches, with further facts about it, let readers see it, and clean up."""
+        text = json.dumps({**(facts or {}), "version": version, "created": _now().isoformat(), "cursor": cursor, "batches": list(batches)})
         if not self.create(self._manifest(spec.name, version), text):
             raise VersionConflict(f"{spec.name} has a version {version} already")
         self.save_watermark(spec, version, last_id, last_ts, fingerprint)
@@ -226,23 +226,29 @@ class Store(Files):
         if live not in made:
             return []
         named = {b["folder"] for m in made.values() for b in m["batches"]}
-        gone = []
+        gone: list[str] = []
+
+        def tidy(folder: str) -> bool:
+            """Delete what no version names below a folder, and the folder if nothing is left; whether it is."""
+            if folder in named:
+                return False
+            inner = [f"{folder}/{name}" for name in self.children(f"{self.root}/{table}/{folder}")]
+            if all([tidy(f) for f in inner]):
+                self.remove(f"{self.root}/{table}/{folder}")
+                gone.append(folder)
+                return True
+            return False
+
         for name in self.children(f"{self.root}/{table}"):
-            if not name.startswith("_sync_version=") or int(name[14:]) > live:
-                continue
-            held = [f"{name}/{batch}" for batch in self.children(f"{self.root}/{table}/{name}")]
-            gone += [f for f in held if f not in named]
-            if not any(f in named for f in held):
-                self.remove(f"{self.root}/{table}/{name}")
-            else:
-                for folder in held:
-                    if folder not in named:
-                        self.remove(f"{self.root}/{table}/{folder}")
-        return gone
+            if name.startswith("_sync_version=") and int(name[14:]) <= live:
+                tidy(name)
+        return [f for f in gone if "/" in f]
 
     def current(self, spec: TableSpec, version: int | None = None) -> DataFrame:
         """The table as readers see it, or saw it in an older version."""
         raw = self.raw(spec.name, version)
+        if "_sync_newest" in raw.columns:  # a maintained table has one row a key
+            return raw.where("NOT _sync_gone").drop("_sync_newest", "_sync_gone", "_sync_bucket", *LINEAGE)
         if not spec.keys:
             return raw.where("_sync_deleted = 0").drop(*LINEAGE)
         return current_rows(raw, spec.keys, deleted=F.col("_sync_deleted") == 1).drop(*LINEAGE)

@@ -6,12 +6,14 @@ there in the end.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.functions.clean import with_lineage
+from tablemirror.operators import maintained
 from tablemirror.operators import store as S
 from tablemirror.plans.queries import CHANGES_SQL, change_log, query, source_counts, table
 from tablemirror.session import shared_dir
@@ -249,6 +251,93 @@ def sm3_apply_changes(spark, d):
     return changes.mirrored(spark, f"{root}/applied", ["o_orderkey"])
 
 
+@query(f"""SELECT o_orderkey, o_totalprice FROM (SELECT * FROM {CHANGES_SQL}
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY _seq DESC) = 1) WHERE _op <> 'd'""")
+def sm5_maintained_current(spark, d):
+    """The same changes merged into buckets, the newest first and the oldest last, one batch twice: no read ranks the history."""
+    store, spec = fresh(spark), TableSpec("orders", ("o_orderkey",))
+    log = change_log(spark, d)
+    for batch, part in enumerate((F.col("_op") == "u", F.col("_op") == "d", F.col("_op") == "i")):
+        for _ in range(1 + (batch == 1)):
+            maintained.merge_changes(store, spec, log.where(part), batch, buckets=8)
+    return store.current(spec)
+
+
+def _pairs(spark: SparkSession, d: str, *which: int) -> list:
+    return [(SMALL[i], table(spark, d, SMALL[i].name)) for i in which]
+
+
+@query("""SELECT n_nationkey, n_name, n_regionkey, 'success,error,success' AS cycles FROM nation""")
+def sm6_failed_cycle(spark, d):
+    """A cycle in which one of two tables fails keeps the old snapshot, and the next one loads what it missed."""
+    store = fresh(spark)
+    n = table(spark, d, "nation")
+    changes.logged_cycle(store, [(SMALL[1], n.where("n_regionkey > 0")), *_pairs(spark, d, 0)])
+    broken = n.withColumn("n_name", F.raise_error(F.lit("no source")).cast("string"))
+    changes.logged_cycle(store, [(SMALL[1], broken), *_pairs(spark, d, 0)])
+    changes.logged_cycle(store, _pairs(spark, d, 0, 1))
+    said = [r["status"] for r in store.state("cycles", changes.CYCLES).orderBy("created_at").collect()]
+    return store.current(SMALL[1]).withColumn("cycles", F.lit(",".join(said)))
+
+
+@query("""SELECT 'success,error,success' AS cycles, 'success,error,success' AS wanted, (SELECT count(*)::BIGINT FROM nation) AS nations,
+    (SELECT count(*)::BIGINT FROM supplier) AS suppliers""")
+def sm7_vanished_target(spark, d):
+    """A cycle is blocked while a tracked table has no replica, and goes on when it is back."""
+    store, said = fresh(spark), []
+    said.append(changes.logged_cycle(store, _pairs(spark, d, 1)))
+    S.drop_replica(store, SMALL[1])
+    said.append(changes.logged_cycle(store, _pairs(spark, d, 1, 2)))
+    done(S.sync_table(store, *_pairs(spark, d, 1)[0]))
+    said.append(changes.logged_cycle(store, _pairs(spark, d, 1, 2)))
+    log = store.state("cycles", changes.CYCLES).orderBy("created_at").collect()
+    counts = [store.current(spec).agg(F.count(F.lit(1)).alias(name)) for spec, name in ((SMALL[1], "nations"), (SMALL[2], "suppliers"))]
+    cycles = [F.lit(",".join(r["status"] for r in log)).alias("cycles"), F.lit(",".join("error" if e else "success" for e in said)).alias("wanted")]
+    return counts[0].crossJoin(counts[1]).select(*cycles, "nations", "suppliers")  # a row each
+
+
+@query("SELECT * FROM orders")
+def sm8_restarted_polling(spark, d):
+    """Polling is stopped, the source grows, and polling that starts again loads what it has missed."""
+    store, o = fresh(spark), table(spark, d, "orders")
+    o.where(F.expr(f"o_orderdate < {HALF}")).write.parquet(f"{store.root}-source")
+    source = lambda: [(ORDERS, spark.read.schema(o.schema).parquet(f"{store.root}-source"))]
+
+    def run(cycles: int) -> None:
+        polling = changes.start_polling(store, source, f"{store.root}-position")
+        try:
+            for _ in range(600):
+                if polling.exception() is not None or changes.last_snapshot(store)[0] >= cycles:
+                    break
+                time.sleep(0.5)
+        finally:
+            polling.stop()
+
+    run(1)
+    o.where(F.expr(f"o_orderdate >= {HALF}")).write.mode("append").parquet(f"{store.root}-source")
+    run(changes.last_snapshot(store)[0] + 1)
+    return store.current(ORDERS)
+
+
+@query("""SELECT 'region' AS table_name, count(*)::BIGINT AS n, 'bootstrap' AS loaded_by FROM region
+    UNION ALL SELECT 'nation', count(*), 'bootstrap' FROM nation UNION ALL SELECT 'supplier', count(*), 'polling' FROM supplier""")
+def sm10_bootstrap_then_poll(spark, d):
+    """Tables are loaded, then polled with one table more; a load that failed starts nothing."""
+    store = fresh(spark)
+    bad = table(spark, d, "nation").withColumn("n_name", F.raise_error(F.lit("no source")).cast("string"))
+    poll = lambda: changes.poll_cycle(store, _pairs(spark, d, 0, 1, 2))
+    try:
+        S.bootstrap_then(store, [*_pairs(spark, d, 0), (SMALL[1], bad)], poll)
+    except RuntimeError:
+        S.bootstrap_then(store, _pairs(spark, d, 0, 1), poll, resume=True)
+    by = {r["table_name"] for r in store.state("progress", S.PROGRESS).where("status = 'done'").collect()}
+    parts = [
+        store.current(s).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s.name).alias("table_name"), "n", F.lit("bootstrap" if s.name in by else "polling").alias("loaded_by"))
+        for s in SMALL
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("SELECT * FROM events")
 def sm12_dedup_stream(spark, d):
     """Rows that a feed holds twice come out of the stream once."""
