@@ -227,23 +227,31 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, text_col: str = "text") ->
     first, first_path = written(
         texts.select("key", "text").mapInArrow(lambda b: _found_anchors(b, depth), "digit bigint, key binary, at int, low int, high int"), "anchors"
     )
-    shared = first.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    # what groups have in common is written down, so that the joins behind have plain inputs, whose hot keys Spark can split
+    scratch = [first_path]
+
+    def put_by(df: DataFrame) -> DataFrame:
+        table, path = written(df, "shared")
+        scratch.append(path)
+        return table
+
+    shared = put_by(first.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"))
     lists = first.join(shared, "digit", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "low", "high")).alias("anchors"))
     schema = "core bigint, span binary, key binary, at int, low int, high int, copied boolean"
     blocks, blocks_path = written(texts.join(lists, "key").mapInArrow(lambda b: _blocks(b, depth), schema), "blocks")
 
     one = F.min(F.struct("key", "at", "low", "high")).alias("one")
     classes = blocks.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("copied"), one)
-    mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("core")
+    mixed = put_by(classes.groupBy("core").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("core"))
     open_blocks = classes.join(mixed, "core", "left_semi").select("one.*", F.when((F.col("n") > 1) | F.col("copied"), 2).otherwise(1).alias("again"))
     lists = open_blocks.groupBy("key").agg(F.collect_list(F.struct("at", "low", "high", "again")).alias("blocks"))
     windows, windows_path = written(
         texts.join(lists, "key").select("key", "text", "blocks").mapInArrow(lambda b: _windows(b, depth), "window binary, key binary, start int, again int"), "windows"
     )
-    equal = windows.groupBy("window").agg(F.sum("again").alias("n")).where("n > 1").select("window")
+    equal = put_by(windows.groupBy("window").agg(F.sum("again").alias("n")).where("n > 1").select("window"))
     alone = windows.where("again = 1").join(equal, "window", "left_semi").select("key", "start", (F.col("start") + depth).alias("stop"))
 
-    whole = classes.where("n > 1").select("core", "span")
+    whole = put_by(classes.where("n > 1").select("core", "span"))
     runs = blocks.where(~F.col("copied")).join(whole, ["core", "span"], "left_semi")
     runs = runs.select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + depth).alias("stop"))
     copies = texts.where("copied").select("key", F.lit(0).alias("start"), F.octet_length("text").alias("stop"))
@@ -251,7 +259,7 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, text_col: str = "text") ->
     cut = texts.join(ranges, "key").select("key", "text", "ranges")
     found, _ = written(cut.mapInArrow(_cut, "key binary, spans array<struct<start: int, stop: int>>, kept binary"), "repeats")
     spark.sql(f"DROP TABLE {name}")
-    discard(spark, first_path, blocks_path, windows_path)
+    discard(spark, *scratch, blocks_path, windows_path)
     return found
 
 
