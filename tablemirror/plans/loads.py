@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.functions.clean import with_lineage
-from tablemirror.operators import maintained
+from tablemirror.operators import maintained, profile
 from tablemirror.operators import store as S
 from tablemirror.plans.queries import CHANGES_SQL, change_log, query, source_counts, table
 from tablemirror.session import shared_dir
@@ -338,6 +338,59 @@ def sm10_bootstrap_then_poll(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query("""SELECT 'events' AS table_name, count(*)::BIGINT AS row_count, 'event_id' AS key_columns, 0::BIGINT AS null_keys, true AS key_is_unique,
+        'created_at' AS watermark_column, 'append-only' AS watermark_quality, 0::BIGINT AS null_marks, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day,
+        0::BIGINT AS unsupported, '' AS unsupported_columns FROM events
+    UNION ALL SELECT 'lines', count(*), 'l_orderkey', 0, false, 'updated_at', 'best', 0, min(l_shipdate)::DATE::VARCHAR, max(l_shipdate)::DATE::VARCHAR, 2, 'l_comment,l_place'
+        FROM lineitem
+    UNION ALL SELECT 'orders', count(*), 'o_orderkey', count(*) FILTER (o_orderstatus = 'P'), (count(*) FILTER (o_orderstatus = 'P')) <= 1, 'modifiedAt', 'none',
+        count(*) FILTER (o_orderpriority = '5-LOW'), min(o_orderdate) FILTER (o_orderpriority <> '5-LOW')::DATE::VARCHAR,
+        max(o_orderdate) FILTER (o_orderpriority <> '5-LOW')::DATE::VARCHAR, 0, '' FROM orders
+    UNION ALL SELECT 'nation', count(*), '', 0, NULL, NULL, 'none', 0, NULL, NULL, 0, '' FROM nation""")
+def vl5_profile_from_statistics(spark, d):
+    """Profiles by footers and sketches: watermarks found by name, repeated and NULL keys, rows without a time, unsupported types."""
+    root = fresh(spark).root
+    o = table(spark, d, "orders").withColumn("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")))
+    o = o.withColumn("modifiedAt", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate"))).drop("o_orderdate")
+    declared = {"l_orderkey": "bigint", "l_comment": "geometry", "l_place": "point", "l_note": "json", "l_year": "year"}
+    pairs = [
+        (TableSpec("events", ("event_id",)), table(spark, d, "events").withColumnRenamed("ts", "created_at")),
+        (TableSpec("lines", ("l_orderkey",), declared=declared), table(spark, d, "lineitem").withColumnRenamed("l_shipdate", "updated_at")),
+        (TableSpec("orders", ("o_orderkey",)), o),
+        (TableSpec("nation"), table(spark, d, "nation")),
+    ]
+    found = None
+    for spec, rows in pairs:
+        rows.write.parquet(f"{root}/{spec.name}")
+        one = profile.profile_files(spark, spec, f"{root}/{spec.name}")
+        found = one if found is None else found.union(one)
+    days = [F.substring(f"{w}_mark", 1, 10).alias(f"{w}_day") for w in ("first", "last")]
+    return found.select(*[c for c in found.columns if c not in ("first_mark", "last_mark")], *days)
+
+
+#: A key with most of its rows in a small part of its range.
+SKEWED = "CASE WHEN o_orderkey % 10 < 9 THEN o_orderkey ELSE o_orderkey * 1000 END"
+
+
+@query(f"""SELECT (r // s)::INTEGER AS part, count(*)::BIGINT AS n, min(k)::BIGINT AS first_key, max(k)::BIGINT AS last_key FROM (
+    SELECT k, row_number() OVER (ORDER BY p, k) - 1 AS r, count(*) OVER () // 8 + 1 AS s FROM (SELECT {SKEWED} AS k, o_orderpriority AS p FROM orders)) GROUP BY 1""")
+def src1_balanced_ranges(spark, d):
+    """Parts of equal row counts of a table with a skewed composite key, by the conditions that a source would get."""
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.expr(SKEWED).alias("k"))
+    step = rows.count() // 8 + 1
+
+    def first_after(key, n):
+        page = scans.keyset_page(rows, ["p", "k"], key, n).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("p", "k")).alias("last")).first()
+        return tuple(page["last"]) if page["n"] == n else None
+
+    bounds = scans.keyset_bounds(first_after, step)
+    parts = [rows.where(F.expr(condition)).withColumn("part", F.lit(i)) for i, condition in enumerate(scans.key_predicates(["p", "k"], bounds))]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+
+
 @query("SELECT * FROM events")
 def sm12_dedup_stream(spark, d):
     """Rows that a feed holds twice come out of the stream once."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from collections.abc import Callable, Mapping, Sequence
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,8 @@ def snapshot_scan(
 
     With a known ``schema`` no job has to open files to find it out.
 
-    ``split`` (column, lowest, highest) cuts one numeric or date key into equal ranges;
+    ``split`` (column, lowest, highest) cuts one numeric or date key into ranges of equal
+    width (``balanced_jdbc_scan`` into ranges of equal row counts);
     ``predicates`` names the parts of any other table. Filters and columns that a plan
     asks for later reach the source in both cases.
     """
@@ -48,6 +50,78 @@ def snapshot_scan(
     return reader.load()
 
 
+def keyset_bounds(first_after: Callable[[Sequence[Any] | None, int], Sequence[Any] | None], step: int, most: int = 10_000) -> list[tuple[Any, ...]]:
+    """Every ``step``-th key of a table, by skips over its key index: no row is read but one a bound.
+
+    ``first_after(key, n)`` gives the ``n``-th key after a key (None: from the start), or
+    None if there are fewer. More than ``most`` bounds are an error.
+    """
+    bounds: list[tuple[Any, ...]] = []
+    while (key := first_after(bounds[-1] if bounds else None, step)) is not None:
+        bounds.append(tuple(key))
+        if len(bounds) > most:
+            raise ValueError(f"steps of {step} rows cut the table into more than {most} parts")
+    return bounds
+
+
+def sql_literal(value: Any) -> str:
+    """A value as SQL text that every JDBC source reads."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool) or isinstance(value, (int, Decimal)):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, date):
+        return f"DATE '{value:%Y-%m-%d}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    raise TypeError(f"{type(value).__name__} cannot be a bound of a split")
+
+
+def key_predicates(keys: Sequence[str], bounds: Sequence[Sequence[Any]]) -> list[str]:
+    """SQL conditions of the parts that key bounds cut a table into, in key order: each bound ends its part.
+
+    They are in lexicographic order of all key columns, which are not NULL.
+    """
+
+    def after(bound: Sequence[Any]) -> str:
+        steps = []
+        for i in range(len(keys)):
+            equal = [f"{k} = {sql_literal(v)}" for k, v in zip(keys[:i], bound[:i], strict=True)]
+            steps.append("(" + " AND ".join([*equal, f"{keys[i]} > {sql_literal(bound[i])}"]) + ")")
+        return f"({keys[0]} >= {sql_literal(bound[0])} AND ({' OR '.join(steps)}))"
+
+    if not bounds:
+        return ["1 = 1"]
+    parts = [f"NOT {after(bounds[0])}"]
+    parts += [f"{after(low)} AND NOT {after(high)}" for low, high in zip(bounds, bounds[1:], strict=False)]
+    return [*parts, after(bounds[-1])]
+
+
+#: The ``n``-th row of an ordered query, as sources write it.
+NTH_ROW = {"mysql": "LIMIT 1 OFFSET {n}", "derby": "OFFSET {n} ROWS FETCH FIRST 1 ROWS ONLY"}
+
+
+def balanced_jdbc_scan(
+    spark: SparkSession, url: str, table: str, keys: Sequence[str], partition_rows: int, options: Mapping[str, str] | None = None, dialect: str = "mysql"
+) -> DataFrame:
+    """A JDBC table in partitions of equal row counts, whatever the distribution of its key, which may be composite.
+
+    Bounds are found by skips over the key index, one small query each; every partition is
+    then one range of the key.
+    """
+    names = ", ".join(keys)
+
+    def first_after(key: Sequence[Any] | None, n: int) -> Sequence[Any] | None:
+        where = f"WHERE {key_predicates(keys, [key])[1]} " if key is not None else ""
+        query = f"SELECT {names} FROM {table} {where}ORDER BY {names} {NTH_ROW[dialect].format(n=n - 1)}"
+        return spark.read.format("jdbc").options(url=url, query=query, **(options or {})).load().first()
+
+    bounds = keyset_bounds(first_after, partition_rows)
+    return spark.read.jdbc(url, table, predicates=key_predicates(keys, bounds), properties=dict(options or {}))
+
+
 def _literal(df: DataFrame, column: str, value: Any) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
@@ -85,7 +159,8 @@ def resume_scan(df: DataFrame, keys: Sequence[str], cursor: Sequence[Any] | None
 
 def offset_page(df: DataFrame, order_by: Sequence[str], limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
     """One page in a set order and ``has_more``: whether a further row follows."""
-    limit = max(1, min(limit, MOST_PAGE_ROWS))
+    if not 1 <= limit <= MOST_PAGE_ROWS:
+        raise ValueError(f"a page has 1 to {MOST_PAGE_ROWS} rows, not {limit}")
     rows = df.orderBy(*order_by).offset(max(offset, 0)).limit(limit + 1)
     # the page has at most limit + 1 rows, so counting it in one task is bounded
     counted = rows.select("*", F.count(F.lit(1)).over(_whole()).alias("__n"), F.row_number().over(_whole(order_by)).alias("__r"))
@@ -138,10 +213,16 @@ def fast_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     Only Spark's V2 reader does that. Its settings hold in a session of their own, to which
     the result belongs.
     """
+    read = footer_reader(spark)
+    return exact_counts({name: read.parquet(path) for name, path in paths.items()})
+
+
+def footer_reader(spark: SparkSession) -> DataFrameReader:
+    """A reader, in a session of its own, that answers counts, minima and maxima from Parquet footers where they have them."""
     own = spark.newSession()
     own.conf.set("spark.sql.sources.useV1SourceList", "")
     own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    return exact_counts({name: own.read.parquet(path) for name, path in paths.items()})
+    return own.read
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_a_trigger: int | None = None) -> DataFrame:

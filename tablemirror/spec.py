@@ -59,6 +59,19 @@ def map_type(declared: str) -> T.DataType:
     return _OTHERS.get(base, T.StringType())
 
 
+#: Declared types that are text here, without loss; all others that ``map_type`` has no closer type for are unsupported.
+_TEXTS = (
+    "char", "varchar", "text", "tinytext", "mediumtext", "longtext", "enum", "set", "json", "time", "year", "bit", "decimal", "numeric",
+)
+
+
+def is_supported(declared: str) -> bool:
+    """Whether a declared type has a type of its own, or is text in the source too."""
+    match = _DECLARED.match(declared.lower())
+    base = match.group(1) if match else ""
+    return base in _INTEGERS or base in _OTHERS or base in _TEXTS
+
+
 def map_schema(declared: dict[str, str]) -> T.StructType:
     """Schema of declared columns; every column is nullable."""
     return T.StructType([T.StructField(name, map_type(kind), True) for name, kind in declared.items()])
@@ -118,6 +131,13 @@ def detect_watermark(columns: list[str]) -> str | None:
     return next((name for name in WATERMARK_NAMES if name in columns), None)
 
 
+def watermark_quality(column: str | None) -> str:
+    """``best`` for a column of update times, ``append-only`` for one of creation times, ``none`` without one."""
+    if column is None:
+        return "none"
+    return "append-only" if column.lower().startswith("created") else "best"
+
+
 def describe_table(df: DataFrame, keys: tuple[str, ...] = (), defaults: dict[str, str] | None = None) -> DataFrame:
     """One row per column: ordinal, name, type, nullable, key, default."""
     rows = [
