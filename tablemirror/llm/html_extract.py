@@ -2,15 +2,18 @@
 
 The pages of a host are merged into one style tree: a node is an element's path of tags
 and classes, and it counts how many pages have which contents and which child elements
-there. Where most pages say the same in the same form, the entropies of both are low, and
-so is the node's importance; such branches are removed from each page of the host.
-
-The entropies alone do not give the right text: a host with one page has no statistics,
-adverts may differ on every page, and an article that many pages repeat looks like
-boilerplate. So elements whose tag, role or class names a menu, advert, form and the like
-are removed anyway, an ``article`` or ``main`` element is the content where there is one
-(low branches inside it go, but never the element itself), and pages of a host with the
-same content are copies, which count as one page: what only copies repeat is not low.
+there. Where pages say the same, or say it in the same form, the entropy of contents or of
+forms is low. Importances, half content and half form, part a host's nodes in two: menus,
+adverts and footers, whose form hardly changes even where their words do, and the content.
+The cut is at the widest gap between them. Branches below it that are in no node above it
+are removed from each page of the host, and so is what nearly all pages repeat word by word.
+
+Where the tree has nothing to say, names help: a host with few pages has no statistics, and
+reader comments are as varied as articles. So elements whose tag, role or class names a menu,
+advert, form and the like are removed too, an ``article`` or ``main`` element is the content
+where there is one (of it only what pages repeat word by word goes, and never the element
+itself), and pages of a host with the same content are copies, which count as one page:
+what only copies repeat is not low. With ``marks=False`` the tree decides alone.
 """
 
 from __future__ import annotations
@@ -22,19 +25,21 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemirror.llm.chunks import text_batches
-from tablemirror.llm.common import replaced, written
+from tablemirror.llm.common import discard, replaced, written
 
 #: Nodes below this importance are removed, if at least so many pages of the host have them.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 3
 #: Low nodes are sent to all executors up to so many bytes; beyond, pages are joined to them by host and salt.
 MOST_SENT, SALTS = 8 << 20, 64
-#: Share of a node's importance that its contents make; the rest is the form of its children.
+#: Share that the contents make of the importance by which repeated branches are found; the rest is the form of its children.
 CONTENT_SHARE = 0.9
+#: A host's nodes are parted at the widest gap of their importances (half content, half form), if it is at least so wide.
+LEAST_GAP = 0.08
 
 _MARKUP = re.compile(
     r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -138,7 +143,8 @@ class Page:
     nesting costs no more than flat markup; paths that say the same are one.
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marks: bool = True):
+        self.marks = marks
         # per path, parents before children: parent, depth, tags of its child elements
         self.paths: dict[int, tuple[int, int, list[str]]] = {0: (0, 0, [])}
         # elements with a mark and content roots: place of the next one around it, mark, tag, path
@@ -255,7 +261,7 @@ class Page:
         if tag in _VOID:
             return
         _, path, place, in_root = self.open[-1]
-        mark = 0 if self.places[place][1] == _SURE else _mark(tag, attributes, in_root)
+        mark = 0 if not self.marks or self.places[place][1] == _SURE else _mark(tag, attributes, in_root)
         if mark:
             self._flush()
         step = _step(tag, attributes)
@@ -265,7 +271,7 @@ class Page:
             up, path = path, _signed(f"{path}/{step}")
             if path not in self.paths:
                 self.paths[path] = (up, self.paths[up][1] + 1, [])
-        if mark or tag in _ROOTS:
+        if mark or (tag in _ROOTS and self.marks):
             self.places.append((place, mark, tag, path))
             place = len(self.places) - 1
         self.open.append((tag, path, place, in_root or tag in _ROOTS))
@@ -308,16 +314,23 @@ class Page:
             if path and contents[path]:
                 yield path, (contents[path] + (1 << 63)) % (1 << 64) - (1 << 63), _signed(",".join(children))
 
-    def text(self, removed: frozenset[int]) -> str:
-        """Blocks of the page's content without noise and without the ``removed`` branches.
+    def text(self, removed: frozenset[int], below: frozenset[int] = frozenset(), above: frozenset[int] = frozenset()) -> str:
+        """Blocks of the page's content without noise and without the branches that the tree removes.
 
-        A content root and what encloses it stay, so only branches below it are removed.
+        A content root and what encloses it stay, so only branches below it are ``removed``.
+        Outside of one, branches ``below`` the host's cut go, but not inside nodes ``above`` it.
         """
-        return "\n\n".join(t for t, _, _ in self.kept(removed))
+        return "\n\n".join(t for t, _, _ in self.kept(removed, below, above))
 
-    def kept(self, removed: frozenset[int]) -> list[tuple[str, int, int]]:
+    def kept(self, removed: frozenset[int], below: frozenset[int] = frozenset(), above: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
         """The blocks of ``text``: text, path and path of the content root around it."""
         kept = [(t, p, root or 0) for t, p, noise, root in self.blocks if not noise and (root is not None or not self.rooted)]
+        if below:
+            low: dict[int, bool | None] = {}  # False inside a node above the cut, True inside one below it only
+            for path, (up, _, _) in self.paths.items():
+                outer = low.get(up)
+                low[path] = False if outer is False or path in above else True if outer or path in below else None
+            kept = [(t, p, root) for t, p, root in kept if root or not low[p]]
         if not removed:
             return kept
         deepest: dict[int, int] = {}  # depth of the deepest removed path at or above each path
@@ -336,7 +349,7 @@ def host_of(url_col: str):
 
 
 def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged style trees: ``host``, ``path``, ``pages`` and ``importance`` of each node.
+    """The merged style trees: ``host``, ``path``, ``pages``, ``importance`` and ``balanced`` (half content, half form) of each node.
 
     With p the share of the pages that have one content (or form) at a node, the entropy
     is the sum of -p log p to the base of the number of pages: 0 where all pages agree, 1
@@ -372,8 +385,22 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         F.sum(F.when(~is_content, F.col("n") * F.log("n"))).alias("f"),
     )
     share = lambda s: 1 - F.col(s) / (F.col("pages") * F.log("pages"))
-    importance = CONTENT_SHARE * share("c") + (1 - CONTENT_SHARE) * share("f")
-    return sums.select("host", "path", "pages", F.when(F.col("pages") > 1, importance).otherwise(1.0).alias("importance"))
+    mixed = lambda part: F.when(F.col("pages") > 1, part * share("c") + (1 - part) * share("f")).otherwise(1.0)
+    return sums.select("host", "path", "pages", mixed(CONTENT_SHARE).alias("importance"), mixed(0.5).alias("balanced"))
+
+
+def parted(tree: DataFrame, least_pages: int = LEAST_PAGES, least_gap: float = LEAST_GAP) -> DataFrame:
+    """``(host, path, below)`` of the nodes of hosts whose importances have a gap: whether a node is below the widest one.
+
+    Nodes on fewer than ``least_pages`` distinct pages are left out. A host is a row for each
+    path of its layout here, however many pages it has. The node of greatest importance is
+    never below.
+    """
+    judged = tree.where(F.col("pages") >= least_pages).select("host", "path", F.round("balanced", 9).alias("x"))
+    down = Window.partitionBy("host").orderBy(F.desc("x"))
+    gaps = judged.select("host", "x").distinct().select("host", "x", (F.lag("x").over(down) - F.col("x")).alias("gap"))
+    cuts = gaps.where(F.col("gap") >= least_gap).groupBy("host").agg(F.max(F.struct("gap", F.col("x").alias("cut"))).alias("top")).select("host", "top.cut")
+    return judged.join(cuts, "host").select("host", "path", (F.col("x") <= F.col("cut")).alias("below"))
 
 
 def extract_text(
@@ -382,20 +409,25 @@ def extract_text(
     html_col: str = "html",
     least_importance: float = LEAST_IMPORTANCE,
     least_pages: int = LEAST_PAGES,
+    marks: bool = True,
 ) -> DataFrame:
     """Replace the HTML by ``text``: the blocks of the main text, joined by two line ends.
 
     Null and empty pages, and pages without main text, give an empty text. Pages without
-    a host share the empty host's tree. The low nodes of a host travel as one list. They are
-    written first and measured, which runs Spark jobs at once. Other columns stay, but for
+    a host share the empty host's tree. The judged nodes of a host travel together. They are
+    written first and measured, which runs Spark jobs at once. Without ``marks`` names and
+    tags do not count, only the tree. Other columns stay, but for
     clashing ones.
     """
-    tree = style_tree(df, url_col, html_col)
-    low = tree.where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
-    low, _ = written(low.select("host", "path"), "low-nodes")
-    removed = low.groupBy(F.col("host").alias("__host")).agg(F.collect_list("path").alias("__removed"))
+    tree, path = written(style_tree(df, url_col, html_col), "style-tree")
+    low = tree.where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).select("host", "path", F.lit(0).alias("kind"))
+    sides = parted(tree, least_pages).select("host", "path", F.when(F.col("below"), 1).otherwise(2).alias("kind"))
+    nodes, _ = written(low.union(sides), "judged-nodes")
+    discard(df.sparkSession, path)
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("path"))).alias(name) for k, name in enumerate(("low", "below", "above"))]
+    removed = nodes.groupBy(F.col("host").alias("__host")).agg(*lists).select("__host", F.struct("low", "below", "above").alias("__removed"))
     rows = replaced(df, "text", "__host", "__removed", "__key", "__salt").withColumn("__key", host_of(url_col))
-    size = low.agg(F.coalesce(F.sum(F.length("host") + 72), F.lit(0))).first()[0]
+    size = nodes.agg(F.coalesce(F.sum(F.length("host") + 72), F.lit(0))).first()[0]
     if size <= MOST_SENT:
         joined = rows.join(F.broadcast(removed), F.col("__key") == F.col("__host"), "left").drop("__key", "__host")
     else:  # a host with a third of all pages is dealt out by a salt
@@ -408,8 +440,12 @@ def extract_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch, pages in text_batches(batches, html_col):
-            lists = [frozenset(x or ()) for x in batch.column("__removed").to_pylist()]
-            texts = [Page(html).text(low) for html, low in zip(pages, lists, strict=True)]
+            judged: dict[int, tuple[frozenset[int], ...]] = {}
+            texts = []
+            for html, found in zip(pages, batch.column("__removed").to_pylist(), strict=True):
+                key = 0 if found is None else hash((*found["low"], -1, *found["below"], -1, *found["above"]))
+                sets = judged.get(key) or judged.setdefault(key, tuple(frozenset((found or {}).get(k) or ()) for k in ("low", "below", "above")))
+                texts.append(Page(html, marks).text(*sets))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     return joined.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
