@@ -548,7 +548,10 @@ def content_digest(df: DataFrame) -> DataFrame:
 
 
 def backup_database(store: Store, target: str, name: str | None = None) -> str:
-    """Back up the live version of all tables and the state as ``target/<name>``; the name.
+    """Back up the live version of all tables, their watermarks, log and progress as ``target/<name>``; the name.
+
+    Positions of streams and what polling saw last are not part of it: polling a restored
+    store begins by bringing its tables up to date.
 
     Batches are written once, so a backup copies only those that no earlier one has, to
     ``target/_batches``. The manifest has a digest of the content of each, taken from the
