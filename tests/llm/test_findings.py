@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from test_operators import EDGES, SCHEMA, edited, linked
 
 from tablemirror.llm import chunks, fingerprints, html_extract, minhash, mixing, queries, token_counts
-from tablemirror.sources import scans
 
 
 def extracted(spark, bodies: list[str]) -> list[str]:
@@ -92,14 +91,6 @@ def test_truncation_reaches_texts_without_spaces(spark):
         assert cut == max(fits) and (cut > 0 or not text)
 
 
-def test_fast_counts_come_from_footers(spark):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.parquet.aggregatePushdown", "spark.sql.sources.useV1SourceList")}
-    found = scans.fast_counts(spark, {"region": "/root/testdata/sf0.001/region.parquet"})
-    assert "PushedAggregation: [COUNT(*)]" in found._jdf.queryExecution().executedPlan().toString()
-    assert [tuple(r) for r in found.collect()] == [("region", 5)]
-    assert before == {k: spark.conf.get(k) for k in before}
-
-
 def test_importance_by_brute_force(spark):
     """Entropies of the merged tree from each page's nodes, by their definition."""
     rng = random.Random(4)
