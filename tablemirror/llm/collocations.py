@@ -153,14 +153,21 @@ def _counted(keys: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Proposals:
     """A set of phrase keys as bits; it may say that it holds a key which was not put in.
 
-    The bitmap is folded while it stays sparse, so a small set is small.
+    The bitmap has as many places as its keys call for, and grows with them. A larger one
+    holds all that the smaller one did, also what was not put in: what a pass has counted
+    as a part stays one in the passes after it.
     """
 
-    def __init__(self, bits: np.ndarray):
-        wanted = SPARSE * int(np.bitwise_count(bits).sum())
-        while 8 * len(bits) >= 2 * wanted and len(bits) > 1024:
-            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-        self.bits = bits
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1024, np.uint8) if bits is None else bits
+
+    def more(self, keys: np.ndarray) -> Proposals:
+        """This set and the keys of a bitmap of all places."""
+        wanted = SPARSE * int(np.bitwise_count(keys).sum() + np.bitwise_count(self.bits).sum())
+        size = len(self.bits)
+        while 8 * size < wanted and size < len(keys):
+            size *= 2
+        return Proposals(np.tile(self.bits, size // len(self.bits)) | np.bitwise_or.reduce(keys.reshape(-1, size)))
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         place = keys & np.uint64(8 * len(self.bits) - 1)
@@ -214,7 +221,7 @@ def _proposed(rows: DataFrame, least: int) -> np.ndarray:
         return _bits(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
 
     short = often(range(1, 3))
-    sent = rows.sparkSession.sparkContext.broadcast(Proposals(short))
+    sent = rows.sparkSession.sparkContext.broadcast(Proposals().more(short))
     found = short | often(range(3, MOST_WORDS), sent)
     sent.destroy()
     return found
@@ -236,7 +243,7 @@ def frequent_phrases(df: DataFrame, min_count: int, text_col: str = "text", lang
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     least = max(1, int(min_count * sample * LOWERED))
-    now, found = _proposed(rows.sample(sample, seed=7), least), []
+    now, found = Proposals().more(_proposed(rows.sample(sample, seed=7), least)), []
     schema = "lang string, words int, phrase string, n bigint, key bigint"
 
     def screen(batches: Iterator[pa.RecordBatch], new: Broadcast, old: Broadcast | None) -> Iterable[pa.RecordBatch]:
@@ -272,9 +279,9 @@ def frequent_phrases(df: DataFrame, min_count: int, text_col: str = "text", lang
 
     send, new, old = spark.sparkContext.broadcast, None, None
     while True:
-        old, new = new, send(Proposals(now))
+        old, new = new, send(now)
         sums = rows.mapInArrow(lambda batches, new=new, old=old: screen(batches, new, old), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        screened = send(Proposals(_bits(sums.where(F.col("n") >= min_count).select("key"))))
+        screened = send(Proposals().more(_bits(sums.where(F.col("n") >= min_count).select("key"))))
         counts = rows.mapInArrow(lambda batches, new=new, old=old, screened=screened: count(batches, new, old, screened), schema)
         whole = counts.groupBy("lang", "words", "phrase", "key").agg(F.sum("n").alias("f"))
         kept, _ = written(whole.where((F.col("f") >= min_count) | (F.col("words") == 0)), "phrases")
@@ -286,7 +293,7 @@ def frequent_phrases(df: DataFrame, min_count: int, text_col: str = "text", lang
         if not gained.any():
             new.destroy()
             return reduce(DataFrame.union, found).select("lang", "words", "phrase", "f", "key")
-        now = now | gained
+        now = now.more(gained)
 
 
 def _uncounted(step: Words, new: Broadcast, old: Broadcast | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -302,8 +309,9 @@ def _uncounted(step: Words, new: Broadcast, old: Broadcast | None) -> Iterator[t
         elif words > 1:
             fresh = np.flatnonzero(~counted[at])
             yield words, at[fresh], keys[fresh]
-        if old is not None:
-            before = step.flags(at[old.value.holds(keys)])
+        if old is not None:  # what its parts made a candidate in the pass before, and them theirs
+            held = old.value.holds(keys)
+            before = step.flags(at[held if counted is None else held & counted[at]])
             counted = np.append(before[:-1] & before[1:], False)
         at = step.phrases(words + 1, step.flags(at[new.value.holds(keys)]))
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,9 +88,42 @@ def test_scores_beyond_64_bits(spark):
     assert row["score"] == 1000 * 10**12 * 4 * 10**12 // (3 * 10**12 * 2 * 10**12)
 
 
-def test_two_phrases_with_one_key():
-    import numpy as np
+def test_proposals_only_grow():
+    rng = np.random.default_rng(1)
+    probe, held, own = rng.integers(0, 2**63, 200_000).astype(np.uint64), None, C.Proposals()
+    for n in (0, 100, 20, 5_000, 300):
+        keys = rng.integers(0, 2**63, n).astype(np.uint64)
+        full = np.zeros(C.PLACES // 8, np.uint8)
+        place = (keys & np.uint64(C.PLACES - 1)).astype(np.int64)
+        np.bitwise_or.at(full, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        own = own.more(full)
+        assert own.holds(keys).all() and (held is None or own.holds(probe)[held].all())
+        held = own.holds(probe)
+        assert held.mean() < 0.04
+
+
+def test_passes_count_every_candidate_once():
+    """Also where bitmaps hold much that was not put in."""
+
+    class Sent:
+        def __init__(self, bits):
+            self.value = C.Proposals(bits)
+
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 40, 3000)).encode()
+    step = C.Words([text, b"w1 w2. w3", b""], ["en", "fr", "en"])
+    bits, sent = np.zeros(1024, np.uint8), []
+    for _ in range(4):
+        bits = bits | rng.integers(0, 256, 1024).astype(np.uint8) & rng.integers(0, 256, 1024).astype(np.uint8)
+        sent.append(Sent(bits.copy()))
+    counted = Counter()
+    for new, old in zip(sent, [None, *sent], strict=False):
+        counted.update((w, int(i)) for w, at, _ in C._uncounted(step, new, old) for i in at)
+    assert set(counted.values()) == {1}
+    assert set(counted) == {(w, int(i)) for w, at, _ in C._uncounted(step, sent[-1], None) for i in at}
+
 
+def test_two_phrases_with_one_key():
     keys, second = np.array([5, 9, 5, 5, 9], np.uint64), np.array([1, 4, 2, 1, 4], np.uint64)
     which, counts = C._counted(keys, second)
     assert sorted((keys[i], second[i], n) for i, n in zip(which, counts, strict=True)) == [(5, 1, 2), (5, 2, 1), (9, 4, 2)]
