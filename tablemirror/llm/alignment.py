@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,38 +25,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemirror.llm.chunks import ChunkMemo, Memo, byte_letters
+from tablemirror.llm.chunks import byte_letters
 from tablemirror.llm.common import discard, replaced, written
 
 #: Pairs that are sent to all tasks: 16 bytes each, 4 MB in all.
 SENT_PAIRS = 1 << 18
-#: Pieces remembered by each of the two encoders; bounds a worker's memory.
-MEMO_ENTRIES = 150_000
+#: Stretches of text that a worker remembers with their groups, in each of two generations, and the longest of them.
+MEMO_ENTRIES, LONGEST_KEY = 60_000, 40
 #: A pair of ids is one number: the first tokenizer's id above so many bits of the second's.
 _BITS = 32
-_STEP_BYTES = 1 << 20
+_STEP_BYTES = 1 << 19
 #: Candidates that are tried one by one before an interval's whole rest is tried at once.
 _TRIES = 8
 
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Before each run of spaces: pieces never hold a space behind another character.
-_BEFORE_SPACES = re.compile(r"(?<=[^ ])(?= )")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"( ?)[{_LETTERS}]+")
+#: ASCII marks that byte-level pre-tokenizers part from letters before them; an apostrophe may begin a contraction.
+_MARKS = r"[!-&(-/:-=?@\[-`{-~]"
+#: Where both kinds of tokenizers may always cut: before a space behind something that is not white space, and there or
+#: between a letter and a mark or behind a single line end.
+_AT_SPACES = re.compile(r"(?<=\S)(?= )")
+_AT_MARKS = re.compile(rf"(?<=\S)(?= )|(?<=[{_LETTERS}])(?={_MARKS})|(?<=\S\n)(?=\S)")
 
 
 class Tokens:
-    """A tokenizer: ids of a text, and the bytes that each id stands for."""
+    """A tokenizer: ids of stretches of text, the bytes that each id stands for, and where it always cuts.
 
-    def __init__(self, encode: Callable[[str], np.ndarray], pieces: list[bytes]):
-        self.encode, self.pieces = encode, pieces
+    A stretch begins with a space, or with a mark or letter behind a place where a text is
+    always cut: before a space behind something else, between a letter and a mark, behind a
+    line end.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], at_spaces: bool = True, at_marks: bool = True):
+        self.encode, self.pieces, self.at_spaces, self.at_marks = encode, pieces, at_spaces, at_marks
         self.sizes = np.array([len(p) for p in pieces], np.int64)
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @cache
 def byte_level(path: str) -> Tokens:
-    """A byte-level tokenizer of the tokenizers library, read with a space before the text; special strings are plain text."""
+    """A byte-level tokenizer of the tokenizers library, read with a space before the text; special strings are plain text.
+
+    A word of letters, with a space before it or not, is one piece of the pre-tokenizer and
+    goes to the library's model right away.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -63,52 +78,39 @@ def byte_level(path: str) -> Tokens:
     model, letters = library.model.tokenize, byte_letters()
     to_letters = {b: x for b, x in enumerate(letters)}
 
-    def whole(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+    def piece(text: str) -> list[int]:
+        return [t.id for t in model(text.encode().decode("latin-1").translate(to_letters))]
 
-    def spaced(text: str) -> bytes:
-        match = _WORD_AND_MARKS.fullmatch(text)
-        if match is None:
-            return whole(" " + text)
-        word, marks = match.groups()
-        if marks:
-            return memo.spaced[word] + memo.chunk[marks]
-        return np.array([t.id for t in model((" " + word).encode().decode("latin-1").translate(to_letters))], np.int32).tobytes()
+    def encode(text: str) -> list[int]:
+        return piece(text) if _WORD.fullmatch(text) else library.encode(text, add_special_tokens=False).ids
 
-    memo = ChunkMemo(whole, spaced=spaced, entries=MEMO_ENTRIES)
     byte = {x: b for b, x in enumerate(letters)}
     vocabulary = library.get_vocab(with_added_tokens=True)
     pieces = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         pieces[i] = bytes(byte[x] for x in token) if all(x in byte for x in token) else token.encode()
-    return Tokens(lambda text: np.frombuffer(memo(" " + text), np.int32), pieces)
+    return Tokens(lambda texts: list(map(encode, texts)), pieces)
 
 
 @cache
 def sentence_pieces(path: str) -> Tokens:
-    """A sentencepiece model that adds the space itself; U+2581 in a piece is a space.
-
-    Texts are encoded in chunks that begin with spaces, and equal chunks once, if the
-    vocabulary shows that no piece goes on behind a cut.
-    """
+    """A sentencepiece model that adds the space itself; U+2581 in a piece is a space."""
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
     pieces = [bytes([int(n[3:5], 16)]) if library.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    crossing = any(re.search("[^▁]▁", n) for i, n in enumerate(names) if not library.is_control(i))
-
-    def whole(text: str) -> bytes:
-        return np.array(library.encode(text, num_threads=1), np.int32).tobytes()
-
-    memo = Memo(lambda chunk: whole(chunk[1:]), MEMO_ENTRIES)
+    joined = [n for i, n in enumerate(names) if not library.is_control(i) and not library.is_byte(i)]
+    at_spaces = not any(re.search("[^▁]▁", n) for n in joined)
+    # a line end is a byte of its own, and no letter has the mark behind it in its piece
+    at_marks = at_spaces and not any("\n" in n or re.search(f"[{_LETTERS}]{_MARKS}", n) for n in joined)
+    start = library.encode("\n")
 
-    def encode(text: str) -> np.ndarray:
-        if crossing or text.endswith(" "):
-            return np.frombuffer(whole(text), np.int32)
-        return np.frombuffer(b"".join(map(memo.__getitem__, _BEFORE_SPACES.split(" " + text))), np.int32)
+    def encode(texts: list[str]) -> list[list[int]]:
+        found = library.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], num_threads=1)
+        return [ids if t[0] == " " else ids[len(start) :] for t, ids in zip(texts, found, strict=True)]
 
-    return Tokens(encode, pieces)
+    return Tokens(encode, pieces, at_spaces, at_marks)
 
 
 @cache
@@ -184,28 +186,108 @@ def links(a: Tokens, b: Tokens, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[n
     return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
-def _written_out(a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, tables: dict) -> list[str]:
-    """Every token as text, with what follows it, in the order of ``a1,a2|b1;a3|b2,b3``."""
-    ends_a, ends_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
-    ends_a[a_last], ends_b[b_last] = 1, 1
-    group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
-    a_place = np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[group_a]
-    b_place = np.arange(len(b_ids)) + (a_last + 1)[group_b]
-    out = np.empty(len(a_ids) + len(b_ids), np.int64)
-    out[a_place], out[b_place] = a_ids * 2 + ends_a, (b_ids * 2 + ends_b) + tables["b"]
-    return list(map(tables["text"].__getitem__, out.tolist()))
+class Remembered:
+    """What was made of some texts, in two generations; the old one is forgotten but for what is asked for again."""
+
+    def __init__(self, make: Callable[[list[str]], list[tuple]]):
+        self.make = make
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def __call__(self, texts: set[str]) -> dict[str, tuple]:
+        found = {}
+        for text in texts:
+            value = self.young.get(text)
+            if value is None and (value := self.old.get(text)) is not None:
+                self.young[text] = value
+            found[text] = value
+        new = [text for text, value in found.items() if value is None]
+        for text, value in zip(new, self.make(new) if new else [], strict=True):
+            found[text] = value
+            if len(text) <= LONGEST_KEY:
+                self.young[text] = value
+        if len(self.young) >= MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        return found
+
+
+class Aligner:
+    """Groups of texts. Where both tokenizers always cut, texts are cut at once, and equal stretches are grouped once.
+
+    What a stretch gives are bytes of 32-bit numbers: ids of A and of B, sizes of its groups
+    in both; and its groups as text, and whether both tokenizers spell it.
+    """
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.a, self.b = a, b
+        self.names = [f"{i}{mark}" for side, marks in ((a, ",|"), (b, ",;")) for i in range(len(side.pieces)) for mark in marks]
+        self.cuts = (_AT_MARKS if a.at_marks and b.at_marks else _AT_SPACES) if a.at_spaces and b.at_spaces else None
+        self.known = Remembered(self._grouped)
+
+    def _stretches(self, text: str) -> list[str]:
+        """The text cut, with the space before it; a text that ends with a space is one stretch."""
+        if not text:
+            return []
+        return [" " + text] if self.cuts is None or text.endswith(" ") else self.cuts.split(" " + text)
+
+    def _grouped(self, texts: list[str]) -> list[tuple]:
+        """All stretches in one divide and conquer, each an interval of its own."""
+        pairs = list(zip(self.a.encode(texts), self.b.encode(texts), strict=True))
+        spelled = [self.a.spell(x) == self.b.spell(y) == t.encode() for t, (x, y) in zip(texts, pairs, strict=True)]
+        pairs = [p if ok else ([], []) for p, ok in zip(pairs, spelled, strict=True)]
+        sizes = [np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1)]
+        ids = [np.array([*chain.from_iterable(p[k] for p in pairs)], np.int64) for k in (0, 1)]
+        last = group_ends(self.a, self.b, *ids, *sizes)
+        shown = self._written_out(*ids, *last)
+        groups = np.searchsorted(last[0], np.cumsum(sizes[0]))
+        raw = [np.asarray(x, np.int32).tobytes() for x in (*ids, *(np.diff(x, prepend=-1) for x in last))]
+        stops = [(4 * x).tolist() for x in (np.cumsum(sizes[0]), np.cumsum(sizes[1]), groups, groups)]
+        out, at, same = [], (0, 0, 0), {}
+        for ok, x, y, g, _ in zip(spelled, *stops, strict=True):
+            sizes = raw[2][at[2] : g] + raw[3][at[2] : g]
+            ga, gb = same.setdefault(sizes, (raw[2][at[2] : g], raw[3][at[2] : g]))  # mostly ones: few different objects
+            out.append((raw[0][at[0] : x], raw[1][at[1] : y], ga, gb, "".join(shown[(at[0] + at[1]) // 4 : (x + y) // 4]), ok))
+            at = x, y, g
+        return out
+
+    def _written_out(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> list[str]:
+        """Every token as text, with what follows it, in the order of ``a1,a2|b1;a3|b2,b3;``."""
+        ends_a, ends_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
+        ends_a[a_last], ends_b[b_last] = 1, 1
+        group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        out = np.empty(len(a_ids) + len(b_ids), np.int64)
+        out[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[group_a]] = a_ids * 2 + ends_a
+        out[np.arange(len(b_ids)) + (a_last + 1)[group_b]] = b_ids * 2 + ends_b + 2 * len(self.a.pieces)
+        return list(map(self.names.__getitem__, out.tolist()))
+
+    def __call__(self, texts: list[str]) -> list[tuple]:
+        """For each text what ``_grouped`` gives, empty where a tokenizer does not spell it."""
+        parts = [self._stretches(t) for t in texts]
+        found = self.known({x for p in parts for x in p})
+        return [self._whole(t, [found[x] for x in p]) for t, p in zip(texts, parts, strict=True)]
+
+    def _whole(self, text: str, parts: list[tuple]) -> tuple:
+        if not parts:
+            return b"", b"", b"", b"", "", False
+        whole = _joined(parts)
+        # what one stretch lacks another could have too much, so then the whole text decides
+        return whole if whole[5] else self._grouped([" " + text])[0]
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    a, b, ga, gb, shown, spelled = zip(*parts, strict=True)
+    return b"".join(a), b"".join(b), b"".join(ga), b"".join(gb), "".join(shown), all(spelled)
 
 
 @cache
-def _tables(a_path: str, b_path: str) -> dict:
-    n_a, n_b = len(tokens(a_path).pieces), len(tokens(b_path).pieces)
-    text = [f"{i}{sep}" for i in range(n_a) for sep in ",|"] + [f"{i}{sep}" for i in range(n_b) for sep in ",;"]
-    return {"text": text, "b": 2 * n_a}
+def aligner(a_path: str, b_path: str) -> Aligner:
+    return Aligner(tokens(a_path), tokens(b_path))
 
 
 def _steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows with their texts, about a megabyte (or one row) at a time; null is as empty."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         texts = (x or "" for at in range(0, batch.num_rows, 256) for x in batch.slice(at, 256).column(column).to_pylist())
         start, held, size = 0, [], 0
         for row, text in enumerate(texts):
@@ -233,29 +315,16 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text")
     schema = T.StructType([*kept, *(T.StructField(n, ints) for n in names), T.StructField("groups_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        a, b, tables = tokens(a_path), tokens(b_path), _tables(a_path, b_path)
-        none = np.zeros(0, np.int32)
+        own = aligner(a_path, b_path)
         for batch, texts in _steps(batches, text_col):
-            pairs = []
-            for text in texts:
-                wanted = (" " + text).encode()
-                x, y = (a.encode(text), b.encode(text)) if text else (none, none)
-                pairs.append((x, y) if text and a.spell(x) == wanted and b.spell(y) == wanted else (none, none))
-            a_sizes, b_sizes = ([len(p[k]) for p in pairs] for k in (0, 1))
-            a_ids, b_ids = (np.concatenate([none, *(p[k] for p in pairs)]).astype(np.int64) for k in (0, 1))
-            a_last, b_last = group_ends(a, b, a_ids, b_ids, a_sizes, b_sizes)
-            (_, a_to), (_, b_to) = _ranges(a_sizes), _ranges(b_sizes)
-            group_to = np.searchsorted(a_last, a_to)  # groups of the texts so far
-            spelled, digests = _written_out(a_ids, b_ids, a_last, b_last, tables), []
-            for start, stop in zip(np.concatenate([[0], (a_to + b_to)[:-1]]).tolist(), (a_to + b_to).tolist(), strict=True):
-                digests.append(hashlib.sha256("".join(spelled[start:stop])[:-1].encode()).hexdigest() if stop > start else "")
-            sizes = [np.diff(last, prepend=-1) for last in (a_last, b_last)]
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]).astype(np.int32)), pa.array(x.astype(np.int32)))
-                for x, to in ((a_ids, a_to), (b_ids, b_to), (sizes[0], group_to), (sizes[1], group_to))
-            ]
-            own = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*own, *lists, pa.array(digests, pa.string())], [*(f.name for f in kept), *names, "groups_sha256"])
+            found = own(texts)
+            lists = []
+            for k in range(4):
+                stop = np.cumsum([0, *(len(f[k]) // 4 for f in found)]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(stop), pa.array(np.frombuffer(b"".join(f[k] for f in found), np.int32))))
+            digests = [hashlib.sha256(f[4][:-1].encode()).hexdigest() if f[4] else "" for f in found]
+            columns = [*(batch.column(f.name) for f in kept), *lists, pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *names, "groups_sha256"])
 
     return df.mapInArrow(run, schema)
 
@@ -274,6 +343,7 @@ def _linked(batch: pa.RecordBatch, a: Tokens, b: Tokens) -> tuple[np.ndarray, np
 def _token_steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Rows of about so many tokens of A at a time."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         start, held = 0, 0
         for row, size in enumerate(np.diff(batch.column("a_ids").offsets.to_numpy()).tolist()):
             held += size
@@ -286,6 +356,7 @@ def pair_counts(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``(pair, a_id, b_id, n, best)`` of every pair of linked ids: its links over all rows, and whether no pair of its B id has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        aligner.cache_clear()  # a worker that has aligned texts needs what it remembers no more
         a, b = tokens(a_path), tokens(b_path)
         for part in _token_steps(batches):
             pairs, counts = np.unique(_linked(part, a, b)[1], return_counts=True)
@@ -315,6 +386,7 @@ def link_scores(aligned: DataFrame, counts: DataFrame, row_col: str, a_path: str
     longs = [T.StructField(n, T.LongType()) for n in ("pair", "n_links", "n_best", "count_sum")]
 
     def run(batches: Iterator[pa.RecordBatch], known: Broadcast) -> Iterable[pa.RecordBatch]:
+        aligner.cache_clear()
         a, b = tokens(a_path), tokens(b_path)
         pairs, n, best = known.value
         for part in _token_steps(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablemirror.llm import (
     alignment, bpe, collocations, exact_dedup, fingerprints, html_extract, minhash, mixing, repeats, sharding, token_counts, token_store, toxicity
 )
-from tablemirror.llm.common import documents, shared_dir, written
+from tablemirror.llm.common import documents, shared_dir, small_batches, written
 
 N_SHARDS = 24
 MAX_REPEATS = 2.0
@@ -160,9 +160,10 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every document's tokens under two tokenizers."""
     paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    aligned, _ = written(alignment.align_texts(docs, *paths), "aligned")  # the numbers of rows are fixed from here on
-    counts, _ = written(alignment.pair_counts(aligned, *paths), "pair-counts")
-    scores = alignment.link_scores(aligned, counts, "row", *paths)
+    with small_batches(spark):
+        aligned, _ = written(alignment.align_texts(docs, *paths), "aligned")  # the numbers of rows are fixed from here on
+        counts, _ = written(alignment.pair_counts(aligned, *paths), "pair-counts")
+        scores = alignment.link_scores(aligned, counts, "row", *paths)
     size = lambda c: F.size(c).cast("long")
     sizes = aligned.select("row", "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("a_group").alias("n_groups"), "groups_sha256")
     sums = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum")]
