@@ -52,6 +52,8 @@ KEEP = timedelta(hours=24)
 
 #: Size of a file that compaction makes, and the beginning of the name of a folder that holds several batches.
 TARGET_BYTES, MERGED = 128 << 20, "merged-"
+#: Rows of such a file: one task sorts it, and rows that compress well would be many times its size.
+FILE_ROWS = 3_000_000
 
 _RUNNING: set[tuple[str, str]] = set()
 _GUARD = threading.Lock()
@@ -502,14 +504,17 @@ def compact(store: Store, spec: TableSpec, files: int | None = None, target_byte
     The file listing tells which batches have files under half that size; they are packed
     together, dealt by ranges of the key (without one, of the watermark) and sorted by it,
     so that a read by key skips files and row groups. Batches of large files are left
-    alone. With ``files`` all batches are rewritten into so many files.
+    alone. With ``files`` all batches are rewritten, into so many files, or more where
+    these would be too large. No file is meant to have more than ``FILE_ROWS`` rows, since
+    one task sorts it; batches whose files have half of that count as large.
     """
     with store.writing(spec.name):
         batches = store.batches(spec.name)
         sizes = {b["folder"]: store.files(f"{store.root}/{spec.name}/{b['folder']}") for b in batches}
-        small = [b for b in batches if files or any(size < target_bytes // 2 for size in sizes[b["folder"]].values())]
-        total = sum(sum(sizes[b["folder"]].values()) for b in small)
-        n = files or max(1, -(-total // target_bytes))
+        full = lambda b: 2 * b["rows"] >= FILE_ROWS * len(sizes[b["folder"]])
+        small = [b for b in batches if files or not full(b) and any(size < target_bytes // 2 for size in sizes[b["folder"]].values())]
+        total, count = sum(sum(sizes[b["folder"]].values()) for b in small), sum(b["rows"] for b in small)
+        n = max(files or 1, -(-total // target_bytes), -(-count // FILE_ROWS))
         if not files and sum(len(sizes[b["folder"]]) for b in small) <= n:
             return []
         rows, order = store.read_batches(spec.name, small), list(spec.keys) or [c for c in [spec.watermark] if c]

@@ -172,6 +172,20 @@ def test_packing_takes_small_files_only_and_sorts_them(store, spark):
     assert S.compact(store, SPEC, target_bytes=size) == []
 
 
+def test_a_number_of_files_does_not_make_files_too_large(store, spark, monkeypatch):
+    S.full_refresh(store, SPEC, rows(spark, *((i, "a", i, 0) for i in range(4000))).repartition(4))
+    before, folder = shown(store), store.batches("t")[0]["folder"]
+    sizes = store.files(f"{store.root}/t/{folder}").values()
+    for target, least, most in ((sum(sizes) // 5, 5, 6), (S.TARGET_BYTES, 2, 2)):
+        S.compact(store, SPEC, 2, target_bytes=target)
+        files = store.files(f"{store.root}/t/{store.batches('t')[0]['folder']}")
+        assert least <= len(files) <= most and shown(store) == before
+    monkeypatch.setattr(S, "FILE_ROWS", 1000)  # however small the files
+    S.compact(store, SPEC, 2)
+    assert len(store.files(f"{store.root}/t/{store.batches('t')[0]['folder']}")) == 4 and shown(store) == before
+    assert S.compact(store, SPEC) == []
+
+
 def test_backups_copy_what_is_new_and_restores_check_it(store, spark, tmp_path):
     target = str(tmp_path / "backups")
     pool = lambda: {str(p.parent) for p in (tmp_path / "backups/_batches").rglob("*.parquet")}
