@@ -60,13 +60,19 @@ def range_digests(source: DataFrame, replica: DataFrame, axis: Column, bounds: S
     for df, sign in ((source, 1), (replica, -1)):
         rows = df.where(within(axis, inside))
         sides.append(rows.select(_place(axis, bounds).alias("place"), _row_hash(df).alias("h"), F.lit(sign).alias("sign")))
-    exact = F.col("h").cast("decimal(20,0)") * F.col("sign")
-    both = sides[0].unionAll(sides[1]).groupBy("place")
-    sums = both.agg(
-        F.count_if(F.col("sign") > 0).alias("source_rows"), F.count_if(F.col("sign") < 0).alias("replica_rows"), F.bit_xor("h").alias("x"), F.sum(exact).alias("s")
-    )
-    differs = (F.col("source_rows") != F.col("replica_rows")) | (F.col("x") != 0) | (F.col("s") != 0)
-    return sums.select("place", "source_rows", "replica_rows", differs.alias("differs"))
+    both = sides[0].unionAll(sides[1]).groupBy("place").agg(*_digest(F.col("h"), F.col("sign")))
+    return both.select("place", "source_rows", "replica_rows", _differs().alias("differs"))
+
+
+def _digest(h: Column, sign: Column) -> list[Column]:
+    """Rows of both sides, and the exclusive or and the signed sums of both halves of their hashes."""
+    halves = (F.shiftright(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31))  # signed, so that sums stay small
+    rows = [F.count_if(sign > 0).alias("source_rows"), F.count_if(sign < 0).alias("replica_rows")]
+    return [*rows, F.bit_xor(h).alias("x"), *(F.sum(half * sign).alias(name) for half, name in zip(halves, ("upper", "lower"), strict=True))]
+
+
+def _differs() -> Column:
+    return (F.col("source_rows") != F.col("replica_rows")) | (F.col("x") != 0) | (F.col("upper") != 0) | (F.col("lower") != 0)
 
 
 def differing_ranges(
@@ -79,25 +85,28 @@ def differing_ranges(
     for the hash of 64 bits count as different; rows whose number, sum and exclusive or of
     hashes agree count as equal.
     """
-    axis = key_axis(source, keys)
+    axis, cuts = key_axis(source, keys), [c / fan_out for c in range(1, fan_out)]
+    quantiles = F.percentile_approx("a", cuts, 20 * fan_out).alias("b")
     open_: list[Range] = [(None, None)]
-    first = range_digests(source, replica, axis, [], open_).where("differs").first()
-    if first is None:
+    # the first digest and the first quantiles are of all rows: one pass has both
+    sides = [df.select(axis.alias("a"), _row_hash(df).alias("h"), F.lit(sign).alias("sign")) for df, sign in ((source, 1), (replica, -1))]
+    first = sides[0].unionAll(sides[1]).agg(*_digest(F.col("h"), F.col("sign")), quantiles).select("*", _differs().alias("differs")).first()
+    if not first["differs"]:
         return []
-    leaves, open_rows = [], max(first["source_rows"], first["replica_rows"])
-    if open_rows <= leaf_rows:
+    if max(first["source_rows"], first["replica_rows"]) <= leaf_rows:
         return open_
+    leaves, found = [], [first]
     while open_:
-        cuts = [c / fan_out for c in range(1, fan_out)]
-        both = source.where(within(axis, open_)).select(axis.alias("a")).unionAll(replica.where(within(axis, open_)).select(axis.alias("a")))
         edges = sorted({b for r in open_ for b in r if b is not None})
-        found = both.groupBy(_place(F.col("a"), edges).alias("place")).agg(F.percentile_approx("a", cuts, 20 * fan_out).alias("b")).collect()
+        if found is None:
+            both = source.where(within(axis, open_)).select(axis.alias("a")).unionAll(replica.where(within(axis, open_)).select(axis.alias("a")))
+            found = both.groupBy(_place(F.col("a"), edges).alias("place")).agg(quantiles).collect()
         bounds = sorted({b for r in found for b in (r["b"] or []) if b is not None} | set(edges))
         if len(bounds) == len(edges):  # nothing more to cut: one value fills each range
             return _joined(leaves + open_)
         parts = list(zip([None, *bounds], [*bounds, None], strict=True))
         differing = range_digests(source, replica, axis, bounds, open_).where("differs").collect()
-        before, open_ = set(open_), []
+        before, open_, found = set(open_), [], None
         for row in differing:
             part = parts[row["place"]]
             small = max(row["source_rows"], row["replica_rows"]) <= leaf_rows or part in before

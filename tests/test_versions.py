@@ -242,6 +242,16 @@ def test_one_changed_row_reads_one_range(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["id", "diff"]
 
 
+def test_the_first_digest_brings_the_first_quantiles(spark, monkeypatch):
+    passes, digests = [], RT.range_digests
+    monkeypatch.setattr(RT, "range_digests", lambda *a: passes.append(a[3]) or digests(*a))
+    source = spark.range(5000).select("id", (F.col("id") * 7).alias("v"))
+    replica = source.withColumn("v", F.when(F.col("id") == 1234, 0).otherwise(F.col("v")))
+    assert RT.differing_ranges(source, source, ["id"], 16, 100) == [] and not passes
+    ranges = RT.differing_ranges(source, replica, ["id"], 64, 100)
+    assert len(ranges) == 1 and ranges[0][0] <= 1234 < ranges[0][1] and len(passes) == 1  # two before
+
+
 def test_ranges_with_null_keys(spark):
     source = spark.createDataFrame([(None, 1), (1, 1), (2, 2)], "k int, v int")
     assert RT.differing_ranges(source, source.where("k IS NOT NULL"), ["k"], 4, 1)[0][0] is None
