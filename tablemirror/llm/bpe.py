@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablemirror.llm.chunks import ChunkMemo, Memo, text_batches, with_columns
+from tablemirror.llm.chunks import ChunkMemo, Memo, held, text_batches, with_columns
 from tablemirror.llm.common import replaced
 
 #: Bytes of one piece after which certain tokens are emitted and their bytes forgotten.
@@ -30,7 +30,9 @@ FLUSH = 4096
 _BITS = 24
 _MASK = (1 << _BITS) - 1
 #: States kept before the transducer starts anew; bounds memory, not the results.
-MOST_STATES = 100_000
+MOST_STATES = 150_000
+#: A way with more tokens ahead is taken to have one that can end it; the results do not depend on it.
+MOST_TRIED = 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +52,7 @@ class LazyTransducer:
         self.halves = Memo(self._halves)
         self.alone = Memo(lambda token: self.merged(self.tokens[token])[0] == [token])
         self.follows = Memo(lambda pair: self._follows((pair >> _BITS) - 1, pair & _MASK))
+        self.alive = Memo(self._alive)
         self._restart()
 
     def _grow_trie(self) -> None:
@@ -69,6 +72,9 @@ class LazyTransducer:
                     self.token_at.append(-1)
                 node = step
             self.token_at[node] = rank
+        self.ahead = [0] * len(self.longer)  # tokens that go on from a beginning
+        for node in range(len(self.longer) - 1, -1, -1):  # longer ones have higher numbers
+            self.ahead[node] = sum(self.ahead[step] + (self.token_at[step] >= 0) for step in self.longer[node].values())
 
     def _restart(self) -> None:
         self.ids: dict[tuple[int, ...], int] = {}
@@ -124,16 +130,27 @@ class LazyTransducer:
             else:
                 return True
 
+    def _alive(self, way: int) -> bool:
+        """Whether what a way has begun can end as a longer token behind the token before it."""
+        left, open_ = (way >> _BITS) - 1, list(self.longer[way & _MASK].values())
+        for step in open_:
+            token = self.token_at[step]
+            if token >= 0 and self._follows(left, token):
+                return True
+            open_ += self.longer[step].values()
+        return False
+
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         """The state after a byte, and the last token of what has been read."""
-        ways, ended, longer, token_at = [], -1, self.longer, self.token_at
+        ways, ended, longer, token_at, ahead, alive = [], -1, self.longer, self.token_at, self.ahead, self.alive
         for way in self.ways[state]:
             node = way & _MASK
             step = longer[node].get(byte)
             if step is None:
                 continue
             left = way - node
-            ways.append(left + step)
+            if ahead[step] > MOST_TRIED or ahead[step] and alive[left + step]:  # the others would only tell states apart
+                ways.append(left + step)
             if ended < 0:
                 token = token_at[step]
                 if token >= 0 and self.follows[left + token]:
@@ -185,7 +202,7 @@ class LazyTransducer:
 
 
 #: Pieces and chunks of one generation that an encoder remembers.
-MEMO_PIECES = 60_000
+MEMO_PIECES = 120_000
 
 
 class Encoder:
@@ -196,7 +213,6 @@ class Encoder:
         # \s as the tokenizer's regex engine has it: the White_Space property, without U+001C to U+001F
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.letters_stay = all(self.pattern.findall(w) == [w] for w in (" word", "word", " Été", "日本"))
-        # a worker keeps its encoder for later tasks, of other operators too, so what it remembers is kept small
         self.piece = Memo(self._piece, MEMO_PIECES)
         self.text = ChunkMemo(self._chunk, entries=MEMO_PIECES)
 
@@ -253,15 +269,9 @@ def decoded(ids: bytes, tokens: dict[int, bytes], at_once: int = 1 << 16) -> str
     return "".join(out)
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One encoder a worker, kept between tasks."""
-    key = ranks_path, pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_path, pattern)
-    return _ENCODERS[key]
+    """One encoder a worker, kept between tasks until another operator runs there."""
+    return held(("bpe", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
 
 
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -7,8 +7,10 @@ equal chunks, which are most of a corpus, are encoded once a worker.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
@@ -21,6 +23,25 @@ MEMO_ENTRIES, LONGEST_KEY = 600_000, 64
 ROWS_OUT = 256
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def release() -> None:
+    """Forget what an operator holds in this worker: Spark uses workers again, and the next one needs the memory."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What an operator keeps between tasks of a worker; it is forgotten when another one asks for its own."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Memo(dict):
     """A dict that computes missing values and holds two generations of them.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.chunks import text_batches
+from tablemirror.llm.chunks import release, text_batches
 from tablemirror.llm.common import discard, free_name, key_bitmap, with_chance, written
 
 WORDS = 5
@@ -42,7 +42,7 @@ BINS = BANDS * BAND_BINS
 PERCENT = 85
 #: The least percentage the bands serve: a pair at the limit is lost with a chance of at most 1e-5.
 LEAST_PERCENT = next(p for p in range(1, 101) if (1 - (p / 100) ** BAND_BINS) ** BANDS <= 1e-5)
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 18
 
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -134,7 +134,8 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _small(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches of at most about a megabyte of text (or one row)."""
+    """Batches of at most about a quarter of a megabyte of text (or one row)."""
+    release()
     for batch, texts in text_batches(batches, text):  # a batch of Spark's may hold 10,000 texts; not all of them are unpacked at once
         encoded = [t.encode() for t in texts]
         start, size = 0, 0

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.chunks import ChunkMemo, byte_letters, text_batches
+from tablemirror.llm.chunks import ChunkMemo, byte_letters, held, text_batches
 
 _BLOCK = 512
 #: Text in a range of ids, and the most shards whose starts (24 bytes each) are sent to all executors.
@@ -160,7 +160,6 @@ def open_shard(payload: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
 _WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words parted by single line ends, each of which is a piece of its own.
 _LINES = re.compile(r"\S+(?:\n\S+)+")
-_CHUNKS: dict[str, ChunkMemo] = {}
 
 
 def library_chunks(tokenizer_path: str) -> ChunkMemo:
@@ -171,7 +170,8 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
     right away; a word with punctuation after it is two memo entries, so that words are
     shared. What is neither goes through the whole tokenizer.
     """
-    if tokenizer_path not in _CHUNKS:
+
+    def make() -> ChunkMemo:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer_path)
@@ -196,8 +196,10 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
                 return memo.chunk["\n"].join([memo.spaced[first], *map(memo.chunk.__getitem__, lines)])
             return encode(" " + text)
 
-        memo = _CHUNKS[tokenizer_path] = ChunkMemo(encode, lambda text: any(a in text for a in added), spaced)
-    return _CHUNKS[tokenizer_path]
+        memo = ChunkMemo(encode, lambda text: any(a in text for a in added), spaced)
+        return memo
+
+    return held(("store", tokenizer_path), make)
 
 
 def write_shards(

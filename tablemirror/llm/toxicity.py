@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemirror.llm.chunks import Memo, text_batches
+from tablemirror.llm.chunks import Memo, release, text_batches
 from tablemirror.llm.common import discard, replaced, written
 
 #: At most about so many labelled rows are learned from, chosen by a hash of their id.
@@ -131,6 +131,7 @@ def with_features(df: DataFrame, text_col: str, weights: list[dict[str, float]],
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        release()
         own = [Features(w) for w in weights]
         for batch, texts in text_batches(batches, text_col):
             which = batch.column(choice).to_pylist() if choice else [0] * len(texts)
