@@ -268,8 +268,8 @@ def _finer(star: DataFrame, percent: int) -> DataFrame:
       shingles, ``percent`` of n less those in the hub must be common. Near members have
       few shingles that are not in the hub and are dealt by all of them (kind 2).
 
-    Differences of a single member are rarest of all and lead nowhere: they are counted,
-    not dealt out.
+    Differences that members of one component only have lead nowhere: what members of two
+    share is held by both. They are counted, not dealt out.
     """
     most = F.ceil(F.col("n") * percent / 100).cast("int")
     near = F.col("n") - F.size("more") >= most
@@ -282,8 +282,9 @@ def _finer(star: DataFrame, percent: int) -> DataFrame:
     own = F.transform("more", lambda x: F.struct(x.alias("x"), F.lit(True).alias("is_own")))
     lacks = F.transform("less", lambda x: F.struct(x.alias("x"), F.lit(False).alias("is_own")))
     dealt = F.explode(F.when(F.col("cls") == 2, own).otherwise(F.concat(own, lacks))).alias("d")
-    each = members.select("hub", "node", dealt).select("hub", "node", "d.x", "d.is_own")
-    common = each.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    each = members.select("hub", "node", "comp", dealt).select("hub", "node", "comp", "d.x", "d.is_own")
+    common = each.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("c"), (F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
+    each = each.drop("comp")
     mine, mine_own = Window.partitionBy("hub", "node"), Window.partitionBy("hub", "node", "is_own")
     placed = each.join(common, ["hub", "x"]).select(
         "hub", "node", "x", "is_own",
