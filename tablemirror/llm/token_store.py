@@ -49,7 +49,7 @@ class WaveletMatrix:
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            rest = np.concatenate([rest[~ones], rest[ones]])
+            rest = np.concatenate([np.compress(~ones, rest), np.compress(ones, rest)])
         return cls(len(values), planes, ranks)
 
     @staticmethod
@@ -119,8 +119,8 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             above, zeros = np.empty_like(rest), self.zeros[k]
-            above[~ones] = rest[:zeros]
-            above[ones] = rest[zeros:] | rest.dtype.type(1 << (len(self.planes) - 1 - k))
+            above[np.flatnonzero(~ones)] = rest[:zeros]
+            above[np.flatnonzero(ones)] = rest[zeros:] | rest.dtype.type(1 << (len(self.planes) - 1 - k))
             rest = above
         return rest
 
@@ -158,6 +158,7 @@ def open_shard(payload: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
 #: A word of Latin letters and ASCII punctuation after it, between which byte-level pre-tokenizers always cut
 #: (not an apostrophe: contractions begin with one).
 _WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Words parted by single line ends, each of which is a piece of its own.
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 
@@ -178,19 +179,24 @@ def library_chunks(tokenizer_path: str) -> ChunkMemo:
         added = [t.content for t in library.get_added_tokens_decoder().values()]
         model = library.model.tokenize
         letters = {b: x for b, x in enumerate(byte_letters())}
+        space, packed = letters[0x20], [struct.pack("<I", i) for i in range(max(library.get_vocab().values()) + 1)]
 
         def encode(text: str) -> bytes:
             ids = library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
 
         def spaced(text: str) -> bytes:
+            word = text.rstrip(_MARKS)
+            if word.isascii() and word.isalpha():  # these letters stand for themselves
+                if len(word) < len(text):
+                    return memo.spaced[word] + memo.chunk[text[len(word) :]]
+                return b"".join([packed[t.id] for t in model(space + word)])
             match = _WORD_AND_MARKS.fullmatch(text)
             if match:
                 word, marks = match.groups()
                 if marks:
                     return memo.spaced[word] + memo.chunk[marks]
-                ids = [t.id for t in model((" " + word).encode().decode("latin-1").translate(letters))]
-                return struct.pack(f"<{len(ids)}I", *ids)
+                return b"".join([packed[t.id] for t in model((" " + word).encode().decode("latin-1").translate(letters))])
             if "\n" in text and _LINES.fullmatch(text):
                 first, *lines = text.split("\n")
                 return memo.chunk["\n"].join([memo.spaced[first], *map(memo.chunk.__getitem__, lines)])
