@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemirror.llm import exact_dedup, minhash, mixing
-from tablemirror.llm.common import discard, free_name, shared_dir
+from tablemirror.llm.common import discard, free_name, shared_dir, small_batches, written
 from tablemirror.llm.queries import MAX_REPEATS, TOXIC_SCORE, bpe_digests, toxicity_model
 
 #: Near copies in a corpus are documents whose five-word shingles have a similarity of 0.8 or more.
@@ -37,7 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one with the least id; texts without words all stay."""
-    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
+    with small_batches(spark):
+        return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every reading, checked by what they decode to; null and empty texts have none."""
-    return bpe_digests(docs)
+    """Token ids of every reading, checked by what they decode to; null and empty texts have none.
+
+    Written at once, because the texts travel to Python in small batches: beside the
+    encoder's tables, 10,000 texts at a time on both sides are too much for an executor.
+    """
+    with small_batches(spark):
+        return written(bpe_digests(docs), "encoded")[0]
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
