@@ -31,7 +31,7 @@ from tablemirror.llm.common import discard, replaced, written
 #: Pairs that are sent to all tasks: 16 bytes each, 4 MB in all.
 SENT_PAIRS = 1 << 18
 #: Stretches of text that a worker remembers with their groups, in each of two generations, and the longest of them.
-MEMO_ENTRIES, LONGEST_KEY = 60_000, 40
+MEMO_ENTRIES, LONGEST_KEY = 120_000, 40
 #: A pair of ids is one number: the first tokenizer's id above so many bits of the second's.
 _BITS = 32
 _STEP_BYTES = 1 << 19
@@ -46,6 +46,10 @@ _MARKS = r"[!-&(-/:-=?@\[-`{-~]"
 #: between a letter and a mark or behind a single line end.
 _AT_SPACES = re.compile(r"(?<=\S)(?= )")
 _AT_MARKS = re.compile(rf"(?<=\S)(?= )|(?<=[{_LETTERS}])(?={_MARKS})|(?<=\S\n)(?=\S)")
+#: What of the latter is inside words that spaces part.
+_IN_WORDS = re.compile(rf"(?<=[{_LETTERS}])(?={_MARKS})|(?<=\S\n)(?=\S)")
+#: Stands for the groups of a stretch that a tokenizer does not spell.
+_UNSPELLED = "!"
 
 
 class Tokens:
@@ -76,12 +80,16 @@ def byte_level(path: str) -> Tokens:
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     model, letters = library.model.tokenize, byte_letters()
-    to_letters = {b: x for b, x in enumerate(letters)}
+    to_letters, space = {b: x for b, x in enumerate(letters)}, letters[0x20]
 
     def piece(text: str) -> list[int]:
         return [t.id for t in model(text.encode().decode("latin-1").translate(to_letters))]
 
     def encode(text: str) -> list[int]:
+        spaced = text[:1] == " "
+        word = text[1:] if spaced else text
+        if word.isascii() and word.isalpha():  # these letters stand for themselves
+            return [t.id for t in model(space + word if spaced else word)]
         return piece(text) if _WORD.fullmatch(text) else library.encode(text, add_special_tokens=False).ids
 
     byte = {x: b for b, x in enumerate(letters)}
@@ -189,38 +197,42 @@ def links(a: Tokens, b: Tokens, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[n
 class Remembered:
     """What was made of some texts, in two generations; the old one is forgotten but for what is asked for again."""
 
-    def __init__(self, make: Callable[[list[str]], list[tuple]]):
+    def __init__(self, make: Callable[[list[str]], list[str]]):
         self.make = make
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def __call__(self, texts: set[str]) -> dict[str, tuple]:
-        found = {}
-        for text in texts:
-            value = self.young.get(text)
-            if value is None and (value := self.old.get(text)) is not None:
-                self.young[text] = value
-            found[text] = value
-        new = [text for text, value in found.items() if value is None]
-        for text, value in zip(new, self.make(new) if new else [], strict=True):
-            found[text] = value
-            if len(text) <= LONGEST_KEY:
-                self.young[text] = value
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.long: list[str] = []
+
+    def __call__(self, texts: set[str]) -> dict[str, str]:
+        """A dict that has all of them until the next call."""
+        for text in self.long:
+            del self.young[text]
         if len(self.young) >= MEMO_ENTRIES:
             self.old, self.young = self.young, {}
-        return found
+        young, old, new = self.young, self.old, []
+        for text in texts.difference(young):
+            value = old.get(text)
+            if value is None:
+                new.append(text)
+            else:
+                young[text] = value
+        if new:
+            young.update(zip(new, self.make(new), strict=True))
+        self.long = [text for text in new if len(text) > LONGEST_KEY]
+        return young
 
 
 class Aligner:
     """Groups of texts. Where both tokenizers always cut, texts are cut at once, and equal stretches are grouped once.
 
-    What a stretch gives are bytes of 32-bit numbers: ids of A and of B, sizes of its groups
-    in both; and its groups as text, and whether both tokenizers spell it.
+    What is remembered of a stretch are its groups written as ``a1,a2|b1;a3|b2,b3;``. They
+    are joined for a text, and the ids are read back from there.
     """
 
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
         self.names = [f"{i}{mark}" for side, marks in ((a, ",|"), (b, ",;")) for i in range(len(side.pieces)) for mark in marks]
+        self.widths = np.array([len(n) for n in self.names], np.int64)
         self.cuts = (_AT_MARKS if a.at_marks and b.at_marks else _AT_SPACES) if a.at_spaces and b.at_spaces else None
         self.known = Remembered(self._grouped)
 
@@ -228,55 +240,82 @@ class Aligner:
         """The text cut, with the space before it; a text that ends with a space is one stretch."""
         if not text:
             return []
-        return [" " + text] if self.cuts is None or text.endswith(" ") else self.cuts.split(" " + text)
-
-    def _grouped(self, texts: list[str]) -> list[tuple]:
-        """All stretches in one divide and conquer, each an interval of its own."""
-        pairs = list(zip(self.a.encode(texts), self.b.encode(texts), strict=True))
-        spelled = [self.a.spell(x) == self.b.spell(y) == t.encode() for t, (x, y) in zip(texts, pairs, strict=True)]
-        pairs = [p if ok else ([], []) for p, ok in zip(pairs, spelled, strict=True)]
-        sizes = [np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1)]
-        ids = [np.array([*chain.from_iterable(p[k] for p in pairs)], np.int64) for k in (0, 1)]
-        last = group_ends(self.a, self.b, *ids, *sizes)
-        shown = self._written_out(*ids, *last)
-        groups = np.searchsorted(last[0], np.cumsum(sizes[0]))
-        raw = [np.asarray(x, np.int32).tobytes() for x in (*ids, *(np.diff(x, prepend=-1) for x in last))]
-        stops = [(4 * x).tolist() for x in (np.cumsum(sizes[0]), np.cumsum(sizes[1]), groups, groups)]
-        out, at, same = [], (0, 0, 0), {}
-        for ok, x, y, g, _ in zip(spelled, *stops, strict=True):
-            sizes = raw[2][at[2] : g] + raw[3][at[2] : g]
-            ga, gb = same.setdefault(sizes, (raw[2][at[2] : g], raw[3][at[2] : g]))  # mostly ones: few different objects
-            out.append((raw[0][at[0] : x], raw[1][at[1] : y], ga, gb, "".join(shown[(at[0] + at[1]) // 4 : (x + y) // 4]), ok))
-            at = x, y, g
+        if self.cuts is None or text.endswith(" "):
+            return [" " + text]
+        inside, out = self.cuts is _AT_MARKS, []
+        for word in text.split(" "):
+            if word.isalpha():
+                out.append(" " + word)
+            elif not word or word[-1].isspace():  # white space before a space, where nothing is cut
+                return self.cuts.split(" " + text)
+            elif inside:
+                out += _IN_WORDS.split(" " + word)
+            else:
+                out.append(" " + word)
         return out
 
-    def _written_out(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> list[str]:
-        """Every token as text, with what follows it, in the order of ``a1,a2|b1;a3|b2,b3;``."""
+    def _spelled(self, texts: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[bool]:
+        """Whether both tokenizers spell a text: all at once, and one by one if that fails."""
+        whole = "".join(texts).encode()
+        stops = np.cumsum([len(t) for t in texts] if whole.isascii() else [len(t.encode()) for t in texts])
+        for side, found in ((self.a, a_ids), (self.b, b_ids)):
+            ids = [*chain.from_iterable(found)]
+            ends = np.cumsum([0, *map(len, found)])[1:]
+            if side.spell(ids) != whole or not np.array_equal(np.concatenate([[0], np.cumsum(side.sizes[ids])])[ends], stops):
+                return [self.a.spell(x) == self.b.spell(y) == t.encode() for t, x, y in zip(texts, a_ids, b_ids, strict=True)]
+        return [True] * len(texts)
+
+    def _grouped(self, texts: list[str]) -> list[str]:
+        """All stretches in one divide and conquer, each an interval of its own."""
+        found = self.a.encode(texts), self.b.encode(texts)
+        spelled = self._spelled(texts, *found)
+        if not all(spelled):
+            found = tuple([x if ok else [] for x, ok in zip(f, spelled, strict=True)] for f in found)
+        sizes = [np.array([*map(len, f)], np.int64) for f in found]
+        ids = [np.array([*chain.from_iterable(f)], np.int64) for f in found]
+        out = self._written_out(*ids, *group_ends(self.a, self.b, *ids, *sizes))
+        shown = "".join(map(self.names.__getitem__, out.tolist()))
+        stops = np.concatenate([[0], np.cumsum(self.widths[out])])[np.cumsum(sizes[0] + sizes[1])].tolist()
+        return [shown[x:y] if ok else _UNSPELLED for ok, x, y in zip(spelled, [0, *stops], stops, strict=False)]
+
+    def _written_out(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> np.ndarray:
+        """Numbers of the names of all tokens, each with what follows it, in the order of ``a1,a2|b1;a3|b2,b3;``."""
         ends_a, ends_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
         ends_a[a_last], ends_b[b_last] = 1, 1
         group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
         out = np.empty(len(a_ids) + len(b_ids), np.int64)
         out[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[group_a]] = a_ids * 2 + ends_a
         out[np.arange(len(b_ids)) + (a_last + 1)[group_b]] = b_ids * 2 + ends_b + 2 * len(self.a.pieces)
-        return list(map(self.names.__getitem__, out.tolist()))
+        return out
 
     def __call__(self, texts: list[str]) -> list[tuple]:
-        """For each text what ``_grouped`` gives, empty where a tokenizer does not spell it."""
-        parts = [self._stretches(t) for t in texts]
-        found = self.known({x for p in parts for x in p})
-        return [self._whole(t, [found[x] for x in p]) for t, p in zip(texts, parts, strict=True)]
+        """For each text bytes of 32-bit numbers: ids of A and of B, sizes of its groups in both; its groups as text, and whether both spell it.
 
-    def _whole(self, text: str, parts: list[tuple]) -> tuple:
-        if not parts:
-            return b"", b"", b"", b"", "", False
-        whole = _joined(parts)
+        All is empty where a tokenizer does not spell the text.
+        """
+        parts = [self._stretches(t) for t in texts]
+        known = self.known(set(chain.from_iterable(parts)))
+        shown = ["".join(map(known.__getitem__, p)) for p in parts]
         # what one stretch lacks another could have too much, so then the whole text decides
-        return whole if whole[5] else self._grouped([" " + text])[0]
-
-
-def _joined(parts: list[tuple]) -> tuple:
-    a, b, ga, gb, shown, spelled = zip(*parts, strict=True)
-    return b"".join(a), b"".join(b), b"".join(ga), b"".join(gb), "".join(shown), all(spelled)
+        shown = [self._grouped([" " + t])[0] if _UNSPELLED in s else s for t, s in zip(texts, shown, strict=True)]
+        return _read(["" if s == _UNSPELLED else s for s in shown])
+
+
+def _read(shown: list[str]) -> list[tuple]:
+    """The numbers of groups that are written out, text by text."""
+    raw = np.frombuffer("".join(shown).encode(), np.uint8)
+    at = np.flatnonzero((raw < ord("0")) | (raw > ord("9")))  # each number has a mark behind it
+    marks, digits = raw[at], np.diff(at, prepend=-1) - 1
+    ids = np.zeros(len(at), np.int32)
+    for k in range(int(digits.max(initial=0))):
+        ids += np.where(digits > k, raw[at - 1 - k] - np.uint8(ord("0")), 0).astype(np.int32) * 10**k
+    bars, ends = marks == ord("|"), marks == ord(";")
+    of_a = np.cumsum(bars) - bars == np.cumsum(ends) - ends
+    groups = [np.diff(np.flatnonzero(marks[side] == ord(mark)), prepend=-1).astype(np.int32) for side, mark in ((of_a, "|"), (~of_a, ";"))]
+    numbers = np.searchsorted(at, np.cumsum([len(s) for s in shown]))
+    n_a, n_groups = (np.concatenate([[0], np.cumsum(x)])[numbers] for x in (of_a, bars))
+    sides = [(x.tobytes(), [0, *(4 * n).tolist()]) for x, n in zip((ids[of_a], ids[~of_a], *groups), (n_a, numbers - n_a, n_groups, n_groups), strict=True)]
+    return [(*(x[stop[i] : stop[i + 1]] for x, stop in sides), s, bool(s)) for i, s in enumerate(shown)]
 
 
 @cache
