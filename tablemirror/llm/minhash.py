@@ -4,8 +4,9 @@ A document is the set of its 5-word shingles, hashed to 64 bits. One permutation
 all bins: the hash's upper bits name the bin and its least value there is the bin's
 sample. Empty bins borrow from a bin that a fixed sequence of draws per bin finds (optimal
 densification, Shrivastava 2017). Bands of bins make buckets; in a bucket every document
-is a candidate of its hub only, a star, and candidates are confirmed on full sets. Equal
-sets are one node from the start, so copies add no pairs.
+is a candidate of its hub only, a star, and candidates are confirmed on full sets. Hubs that a better hub
+is near hand their members to it (``_gathered``), so that a member of a large group of near
+copies has few hubs. Equal sets are one node from the start, so copies add no pairs.
 
 Before, documents leave that cannot have a link at all, because too many of their shingles
 are in no other document that shares a bucket.
@@ -241,11 +242,29 @@ def _star(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("__h"))
     joined = pairs.join(sets.select("node", F.col("shingles").alias("__s")), "node").join(hubs, "hub")
     more, less = F.array_except("__s", "__h").alias("more"), F.array_except("__h", "__s").alias("less")
-    found = joined.select("hub", "node", "score", F.size("__s").alias("n"), F.size("__h").alias("hub_n"), more, less)
+    found = joined.select("hub", "node", "score", "hub_score", F.size("__s").alias("n"), F.size("__h").alias("hub_n"), more, less)
     g = (100 + percent) * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")
     return found.withColumn("g", g).withColumn("linked", F.col("g") <= (100 - percent) * F.col("hub_n"))
 
 
+def _gathered(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``star`` with fewer hubs: members of a hub that a better hub is near go to that one.
+
+    The buckets of one group of near copies have many hubs, so a member has differences to
+    many. Two members need to meet at one hub only, whichever it is, and all members of a
+    hub move together. A hub moves to the best of its hubs that do not move themselves, so
+    what a member's differences grow by is the distance of one hub to another near it.
+    """
+    near = star.where(F.col("linked") | (100 * (F.col("n") - F.size("more")) >= percent * F.col("n")))
+    hubs = star.select(F.col("hub").alias("node")).distinct()
+    ways = near.join(hubs, "node", "left_semi").select(F.col("node").alias("from"), F.col("hub").alias("to"), F.col("hub_score").alias("s"))
+    ends = ways.join(ways.select(F.col("from").alias("to")).distinct(), "to", "left_anti")
+    moved = ends.groupBy("from").agg(F.max(F.struct("s", "to")).alias("top")).select(F.col("from").alias("hub"), "top")
+    pairs = star.select("hub", "node", "score", "hub_score").join(moved, "hub", "left")
+    hub, score = F.coalesce("top.to", "hub").alias("hub"), F.coalesce("top.s", "hub_score").alias("hub_score")
+    return _star(pairs.select(hub, "node", "score", score).where("hub <> node").distinct(), sets, percent)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with ``comp``, the component of ``node`` so far."""
     known = labels.select(F.col("node").alias("__x"), F.col("label").alias("__y"))
@@ -316,13 +335,13 @@ def _buckets(rows: DataFrame) -> DataFrame:
     )
     useful = F.when(F.col("kind") == 0, (F.col("cls0") == 0) & (F.col("cls1") == 1)).when(F.col("kind") == 2, F.col("cls1") == 2).otherwise(True)
     one = found.where(F.col("mixed") & useful).groupBy("hub", "c", "s0", "s1").agg(F.min(F.struct("kind", "x")).alias("k"), F.min("top").alias("top"))
-    return one.select("hub", "k.kind", "k.x", F.col("top.node").alias("top"))
+    return one.select("hub", "k.kind", "k.x", F.col("top.node").alias("top"), F.col("top.score").alias("top_score"))
 
 
 def _compared(rows: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Links between members of one finer bucket; pairs that are none do not leave the join."""
     held = star.select("hub", "node", "g", F.concat("more", "less").alias("d"))
-    members = rows.join(_buckets(rows).drop("top"), ["hub", "kind", "x"]).select("hub", "kind", "x", "node", "comp").join(held, ["hub", "node"])
+    members = rows.join(_buckets(rows).drop("top", "top_score"), ["hub", "kind", "x"]).select("hub", "kind", "x", "node", "comp").join(held, ["hub", "node"])
     one = members.select("hub", "kind", "x", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "g", "d")))
     two = members.select("hub", "kind", "x", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "g", "d")))
     takes = F.col("g_a") + F.col("g_b")
@@ -353,6 +372,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scratch.append(path)
         return out
 
+    def of_star(star: DataFrame) -> DataFrame:
+        return star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
     sketch, _ = written(sketches(df, id_col, text_col), "sketches")
     named = sketch.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("__id").alias("least"), F.first("bands").alias("bands"))
     nodes = kept(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
@@ -369,19 +391,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # a star in every bucket; a document in many and large buckets is close to many: it makes the best hub
     scored = live.join(live.groupBy("node").agg(F.sum("size").alias("score")), "node").select("bucket", "node", "score")
-    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
-    pairs = scored.join(hubs, "bucket").where("node <> hub").select("hub", "node", "score").distinct()
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
+    hubs = hubs.select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score"))
+    pairs = scored.join(hubs, "bucket").where("node <> hub").select("hub", "node", "score", "hub_score").distinct()
     star = kept(_star(pairs, sets, percent), "star")
-    links = star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    labels, path = components(links)
+    links = of_star(star)
+    star = kept(_gathered(star, sets, percent), "star")
+    labels, path = components(links.union(of_star(star)))
     scratch.append(path)
 
     # a star in every finer bucket
     rows = kept(_finer(_labelled(star, labels), percent), "finer")
-    pairs = rows.join(_buckets(rows), ["hub", "kind", "x"]).where("node <> top").select(F.col("top").alias("hub"), "node", "score").distinct()
+    pairs = rows.join(_buckets(rows), ["hub", "kind", "x"]).where("node <> top")
+    pairs = pairs.select(F.col("top").alias("hub"), "node", "score", F.col("top_score").alias("hub_score")).distinct()
     star = kept(_star(pairs, sets, percent), "star")
-    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-    labels, path = components(known.union(star.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(of_star(star))
+    star = kept(_gathered(star, sets, percent), "star")
+    labels, path = components(known.union(of_star(star)))
     scratch.append(path)
 
     # what is left in still finer ones
