@@ -12,6 +12,7 @@ go back to it, so the lookahead never exceeds the longest token.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from struct import pack
 
@@ -29,8 +30,11 @@ FLUSH = 4096
 #: A way is one number: the token before it in the upper bits, the beginning read in these lower ones.
 _BITS = 24
 _MASK = (1 << _BITS) - 1
-#: States kept before the transducer starts anew; bounds memory, not the results.
-MOST_STATES = 150_000
+#: A move is one number too: the state after it, 8 bits for the byte read next, the last token.
+_STATE_AT = _BITS + 8
+#: States kept before the transducer starts anew, and entries of one generation of what it remembers to work states out;
+#: both bound memory, not the results.
+MOST_STATES, MEMO_WAYS = 60_000, 100_000
 #: A way with more tokens ahead is taken to have one that can end it; the results do not depend on it.
 MOST_TRIED = 6
 
@@ -45,51 +49,65 @@ class LazyTransducer:
     """Encodes pieces byte by byte; transitions are worked out on first use."""
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        if max(ranks.values(), default=0) >= _MASK:
+            raise ValueError(f"ids must be below {_MASK}")
         self.ranks, self.most_states = ranks, most_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self._grow_trie()
         self.halves = Memo(self._halves)
         self.alone = Memo(lambda token: self.merged(self.tokens[token])[0] == [token])
-        self.follows = Memo(lambda pair: self._follows((pair >> _BITS) - 1, pair & _MASK))
-        self.alive = Memo(self._alive)
+        self.follows = Memo(lambda pair: self._follows((pair >> _BITS) - 1, pair & _MASK), MEMO_WAYS)
+        self.alive = Memo(self._alive, MEMO_WAYS)
         self._restart()
 
     def _grow_trie(self) -> None:
-        """Numbered beginnings of tokens: the beginnings one byte longer, length, and the token or -1."""
-        leaf: dict[int, int] = {}
-        self.longer, self.depth, self.token_at = [leaf], [0], [-1]
+        """Numbered beginnings of tokens: the one a byte longer, length, and the token or -1; ``below`` and ``beside`` list the longer ones."""
+        self.longer: dict[int, int] = {}  # by beginning and byte
+        self.depth, self.token_at, self.below, self.beside = array("i", [0]), array("i", [-1]), array("i", [0]), array("i", [0])
         for token, rank in self.ranks.items():
             node = 0
             for byte in token:
-                if self.longer[node] is leaf:
-                    self.longer[node] = {}
-                step = self.longer[node].get(byte)
+                step = self.longer.get(node << 8 | byte)
                 if step is None:
-                    step = self.longer[node][byte] = len(self.longer)
-                    self.longer.append(leaf)
+                    step = self.longer[node << 8 | byte] = len(self.depth)
                     self.depth.append(self.depth[node] + 1)
                     self.token_at.append(-1)
+                    self.below.append(0)
+                    self.beside.append(self.below[node])
+                    self.below[node] = step
                 node = step
             self.token_at[node] = rank
-        self.ahead = [0] * len(self.longer)  # tokens that go on from a beginning
-        for node in range(len(self.longer) - 1, -1, -1):  # longer ones have higher numbers
-            self.ahead[node] = sum(self.ahead[step] + (self.token_at[step] >= 0) for step in self.longer[node].values())
+        self.ahead = array("i", bytes(4 * len(self.depth)))  # tokens that go on from a beginning
+        for way, step in reversed(self.longer.items()):  # longer ones have higher numbers
+            self.ahead[way >> 8] += self.ahead[step] + (self.token_at[step] >= 0)
+
+    def _steps(self, node: int) -> Iterator[int]:
+        """The beginnings one byte longer."""
+        step = self.below[node]
+        while step:
+            yield step
+            step = self.beside[step]
 
     def _restart(self) -> None:
-        self.ids: dict[tuple[int, ...], int] = {}
-        self.ways: list[tuple[int, ...]] = []
-        self.moves: dict[int, tuple[int, int]] = {}
-        self._state((0,))
+        self.ids: dict[bytes, int] = {}
+        self.states: list[bytes] = []  # the ways of each, 64 bits a way
+        self.moves: dict[int, int] = {}
+        self._state([0])
 
-    def _state(self, ways: tuple[int, ...]) -> int:
+    def _state(self, ways: list[int]) -> int:
         """Number of a state: for each start of a token, the token before it plus 1 (0: none) and the beginning read since."""
-        found = self.ids.get(ways)
+        key = array("Q", ways).tobytes()
+        found = self.ids.get(key)
         if found is None:
-            found = self.ids[ways] = len(self.ways)
-            self.ways.append(ways)
+            found = self.ids[key] = len(self.states)
+            self.states.append(key)
         return found
 
+    @property
+    def ways(self) -> Iterator[array]:
+        """The ways of all states."""
+        return (array("Q", ways) for ways in self.states)
+
     def merged(self, piece: bytes) -> tuple[list[int], tuple[bytes, bytes] | None]:
         """Tokens of a short byte string by merging the lowest-ranked pair again and again, and the last pair merged."""
         parts, last, rank = [piece[i : i + 1] for i in range(len(piece))], None, self.ranks.get
@@ -132,20 +150,20 @@ class LazyTransducer:
 
     def _alive(self, way: int) -> bool:
         """Whether what a way has begun can end as a longer token behind the token before it."""
-        left, open_ = (way >> _BITS) - 1, list(self.longer[way & _MASK].values())
+        left, open_ = (way >> _BITS) - 1, list(self._steps(way & _MASK))
         for step in open_:
             token = self.token_at[step]
             if token >= 0 and self._follows(left, token):
                 return True
-            open_ += self.longer[step].values()
+            open_ += self._steps(step)
         return False
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after a byte, and the last token of what has been read."""
+    def _move(self, state: int, byte: int) -> int:
+        """The state after a byte, and the last token of what has been read; never 0, since a state after a byte knows a token."""
         ways, ended, longer, token_at, ahead, alive = [], -1, self.longer, self.token_at, self.ahead, self.alive
-        for way in self.ways[state]:
+        for way in array("Q", self.states[state]):
             node = way & _MASK
-            step = longer[node].get(byte)
+            step = longer.get(node << 8 | byte)
             if step is None:
                 continue
             left = way - node
@@ -158,7 +176,7 @@ class LazyTransducer:
         if ended < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         ways.append(ended + 1 << _BITS)
-        move = self.moves[state << 8 | byte] = self._state(tuple(ways)), ended
+        move = self.moves[state << 8 | byte] = self._state(ways) << _STATE_AT | ended
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -167,34 +185,35 @@ class LazyTransducer:
         The last token of every prefix is noted; a token is certain when all ways of the
         current state go back to it, which is at most the longest token away.
         """
-        if len(self.ways) > self.most_states:
+        if len(self.states) > self.most_states:
             self._restart()
         out: list[int] = []
         last: list[int] = []
-        state, known, note = 0, self.moves.get, last.append
+        move, known, note = 0, self.moves.get, last.append
         for byte in piece:
-            state, token = known(state << 8 | byte) or self._move(state, byte)
-            note(token)
+            move = known(move >> _BITS | byte) or self._move(move >> _STATE_AT, byte)
+            note(move)
             if len(last) >= FLUSH:
-                out += self._certain(last, state)
+                out += self._certain(last, move >> _STATE_AT)
         return out + self._back(last, len(last))
 
     def _back(self, last: list[int], end: int) -> list[int]:
-        """The tokens up to ``end``, followed back from it."""
-        found, size = [], self.sizes
+        """The tokens up to ``end``, followed back from it by the moves that were noted."""
+        found, tokens = [], self.tokens
         while end > 0:
-            found.append(last[end - 1])
-            end -= size[last[end - 1]]
+            token = last[end - 1] & _MASK
+            found.append(token)
+            end -= len(tokens[token])
         found.reverse()
         return found
 
     def _certain(self, last: list[int], state: int) -> list[int]:
         """Emit the tokens that all ways of a state share, and forget the bytes they cover."""
-        size, ends = self.sizes, {len(last) - self.depth[way & _MASK] for way in self.ways[state]}
+        ends = {len(last) - self.depth[way & _MASK] for way in array("Q", self.states[state])}
         while len(ends) > 1:  # step back from the furthest end until the ways meet
             furthest = max(ends)
             ends.remove(furthest)
-            ends.add(furthest - size[last[furthest - 1]])
+            ends.add(furthest - len(self.tokens[last[furthest - 1] & _MASK]))
         meet = ends.pop()
         found = self._back(last, meet)
         del last[:meet]
@@ -202,7 +221,7 @@ class LazyTransducer:
 
 
 #: Pieces and chunks of one generation that an encoder remembers.
-MEMO_PIECES = 120_000
+MEMO_PIECES = 100_000
 
 
 class Encoder:
